@@ -84,30 +84,21 @@ def shard(documents: DataFrame, shards: int = 40, buckets: int = 4096, piece: fl
     # A group of one row can't be split; the others number at most 3 * shards / piece.
     groups = groups.withColumn("parts", F.when((parts > 1) & (F.col("rows") > 1), F.least(parts, F.col("rows").cast("int"))).otherwise(1))
     heavy = groups.where("parts > 1").orderBy("h", "text_crc32").collect()
-    light = (
-        groups.where("parts = 1").groupBy(F.pmod("h", F.lit(buckets)).cast("int").alias("unit"))
-        .agg(F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), F.sum("rows").alias("rows")).orderBy("unit").collect()
-    )
-    spark = documents.sparkSession
-    units, vectors, first = [], [], []
-    for r in light:
-        units.append(r.unit)
-        vectors.append((r.bytes, r.tokens, r.rows))
+    spark, first, at = documents.sparkSession, [], buckets
     for r in heavy:
-        first.append((r.h, r.text_crc32, buckets + len(units) - len(light), r.parts))
-        for k in range(r.parts):
-            units.append(buckets + len(units) - len(light))
-            vectors.append((r.bytes / r.parts, r.tokens / r.parts, r.rows / r.parts))
-    to = place(np.array(vectors, float).reshape(-1, 3), shards, weights)
-    plan = spark.createDataFrame([(int(u), int(s)) for u, s in zip(units, to, strict=True)], "unit int, shard int")
+        first.append((r.h, r.text_crc32, at, r.parts))
+        at += r.parts
     split = spark.createDataFrame(first, "h long, text_crc32 long, first int, parts int")
-    # Both sides have at most buckets + 3 * shards / piece rows, whatever the size of the data.
+    # Both tables that are broadcast have at most buckets + 3 * shards / piece rows, whatever the size of the data.
     dealt = (
         rows.join(F.broadcast(split), ["h", "text_crc32"], "left")
         .withColumn("salt", F.xxhash64(F.col("doc_id"), F.lit(7)))
         .withColumn("unit", F.when(F.col("first").isNull(), F.pmod("h", F.lit(buckets)).cast("int")).otherwise(F.col("first") + F.pmod("salt", "parts").cast("int")))
-        .join(F.broadcast(plan), "unit")
     )
+    units = dealt.groupBy("unit").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).orderBy("unit").collect()
+    to = place(np.array([(r.bytes, r.tokens, r.rows) for r in units], float).reshape(-1, 3), shards, weights)
+    plan = spark.createDataFrame([(r.unit, int(s)) for r, s in zip(units, to, strict=True)], "unit int, shard int")
+    dealt = dealt.join(F.broadcast(plan), "unit")
     # Slots: parts of a unit of about SLOT_ROWS rows are numbered alone and laid one after the other.
     fine = max(1, -(-int(total["rows"]) // (buckets * SLOT_ROWS)))
     dealt = dealt.withColumn("bit", F.pmod(F.shiftright("salt", 20), F.lit(fine)).cast("int"))
