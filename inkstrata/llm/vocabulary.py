@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -33,6 +34,10 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: One id, little-endian.
+_FOUR = struct.Struct("<I")
+
+
 class _Memo(dict):
     """Works out what is missing; forgets all when it has `most` entries, which costs time and changes nothing else."""
 
@@ -56,7 +61,7 @@ def _plain(unit: str) -> bool:
 class Units:
     """look_up: what units, texts between safe boundaries, encode to."""
 
-    def __init__(self, path: str, units: int = 500_000, pieces: int = 1_000_000):
+    def __init__(self, path: str, units: int = 1_200_000, pieces: int = 1_200_000):
         self.whole, self.model = tokenizer(path), tokenizer(path).model
         self.units, self.pieces = _Memo(self._encode, units), _Memo(self._piece, pieces)
 
@@ -84,7 +89,7 @@ class Ids(Units):
 
     @staticmethod
     def _of(tokens) -> bytes:
-        return np.array([t.id for t in tokens], "<u4").tobytes()
+        return b"".join([_FOUR.pack(t.id) for t in tokens])
 
     def whole_ids(self, text: str) -> bytes:
         return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
