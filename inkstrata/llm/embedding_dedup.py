@@ -134,8 +134,9 @@ class Graph:
             if not len(live):
                 break
             open_[live, pick] = False
-            near = links[ids[live, pick]]
+            near = np.sort(links[ids[live, pick]], 1)
             fresh = (near >= 0) & ~seen[live[:, None], near]
+            fresh[:, 1:] &= near[:, 1:] != near[:, :-1]  # a vector may be linked twice
             hit = fresh.any(1)
             r, near, fresh = live[hit], near[hit], fresh[hit]
             if not len(r):

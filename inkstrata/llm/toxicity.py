@@ -36,20 +36,29 @@ LOOKALIKES = {
     "α": "a", "β": "b", "γ": "y", "ε": "e", "η": "n", "ι": "i", "κ": "k", "μ": "m", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g",
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t"}
-_LEET = regex.compile(r"(?<=\p{L}[0134578@$!|+9]{0,3})[0134578@$|+9](?=[0134578@$|+9]{0,3}\p{L})|(?<=\p{L})!(?=\p{L})|(?<!\S)[134578@$0](?=[\p{L}134578@$0]{2})(?=[\d@$]*\p{L}{2})")
+_SIGNED = regex.compile(r"[\p{L}\d@$!|+]*[\d@$!|+][\p{L}\d@$!|+]*")
+_LETTER = regex.compile(r"\p{L}")
 _ODD = regex.compile(r"[^\x00-\x7F\xC0-\xFF]")
-_FOLD = str.maketrans(LOOKALIKES)
+_FOLD, _DIGITS = str.maketrans(LOOKALIKES), str.maketrans(DIGITS)
 _SIGN = regex.compile(r"[0-9@$!|+]")
 _WORD = regex.compile(r"[^\W\d_]+")
 
 
+def _letters(m) -> str:
+    """A word with digits or signs in it as letters; signs around it, and numbers, stay."""
+    if not _LETTER.search(m[0]):
+        return m[0]
+    inner = m[0].lstrip("!|+").rstrip("!|+$@")
+    return m[0].replace(inner, inner.translate(_DIGITS), 1)
+
+
 def fold(text: str) -> str:
     """Lower case with look-alikes, compatibility forms and substituted digits as plain letters."""
     text = text.lower()
     if _ODD.search(text):
         text = "".join(c for c in unicodedata.normalize("NFKC", text) if not (unicodedata.category(c) in ("Mn", "Cf"))).lower().translate(_FOLD)
     if _SIGN.search(text):
-        text = _LEET.sub(lambda m: DIGITS.get(m[0], m[0]), text)
+        text = _SIGNED.sub(_letters, text)
     return text
 
 
@@ -58,7 +67,7 @@ class Model:
     words: dict[str, float] = field(default_factory=dict)  # whole words
     stems: dict[str, float] = field(default_factory=dict)  # beginnings of words
     exceptions: list[str] = field(default_factory=list)
-    slope: tuple[float, float, float] = (-4.0, 2.0, 0.0)
+    slope: tuple[float, float, float] = (-4.0, 2.0, 6.0)
     _automaton: object = None
 
     def __getstate__(self):
