@@ -6,10 +6,12 @@ coordinate each, so every coordinate is full after twice as many rounds for any
 drawn without replacement, which gives the concentration that independent ones would.
 
 Candidates: documents with the same set form one class. Representatives that agree in a band meet in a bucket; each is
-paired with the bucket's least member, verified on the full shingle sets, and components are formed. Only members of a
-bucket that then lie in different components are paired with each other (if their lengths and sketches allow the wanted
-similarity), verified, and components formed again. So copies are never expanded into all their pairs, and no pair that
-a band brings together is left out unless it is connected anyway.
+paired with the bucket's hub, the member that meets most others in all its buckets; these pairs are verified on the full
+shingle sets, and components are formed. Only members of a hub's buckets that then lie in different components are
+paired with each other, if their lengths, their measured distances from the hub (Jaccard distance keeps the triangle
+inequality) and their sketches allow the wanted similarity; those are verified, and components formed again. So copies
+are never expanded into all their pairs, and no pair that a band brings together is left out unless it is connected
+anyway.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from .common import cut, in_slices
 from .components import components
 
 SCHEMA = "doc_id long, n_shingles long, component_id long, kept boolean"
-SKETCHED = "doc_id long, n long, set_hash binary, bands array<long>, sketch binary"
+SKETCHED = "doc_id long, n long, set_hash binary, bands array<long>, sketch array<long>"
+#: Coordinates of the sketch beyond which bands need none, for estimates; four bits of each are kept.
+ESTIMATE = 384
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -99,8 +103,9 @@ def sketch(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def sketched(documents: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """Per document: size and hash of its set, the keys of its bands, and one byte of each coordinate."""
+    """Per document: size and hash of its set, the keys of its bands, and four bits of each coordinate."""
     k = bands * rows
+    shifts = np.arange(16, dtype=np.uint64) * np.uint64(4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.arange(bands, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
@@ -112,38 +117,40 @@ def sketched(documents: DataFrame, size: int, bands: int, rows: int) -> DataFram
                 if not len(h):
                     sets.append(None), keys.append(None), bytes_.append(None)
                     continue
-                s = sketch(h, k)
+                s = sketch(h, max(k, ESTIMATE))
+                bits = _mix(s[:ESTIMATE]) & np.uint64(15)
                 band = at.copy()
-                for column in s.reshape(bands, rows).T:
+                for column in s[:k].reshape(bands, rows).T:
                     band = _mix(band * np.uint64(0x9E3779B97F4A7C15) + column)
                 sets.append(xxhash.xxh3_128_digest(h.tobytes()))
                 keys.append(band.view(np.int64))
-                bytes_.append((_mix(s) & np.uint64(0xFF)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())], [f.split()[0] for f in SKETCHED.split(", ")])
+                bytes_.append(np.bitwise_or.reduce(bits.reshape(-1, 16) << shifts, 1).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bytes_, pa.list_(pa.int64()))], [f.split()[0] for f in SKETCHED.split(", ")])
 
     return documents.select("doc_id", "text").mapInArrow(run, SKETCHED)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * |intersection| >= percent * |union| of their full shingle sets."""
+def _similarities(pairs: DataFrame, documents: DataFrame, size: int) -> DataFrame:
+    """(a, b, shared, united): sizes of intersection and union of the full shingle sets of each pair."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = documents.join(ids, "doc_id", "left_semi").select("doc_id", "text")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, frozenset()
         for batch in in_slices(batches, 128):
-            rows = []
-            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if b != last:
-                    last, held = b, shingle_set(y, size)
+            shared, united = [], []
+            for b, x, y in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                if (b, y) != last:
+                    last, held = (b, y), shingle_set(y, size)
                 own = shingle_set(x, size)
-                shared = len(own & held)
-                if 100 * shared >= percent * (len(own) + len(held) - shared):
-                    rows.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["a", "b"])
+                shared.append(len(own & held))
+                united.append(len(own) + len(held) - shared[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(united, pa.int64())], ["a", "b", "shared", "united"])
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a long, b long, shared long, united long")
 
 
 def near_duplicates(documents: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
@@ -163,42 +170,53 @@ def near_duplicates(documents: DataFrame, percent: int = 85, size: int = 5) -> D
     copies = full.select("doc_id", "set_hash").join(classes.where("copies > 1"), "set_hash").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = full.select("doc_id", "n", "bands", "sketch", "set_hash").join(classes.select("set_hash", F.col("rep").alias("doc_id")), ["set_hash", "doc_id"]).drop("set_hash").dropDuplicates(["doc_id", "sketch"])
     keyed = reps.select(F.explode("bands").alias("key"), "doc_id")
-    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub < top")
-    members = cut(keyed.join(buckets.select("key", "hub"), "key").distinct())
-    tested = cut(members.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct())
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        return documents.join(ids, "doc_id", "left_semi").select("doc_id", "text")
-
-    links = cut(copies.union(_verified(tested, texts_of(tested), size, percent)).distinct())
+    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    members = cut(keyed.join(shared, "key"))
+    weight = members.groupBy("doc_id").agg(F.sum("m").alias("weight"))
+    hubs = members.join(weight, "doc_id").groupBy("key").agg((-F.max(F.struct("weight", -F.col("doc_id")))["col2"]).alias("hub"))
+    members = cut(members.select("key", "doc_id").join(hubs, "key").select("hub", "doc_id").distinct())
+    linked = 100 * F.col("shared") >= percent * F.col("united")
+    tested = cut(_similarities(members.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")), documents, size))
+    links = cut(copies.union(tested.where(linked).select("a", "b")).distinct())
     found = cut(components(links))
 
-    # Buckets that still hold several components: their members outside the hub's component meet all the others.
-    labelled = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    labelled = labelled.join(found.select(F.col("id").alias("hub"), F.col("component").alias("hub_component")), "hub", "left").withColumn("hub_component", F.coalesce("hub_component", "hub"))
-    outside = cut(labelled.where("component <> hub_component").select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("hub_component").alias("ha")))
+    # Hubs whose buckets still hold several components: members outside the hub's component meet all the others.
+    near = tested.groupBy(F.col("a").alias("doc_id"), F.col("b").alias("hub")).agg(F.max(F.col("shared") / F.col("united")).alias("j"))
+    labelled = members.join(near, ["doc_id", "hub"], "left").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    labelled = labelled.join(found.select(F.col("id").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
+    labelled = cut(labelled.select("hub", "doc_id", F.coalesce("j", F.lit(1.0)).alias("j"), F.coalesce("component", "doc_id").alias("c"), F.coalesce("hub_component", "hub").alias("hc")))
+    outside = labelled.where("c <> hc")
     if not outside.isEmpty():
-        least = outside.select("key").distinct()
-        inside = labelled.join(least, "key", "left_semi").select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"), "hub_component")
         light = reps.select("doc_id", "n", "sketch")
+        side = lambda df, x, *more: df.join(light, "doc_id").select("hub", *more, F.col("doc_id").alias(x), F.col("j").alias(f"j_{x}"), F.col("c").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+        inside = side(labelled.join(outside.select("hub").distinct(), "hub", "left_semi"), "b", "hc")
         # A pair of two outsiders is met from its larger end only.
-        pairs = outside.join(inside, "key").where("ca <> cb and (cb = hub_component or a > b)").select("a", "b").distinct()
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = pairs.join(light.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a")), "a").join(light.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b")), "b")
-        pairs = pairs.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & F.expr(_agree(bands * rows, percent / 100))).select("a", "b")
-        pairs = cut(pairs.distinct())
-        links = cut(links.union(_verified(pairs, texts_of(pairs), size, percent)).distinct())
+        may = (
+            (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("hc")) | (F.col("a") > F.col("b"))) & (F.col("b") != F.col("hub"))
+            & (F.abs(F.col("j_a") - F.col("j_b")) <= 1 - percent / 100 + 1e-9)
+            & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+            & F.expr(_agree(percent / 100))
+        )
+        left = side(outside, "a").withColumnRenamed("hub", "hub_a")
+        pairs = cut(left.join(inside, (F.col("hub_a") == F.col("hub")) & may).select("a", "b").distinct())
+        more = _similarities(pairs, documents, size).where(linked).select("a", "b")
+        links = cut(links.union(more).distinct())
         found = cut(components(links))
     out = marks.select("doc_id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _agree(k: int, similarity: float) -> str:
-    """SQL: the sketches agree in as many coordinates as a pair at `similarity` does, less seven standard deviations."""
-    need = max(0, math.floor(k * similarity - 7 * math.sqrt(k * similarity * (1 - similarity))))
-    return f"size(filter(sequence(1, {k}), i -> substring(s_a, i, 1) = substring(s_b, i, 1))) >= {need}"
+def _agree(similarity: float) -> str:
+    """SQL: the kept bits agree in as many coordinates as at `similarity`, less five standard deviations."""
+    chance = similarity + (1 - similarity) / 16
+    need = max(0, math.floor(ESTIMATE * chance - 5 * math.sqrt(ESTIMATE * chance * (1 - chance))))
+    differ = []
+    for i in range(ESTIMATE // 16):
+        x = f"(s_a[{i}] ^ s_b[{i}])"
+        two = f"({x} | shiftrightunsigned({x}, 1))"
+        differ.append(f"bit_count(({two} | shiftrightunsigned({two}, 2)) & 1229782938247303441L)")  # the lowest of every four bits
+    return f"({' + '.join(differ)}) <= {ESTIMATE - need}"
 
 
 def keep_one(documents: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
