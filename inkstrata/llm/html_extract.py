@@ -71,7 +71,7 @@ def blocks(page: str) -> list[Block]:
 
     def say(text: str) -> None:
         nonlocal linked, line_break
-        if text and not (stack and stack[-1][1] is None):
+        if text:
             parts.append(text)
             if in_link:
                 linked += len(" ".join(html.unescape(text).split()))
@@ -139,6 +139,17 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def nearest(found: list[Block]) -> list[str | None]:
+    """For each block the label of the last decided one before it, of the article's own alone for blocks in an article."""
+    out, own, any_ = [], None, None
+    for b in found:
+        out.append(own if b.inside else any_)
+        if b.label in ("good", "bad"):
+            any_ = b.label
+            own = b.label if b.inside else own
+    return out
+
+
 def classify(found: list[Block], most_links: float = 0.33, short: int = 70, long: int = 200, low: float = 0.12, high: float = 0.24) -> None:
     """Labels blocks `good` or `bad`, by their own features first and by their neighbours then."""
     whole = any(b.inside and not b.around for b in found)
@@ -156,16 +167,15 @@ def classify(found: list[Block], most_links: float = 0.33, short: int = 70, long
         else:
             b.label = "near" if b.inside else "bad"
     for wanted in ("near", "short"):
-        decided = [b.label for b in found]
-        for i, b in enumerate(found):
+        # The nearest decided block either way; beside an article's own blocks the frame around it doesn't count.
+        before, after = nearest(found), nearest(found[::-1])[::-1]
+        for b, sides in zip(found, zip(before, after, strict=True), strict=True):
             if b.label != wanted:
                 continue
-            # The nearest decided block either way; beside an article's own blocks the frame around it doesn't count.
-            sides = [next((decided[j] for j in way if decided[j] in ("good", "bad") and not (b.inside and not found[j].inside)), None) for way in (range(i - 1, -1, -1), range(i + 1, len(found)))]
             if b.inside:
-                b.label = "bad" if sides == ["bad", "bad"] and b.linked else "good"
+                b.label = "bad" if sides == ("bad", "bad") and b.linked else "good"
             elif wanted == "near":
-                b.label = "bad" if sides == ["bad", "bad"] else "good"
+                b.label = "bad" if sides == ("bad", "bad") else "good"
             else:
                 b.label = "good" if "good" in sides and (b.heading or "bad" not in sides) else "bad"
 
