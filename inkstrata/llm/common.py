@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +15,27 @@ WORD_TABLE = bytes(c if c >= 0x80 or chr(c).isdigit() or chr(c).islower() else c
 WORD_CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+class Memo(dict):
+    """Works out what is missing. Keeps at most `most` entries in two generations: when the younger is full, the older is
+    forgotten, so what recurs stays. Python workers live on from task to task and from operator to operator: all memos
+    of one worker add up beside the executor's heap."""
+
+    def __init__(self, of: Callable, most: int):
+        super().__init__()
+        self.of, self.half, self.old = of, most // 2, {}
+
+    def __missing__(self, key):
+        got = self.old.pop(key, None)
+        if got is None:
+            got = self.of(key)
+        if len(key) <= 64:
+            if len(self) >= self.half:
+                self.old = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

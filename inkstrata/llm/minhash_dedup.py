@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_slices
+from .common import Memo, cut, in_slices
 from .components import components
 
 SCHEMA = "doc_id long, n_shingles long, component_id long, kept boolean"
@@ -61,20 +61,16 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def _word_hashes() -> dict[bytes, int]:
-    return {}
+def _word_hashes() -> Memo:
+    return Memo(xxhash.xxh3_64_intdigest, 300_000)
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles."""
-    words, memo = words_of(text), _word_hashes()
+    words = words_of(text)
     if not words:
         return np.zeros(0, np.uint64)
-    if len(memo) > 1_000_000:
-        memo.clear()
-    for w in set(words).difference(memo):
-        memo[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.array([memo[w] for w in words], np.uint64)
+    h = np.fromiter(map(_word_hashes().__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - size + 1)
     out = np.full(n, min(size, len(h)), np.uint64)
     for k in range(min(size, len(h))):

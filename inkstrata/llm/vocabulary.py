@@ -9,6 +9,8 @@ from functools import lru_cache
 import numpy as np
 import regex
 
+from .common import Memo
+
 #: Contractions as both public pre-tokenizers have them.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 BYTE_PIECES = regex.compile(CONTRACTIONS + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -38,22 +40,6 @@ def tokenizer(path: str):
 _FOUR = struct.Struct("<I")
 
 
-class _Memo(dict):
-    """Works out what is missing; forgets all when it has `most` entries, which costs time and changes nothing else."""
-
-    def __init__(self, of, most: int):
-        super().__init__()
-        self.of, self.most = of, most
-
-    def __missing__(self, key: str):
-        got = self.of(key)
-        if len(key) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[key] = got
-        return got
-
-
 def _plain(unit: str) -> bool:
     return (unit.isascii() or max(unit) <= _LAST_PLAIN) and "<|" not in unit
 
@@ -61,9 +47,9 @@ def _plain(unit: str) -> bool:
 class Units:
     """look_up: what units, texts between safe boundaries, encode to."""
 
-    def __init__(self, path: str, units: int = 1_200_000, pieces: int = 1_200_000):
+    def __init__(self, path: str, units: int = 800_000, pieces: int = 400_000):
         self.whole, self.model = tokenizer(path), tokenizer(path).model
-        self.units, self.pieces = _Memo(self._encode, units), _Memo(self._piece, pieces)
+        self.units, self.pieces = Memo(self._encode, units), Memo(self._piece, pieces)
 
     def look_up(self, units: list[str]) -> list:
         return list(map(self.units.__getitem__, units))
