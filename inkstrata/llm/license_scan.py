@@ -1,7 +1,8 @@
 """License scan by an exact set-similarity join between text blocks and license templates.
 
-A block is a line; a longer one is cut into windows of `WINDOW` words that overlap by half, so every passage of up to
-half a window lies whole in one block. A block matches a template when it holds at least `threshold` of its distinct
+A block is a line; a longer one is cut into windows of `WINDOW` words that overlap by half. The words of the whole text,
+line ends ignored, are cut into such windows, too, so every passage of up to half a window lies whole in one block, also
+where a notice is wrapped over several lines. A block matches a template when it holds at least `threshold` of its distinct
 words. The words of templates are ordered by their frequency in the whole corpus, rarest first:
 
 * prefix filter: a match holds one of the first |t| - need + 1 words of its template, and only these are indexed;
@@ -70,11 +71,17 @@ class Index:
                 yield label, shared / len(template)
 
 
+def windows(words: list[bytes]) -> Iterator[list[bytes]]:
+    for at in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2):
+        yield words[at : at + WINDOW]
+
+
 def blocks(text: bytes) -> Iterator[list[bytes]]:
-    for line in text.split(b"\n"):
-        words = ascii_words(line)
-        for at in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2):
-            yield words[at : at + WINDOW]
+    lines = text.split(b"\n")
+    for line in lines:
+        yield from windows(ascii_words(line))
+    if len(lines) > 1:
+        yield from windows(ascii_words(text))
 
 
 def phrase_places(words: list[bytes], phrase: list[bytes]) -> list[int]:

@@ -69,6 +69,26 @@ def test_license(odd, none, spark):
     assert license_scan.scan(odd).count() == len(ODD) and license_scan.scan(none).count() == 0
 
 
+WRAPPED = {
+    "bsd": "before\n# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that",
+    "gpl-notice": " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided",
+    "mit-notice": "// Permission is hereby granted, free of charge, to any person obtaining a copy\n// of this software and associated documentation files (the",
+    "mpl-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\r\n * License, v. 2.0. If a copy",
+}
+
+
+@pytest.mark.parametrize("before", [0, 31, 32, 40, 63, 200])
+def test_license_wrapped(spark, before):
+    # Also where windows begin and end inside the notice, and where words are far apart.
+    labels = [*WRAPPED, ""]
+    texts = ["filler word\n" * before + text + "\nend" * before for text in WRAPPED.values()]
+    texts.append("released\n" + "filler\n" * 70 + "under the\n" + "filler\n" * 70 + "MIT License")
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [label in r.labels.split(",") for r, label in zip(rows, labels, strict=True)] == [True] * len(labels)
+    assert (rows[-1].labels, rows[-1].score) == ("", 0.0)
+
+
 def brute_components(texts: dict, percent: int):
     sets = {i: minhash_dedup.shingle_set(t, 5) for i, t in texts.items()}
     best = {i: i for i in sets}
