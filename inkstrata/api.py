@@ -13,13 +13,13 @@ from .operators import repos as R
 from .operators import rules as U
 from .operators import scores as S
 from .operators import transforms as X
-from .sources.corpus import suppress, without_ignored
+from .sources.corpus import cut, suppress, without_ignored
 
 REPO_DETECTORS = (R.architecture_findings, R.workflow_findings, R.metadata_findings, R.promotion_findings, R.maintenance_findings, R.name_findings)
 
 
-def file_findings(files: DataFrame, comment_threshold: float = 0.45, recipes: list | None = None, security: bool = True) -> DataFrame:
-    """Findings of all file detectors; also on a stream when recipes is an empty list."""
+def file_parts(files: DataFrame, comment_threshold: float = 0.45, recipes: list | None = None, security: bool = True) -> list[DataFrame]:
+    """Findings of each file detector."""
     recipes = U.builtin() if recipes is None else recipes
     p = D.prepared(without_ignored(files))
     out = [D.lexical_findings(p), D.comment_findings(p, comment_threshold), D.structure_findings(p), D.test_findings(p), D.idiom_findings(p), D.prompt_findings(p), D.readme_findings(p)]
@@ -27,7 +27,12 @@ def file_findings(files: DataFrame, comment_threshold: float = 0.45, recipes: li
         out.append(U.security_findings(p))
     if recipes:
         out.append(U.boosted(U.recipe_findings(p, recipes), recipes).select(*D.FINDING))
-    return reduce(DataFrame.unionByName, out)
+    return out
+
+
+def file_findings(files: DataFrame, comment_threshold: float = 0.45, recipes: list | None = None, security: bool = True) -> DataFrame:
+    """Findings of all file detectors; also on a stream when recipes is an empty list."""
+    return reduce(DataFrame.unionByName, file_parts(files, comment_threshold, recipes, security))
 
 
 def scan(files: DataFrame, commits: DataFrame | None = None, min_severity: str = "low", mixed: bool = False, comment_threshold: float = 0.45, recipes: list | None = None, security: bool = True) -> DataFrame:
@@ -40,6 +45,16 @@ def scan(files: DataFrame, commits: DataFrame | None = None, min_severity: str =
     return S.at_least(S.mixed(found) if mixed else found, min_severity)
 
 
+def scan_apart(files: DataFrame, commits: DataFrame | None = None, repo_files: DataFrame | None = None) -> DataFrame:
+    """What scan finds, and the repository detectors on repo_files if given. Each detector runs in a plan of its own and its
+    findings are written once to the checkpoint folder, as one plan of all detectors takes minutes to compile."""
+    parts = [suppress(found, files) for found in file_parts(files)]
+    parts += [detect(f) for f in (files, repo_files) if f is not None for detect in REPO_DETECTORS]
+    if commits is not None:
+        parts.append(R.commit_findings(commits))
+    return reduce(DataFrame.unionByName, [cut(found.select(*D.FINDING)) for found in parts])
+
+
 def grade(spark: SparkSession, findings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return S.category_grades(spark, findings), S.overall_grade(spark, findings)
 

@@ -53,11 +53,16 @@ def brief(found: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def four(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of four detectors, for the scores."""
+    """Findings of four detectors without directives, for the scores: what their SQL covers."""
     p = code(spark, sf_dir)
     return reduce(DataFrame.unionByName, [D.lexical_findings(p), D.prompt_findings(p), D.readme_findings(p), U.security_findings(p)])
 
 
+def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of all detectors over files, repositories and commits, with the ignore directives applied."""
+    return api.scan_apart(overlay.code_files(spark, sf_dir), overlay.commits(spark, sf_dir), overlay.repo_files(spark, sf_dir))
+
+
 @query(O.LEXICAL)
 def lexical_metrics(spark, sf_dir):
     return D.lexical(code(spark, sf_dir).where("lang <> 'unknown'")).select("repo", "path", *long("matches", "terms", "first_line", "last_line"))
@@ -230,49 +235,49 @@ def scope_inference(spark, sf_dir):
 
 
 @query(O.SUMMARY)
-def summary(spark, sf_dir):
-    return S.summary(four(spark, sf_dir)).select("total", "low", "medium", "high", *rounded("ai_probability", digits=5))
+def summary(spark, sf_dir, findings=four):
+    return S.summary(findings(spark, sf_dir)).select("total", "low", "medium", "high", *rounded("ai_probability", digits=5))
 
 
 @query(O.CONTRIBUTIONS)
-def explain_categories(spark, sf_dir):
-    return S.contributions(four(spark, sf_dir)).select("category", "n", *rounded("contribution", digits=3))
+def explain_categories(spark, sf_dir, findings=four):
+    return S.contributions(findings(spark, sf_dir)).select("category", "n", *rounded("contribution", digits=3))
 
 
 @query(O.EVIDENCE)
-def explain_top_evidence(spark, sf_dir):
-    return S.evidence(four(spark, sf_dir)).select("repo", "path", "id", *rounded("contribution"))
+def explain_top_evidence(spark, sf_dir, findings=four):
+    return S.evidence(findings(spark, sf_dir)).select("repo", "path", "id", *rounded("contribution"))
 
 
 @query(O.GRADE_CATEGORIES)
-def grade_categories(spark, sf_dir):
-    return S.category_grades(spark, four(spark, sf_dir)).select("grade_category", "n", *rounded("score", digits=3), "grade")
+def grade_categories(spark, sf_dir, findings=four):
+    return S.category_grades(spark, findings(spark, sf_dir)).select("grade_category", "n", *rounded("score", digits=3), "grade")
 
 
 @query(O.GRADE_OVERALL)
-def grade_overall(spark, sf_dir):
-    return S.overall_grade(spark, four(spark, sf_dir)).select(*rounded("score", digits=3), "grade")
+def grade_overall(spark, sf_dir, findings=four):
+    return S.overall_grade(spark, findings(spark, sf_dir)).select(*rounded("score", digits=3), "grade")
 
 
 @query(O.MIXED)
-def mixed_dedup(spark, sf_dir):
-    m = S.mixed(four(spark, sf_dir))
+def mixed_dedup(spark, sf_dir, findings=four):
+    m = S.mixed(findings(spark, sf_dir))
     return m.select("repo", "path", "category", F.floor((C("line_start") - 1) / 80).alias("segment"), F.when(C("severity") == "high", 2).when(C("severity") == "medium", 1).otherwise(0).alias("best"))
 
 
 @query(O.ROLLUP)
-def findings_rollup(spark, sf_dir):
-    return S.rollup(four(spark, sf_dir)).drop("level")
+def findings_rollup(spark, sf_dir, findings=four):
+    return S.rollup(findings(spark, sf_dir)).drop("level")
 
 
 @query(O.CALIBRATE)
-def calibrate(spark, sf_dir):
-    return S.calibrate(four(spark, sf_dir))
+def calibrate(spark, sf_dir, findings=four):
+    return S.calibrate(findings(spark, sf_dir))
 
 
 @query(O.FILTERED)
-def severity_filter(spark, sf_dir):
-    return S.at_least(four(spark, sf_dir), "medium").groupBy("severity").agg(F.count("*").alias("n"))
+def severity_filter(spark, sf_dir, findings=four):
+    return S.at_least(findings(spark, sf_dir), "medium").groupBy("severity").agg(F.count("*").alias("n"))
 
 
 @query(O.EVAL)
@@ -319,10 +324,23 @@ def transform_summary(spark, sf_dir):
 
 
 @query(O.SARIF)
-def sarif_rules(spark, sf_dir):
-    return sinks.sarif_rules(four(spark, sf_dir)).select("rule", "n")
+def sarif_rules(spark, sf_dir, findings=four):
+    return sinks.sarif_rules(findings(spark, sf_dir)).select("rule", "n")
 
 
 @query(O.ANNOTATIONS)
-def annotations(spark, sf_dir):
-    return sinks.annotations(four(spark, sf_dir)).select("repo", "annotation")
+def annotations(spark, sf_dir, findings=four):
+    return sinks.annotations(findings(spark, sf_dir)).select("repo", "annotation")
+
+
+def _scan(score) -> None:
+    def run(spark, sf_dir):
+        return score(spark, sf_dir, whole)
+
+    run.__name__ = f"scan_{score.__name__}"
+    query()(run)
+
+
+#: The scores over the whole scan; they have no SQL.
+for _score in (summary, explain_categories, explain_top_evidence, grade_categories, grade_overall, mixed_dedup, findings_rollup, calibrate, severity_filter, sarif_rules, annotations):
+    _scan(_score)
