@@ -212,3 +212,19 @@ def test_embeddings(spark):
         assert got[i].n_links <= len(links[i]) + 0 and got[i].component_id <= i
     empty = spark.createDataFrame([], "vec_id long, embedding array<double>, label int")
     assert embedding_dedup.linked(empty).count() == 0
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_rare_links_at_full_shard_size(same):
+    # 200 planted links among 12,000 vectors: a sample of 64 queries meets about one of them, or only itself.
+    r = np.random.default_rng(1)
+    n, d, planted = embedding_dedup.SHARD, 64, 200
+    a, b = r.standard_normal((n, d)), r.standard_normal((n, d))
+    at, to = r.permutation(n)[:planted], r.permutation(n)[:planted]
+    b[to] = a[at] + 0.25 * r.standard_normal((planted, d))
+    if same:
+        a = b = np.concatenate([a[at], b[to], b[np.setdiff1d(np.arange(n), to)][: n - 2 * planted]])
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
+    got = {(int(q), int(m)) for qs, ms in embedding_dedup.range_links(embedding_dedup.Graph(a), a, b, 0.93) for q, m in zip(qs, ms, strict=True)}
+    want = {(int(q), int(m)) for at in range(0, n, 2000) for q, m in zip(*np.nonzero(b[at : at + 2000] @ a.T >= 0.93), strict=True) for q in [q + at]}
+    assert len(want) >= planted and got == want
