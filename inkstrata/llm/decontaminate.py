@@ -95,14 +95,20 @@ def contaminated(documents: DataFrame, items: DataFrame, size: int = 13, share:
 
 
 def proximity(documents: DataFrame, items: DataFrame, size: int = 13, within: int = 20) -> DataFrame:
-    """(doc_id, item_id as string, first, last): the two rarest terms of a window stand within `within` words of each other."""
+    """(doc_id, item_id as string, first, last): the two rarest terms of a window stand within `within` words of each other.
+
+    A window of one word matches where that stands; a term that is both anchors must stand at two places. Windows of a
+    null item_id have a null name.
+    """
     rows = documents.select("doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
     spans = cut(windows(items, size))
-    terms = spans.select(F.posexplode("words").alias("off", "term"), "wid")
+    terms = spans.select(F.posexplode("words").alias("off", "term"), "wid", "len")
     postings = rows.select("key", F.posexplode(words(F.col("text"))).alias("pos", "term"))
     df = postings.join(terms.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("n"))
-    anchors = cut(terms.join(df, "term").withColumn("k", F.row_number().over(W.partitionBy("wid").orderBy("n", "off"))).where("k <= 2").select("wid", "k", "term"))
-    near = [postings.join(anchors.where(F.col("k") == k), "term").select("key", "wid", F.col("pos").alias(f"p{k}"), F.explode(F.array(*([F.floor(F.col("pos") / within)] if k == 1 else [F.floor(F.col("pos") / within) + d for d in (-1, 0, 1)]))).alias("cell")) for k in (1, 2)]
-    met = near[0].join(near[1], ["key", "wid", "cell"]).where(F.abs(F.col("p1") - F.col("p2")) <= within)
+    anchors = cut(terms.join(df, "term").withColumn("k", F.row_number().over(W.partitionBy("wid").orderBy("n", "off"))).where("k <= 2").select("wid", "len", "k", "term"))
+    near = [postings.join(anchors.where((F.col("k") == k) & (F.col("len") > 1)), "term").select("key", "wid", F.col("pos").alias(f"p{k}"), F.explode(F.array(*([F.floor(F.col("pos") / within)] if k == 1 else [F.floor(F.col("pos") / within) + d for d in (-1, 0, 1)]))).alias("cell")) for k in (1, 2)]
+    met = near[0].join(near[1], ["key", "wid", "cell"]).where((F.col("p1") != F.col("p2")) & (F.abs(F.col("p1") - F.col("p2")) <= within))
+    one = postings.join(anchors.where("len = 1"), "term").select("key", "wid", F.col("pos").alias("p1"), F.col("pos").alias("p2"))
+    met = met.select("key", "wid", "p1", "p2").union(one)
     met = met.groupBy("key", "wid").agg(F.min(F.least("p1", "p2")).alias("first"), F.max(F.greatest("p1", "p2")).alias("last"))
-    return met.join(spans, "wid").join(rows.select("doc_id", "key"), "key").select("doc_id", F.explode("items").alias("item_id"), "first", "last").groupBy("doc_id", "item_id").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return met.join(spans, "wid").join(rows.select("doc_id", "key"), "key").select("doc_id", F.explode_outer("items").alias("item_id"), "first", "last").groupBy("doc_id", "item_id").agg(F.min("first").alias("first"), F.max("last").alias("last"))

@@ -228,3 +228,25 @@ def test_rare_links_at_full_shard_size(same):
     got = {(int(q), int(m)) for qs, ms in embedding_dedup.range_links(embedding_dedup.Graph(a), a, b, 0.93) for q, m in zip(qs, ms, strict=True)}
     want = {(int(q), int(m)) for at in range(0, n, 2000) for q, m in zip(*np.nonzero(b[at : at + 2000] @ a.T >= 0.93), strict=True) for q in [q + at]}
     assert len(want) >= planted and got == want
+
+
+def test_proximity(spark):
+    r = random.Random(8)
+    docs = [(k, " ".join(r.choice("the the the of of and stone river light".split()) for _ in range(60))) for k in range(12)] + [(None, "stone of the river"), (20, None), (21, "the")]
+    items = [(1, "stone the river of"), (2, "river"), (3, "light light"), (None, "light of and"), (4, "absent"), (5, None)]
+    split = lambda t: (t or "").split()
+    n, want = {}, {}
+    for _, t in docs:
+        for w in split(t):
+            n[w] = n.get(w, 0) + 1
+    for i, text in items:
+        rare = [w for _, _, w in sorted((n[w], off, w) for off, w in enumerate(split(text)) if w in n)][:2]
+        for d, t in docs:
+            p1, p2 = ([p for p, w in enumerate(split(t)) if w == x] for x in (rare[:1] * 2 + rare[1:])[-2:]) if rare else ([], [])
+            single = len(split(text)) == 1
+            met = [(min(a, b), max(a, b)) for a in p1 for b in p2 if (a == b if single else a != b and abs(a - b) <= 4)]
+            if met and (single or len(rare) == 2):
+                want[d, i and str(i)] = (min(a for a, _ in met), max(b for _, b in met))
+    got = decontaminate.proximity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), within=4).collect()
+    assert {(x.doc_id, x.item_id): (x.first, x.last) for x in got} == want and len(got) == len(want)
+    assert {i for _, i in want} == {"1", "2", "3", None}
