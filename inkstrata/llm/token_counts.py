@@ -1,77 +1,72 @@
 """Token counts by overlap resynchronisation.
 
-A text longer than one window is encoded as overlapping windows. Both encodings of an overlap carry offsets, and the
-text is spliced at a boundary on which both agree: one space between two characters that are no white space. At such a
-place the pre-tokenizer always begins a new piece, whatever stands further off, so what either window says beyond it
-is what the whole text would give. Where an overlap has no such boundary, it is widened until it has one or the window
-reaches the end of the text.
-
-Pieces between boundaries repeat very often; their counts are kept in a bounded memo for the life of a Python worker.
+A text of up to one window is encoded whole by the library. A longer one is encoded as windows that overlap, each with the
+offsets of its tokens. Two neighbouring encodings are spliced at a place of their overlap where tokens of both begin and
+that is proven stable: one space between two characters that are no white space, where the pre-tokenizer begins a piece
+whatever stands further off. So what the left window says up to there, and the right one from there on, is what the whole
+text would give. Where the encodings have no such place in common the overlap is widened, and where not even a whole
+window holds one the window itself is, at worst to the end of the text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 
 from .common import in_slices
-from .vocabulary import Counts
+from .vocabulary import tokenizer
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-#: White space next to a space, at either end of the text, or none at all: the only places where splitting at spaces isn't safe.
-_ODD = regex.compile(r" \s|[^\S ](?= )|\A\s|\s\Z")
 
 
 class Counter:
-    """Exact token counts of texts of any length in bounded memory besides the text."""
+    """Exact token counts of texts of any length; what is encoded at a time is bounded by the window where texts have spaces."""
 
     def __init__(self, path: str, window: int = 1 << 16, overlap: int = 1 << 10):
-        self.counts, self.window, self.overlap = Counts(path), window, overlap
+        self.whole, self.window, self.overlap = tokenizer(path), window, overlap
+
+    def starts(self, text: str, begin: int, end: int) -> np.ndarray:
+        """Where the tokens of text[begin:end] begin in the text; a character of several tokens is listed for each."""
+        offsets = self.whole.encode(text[begin:end], add_special_tokens=False).offsets
+        return np.fromiter((a for a, _ in offsets), np.int64, len(offsets)) + begin
 
-    def encode(self, text: str) -> tuple[list[str], list[int]]:
-        """The units between safe boundaries and their token counts."""
-        if _ODD.search(text):
-            units = regex.split(r"(?<=\S)(?= \S)", text)
-        else:
-            head, *units = text.split(" ")
-            units = [head, *[" " + u for u in units]]
-        return units, self.counts.look_up(units)
+    @staticmethod
+    def stable(text: str, at: int) -> bool:
+        return text[at] == " " and 0 < at < len(text) - 1 and not text[at - 1].isspace() and not text[at + 1].isspace()
 
-    def offsets(self, text: str) -> tuple[list[int], list[int]]:
-        units, counts = self.encode(text)
-        return [0, *accumulate(map(len, units[:-1]))], counts
+    def splice(self, text: str, left: np.ndarray, right: np.ndarray, after: int, before: int) -> int:
+        """The last stable place in (after, before) where tokens of both encodings begin, or -1."""
+        common = np.intersect1d(left[(left > after) & (left < before)], right[(right > after) & (right < before)])
+        return next((at for at in map(int, common[::-1]) if self.stable(text, at)), -1)
 
     def count(self, text: str) -> int:
         if len(text) <= self.window:
-            return sum(self.encode(text)[1]) if text else 0
-        total, begin = 0, 0  # begin: a proven boundary
-        while True:
-            end, overlap = min(len(text), begin + self.window), self.overlap
-            starts, counts = self.offsets(text[begin:end])
-            if end == len(text):
-                return total + sum(counts)
-            while True:
-                again = max(begin, end - overlap)
-                right = {again + s for s in self.offsets(text[again : min(len(text), end + overlap)])[0][1:]}
-                # The last unit may go on beyond the window; a boundary at its start is still one, for a character follows the space.
-                common = [k for k in range(len(starts) - 1, 0, -1) if begin + starts[k] >= again and begin + starts[k] in right]
-                if common:
-                    total, begin = total + sum(counts[: common[0]]), begin + starts[common[0]]
+            return len(self.whole.encode(text, add_special_tokens=False).ids) if text else 0
+        total, done = 0, 0  # tokens before the proven place `done`
+        begin, end = 0, self.window
+        left = self.starts(text, begin, end)
+        while end < len(text):
+            overlap, at = self.overlap, -1
+            while at < 0:
+                again = max(done, end - overlap)
+                stop = min(len(text), max(again + self.window, end + overlap))
+                right = self.starts(text, again, stop)
+                at = self.splice(text, left, right, again, end - 1)
+                if at < 0 and again == done:
                     break
-                if again > begin:
-                    overlap *= 2  # alignment failed in this overlap
-                else:
-                    end = min(len(text), end + self.window)  # not even the whole window has a boundary
-                    starts, counts = self.offsets(text[begin:end])
-                    overlap = end - begin
-                    if end == len(text):
-                        return total + sum(counts)
+                overlap *= 2  # alignment failed in this overlap
+            if at < 0:  # not even the whole window has a stable place
+                end = min(len(text), done + 2 * (end - done))
+                left = self.starts(text, done, end)
+                continue
+            total += int(((left >= done) & (left < at)).sum())
+            done, end, left = at, stop, right
+        return total + int((left >= done).sum())
 
 
 @lru_cache(maxsize=2)
