@@ -41,13 +41,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that the cluster shares."""
-    sc = df.sparkSession.sparkContext
+    """Cuts the lineage with a reliable checkpoint in the folder that the cluster shares, named by spark.checkpoint.dir.
+
+    Only a session in one process, as in tests, may do without that setting: its own temporary folder is shared by all.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkstrata-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="inkstrata-"))
     return df.checkpoint(eager=True)
 
 
+def kept_rows(documents: DataFrame, judge: Callable[[pa.Array], list[bool]]) -> DataFrame:
+    """The rows of `documents`, all columns as they are, whose texts (binary, null as null) the judge lets pass."""
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_slices(batches):
+            yield b.filter(pa.array(judge(b.column(at)), pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def ascii_words(text: bytes | None) -> list[bytes]:
     """Words of letters, digits and non-ASCII characters, A-Z in lower case."""
     return text.translate(WORD_TABLE).split() if text else []
@@ -67,16 +85,12 @@ def holdout(doc_id: str, modulus: int, remainder: int):
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, keep, most: int, most_bytes: int) -> list[tuple[str, int]]:
     """At most `most` labelled texts of at most `most_bytes` bytes, chosen by a hash of doc_id, for fitting on the driver.
 
-    A document with several labels counts with the largest; rows without id or label do not count.
+    Only labels that have such a text count for `most`. A document with several labels counts with the largest; rows
+    without id, label or text do not count.
     """
-    ids = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-        .groupBy("doc_id").agg(F.max(label).alias("y"))
-        .where(keep)
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    )
-    rows = (
-        documents.select("doc_id", "text").where(F.octet_length("text") <= most_bytes)
-        .join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
-    )
+    ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & keep).groupBy("doc_id").agg(F.max(label).alias("y"))
+    short = documents.select("doc_id", "text").where(F.octet_length("text") <= most_bytes)
+    # Ids alone are shuffled; what is broadcast has `most` rows.
+    chosen = short.select("doc_id").distinct().join(ids, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
     return [(r.text, int(r.y)) for r in sorted(rows.collect(), key=lambda r: r.doc_id)]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import holdout, in_slices, labelled_sample
+from .common import holdout, in_slices, kept_rows, labelled_sample
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 #: Bounds of the labelled sample that is fitted on the driver.
@@ -187,3 +187,13 @@ def score(documents: DataFrame, net: Net, threshold: float = 0.3, modulus: int =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32), pa.int32())], [f.split()[0] for f in SCHEMA.split(", ")])
 
     return documents.select("doc_id", holdout("doc_id", modulus, remainder).alias("held_out"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SCHEMA)
+
+
+def keep_good(documents: DataFrame, net: Net, threshold: float = 0.3) -> DataFrame:
+    """The rows that are not predicted poor, each judged by its own text, with all their columns."""
+
+    def judge(texts: pa.Array) -> list[bool]:
+        codes = [(t or "").encode() for t in texts.to_pylist()]
+        return [p >= threshold for at in range(0, len(codes), 64) for p in predict(net, codes[at : at + 64])]
+
+    return kept_rows(documents, judge)
