@@ -56,7 +56,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def kept_rows(documents: DataFrame, judge: Callable[[pa.Array], list[bool]]) -> DataFrame:
-    """The rows of `documents`, all columns as they are, whose texts (binary, null as null) the judge lets pass."""
+    """The rows of `documents`, all columns as they are, whose texts the judge lets pass."""
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,8 +18,10 @@ from .common import cut
 #: Separators between words: ASCII characters that are no letters and no digits.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Test terms or windows up to this number are broadcast; beyond it the joins are shuffled.
-BROADCAST_ROWS = 200_000
+#: Tables of the test side, or of hit documents, up to this size are broadcast; beyond it the joins are shuffled.
+BROADCAST_BYTES = 32 << 20
+#: Two hashes of a row's id and text; rows that are equal in both are one, and one hash alone would not tell 10^11 rows apart.
+KEY = ["key", "key2"]
 
 
 def words(text: Column) -> Column:
@@ -38,31 +40,58 @@ def windows(items: DataFrame, size: int) -> DataFrame:
     return w.groupBy("words").agg(F.collect_set("item").alias("items")).select(F.xxhash64("words").alias("wid"), "words", F.size("words").alias("len"), "items")
 
 
-def _small(df: DataFrame, rows: int):
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def keyed(documents: DataFrame) -> DataFrame:
+    return documents.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("key2", F.xxhash64(F.lit(7), "text", "doc_id"))
+
+
+def _small(df: DataFrame, measured: bool):
+    return F.broadcast(df) if measured else df
+
+
+def _fits(df: DataFrame, size: Column) -> bool:
+    """Whether a table, by its own count of bytes, may be broadcast."""
+    return (df.agg(F.sum(size + 64)).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def candidates(documents: DataFrame, items: DataFrame, size: int = 13) -> tuple[DataFrame, DataFrame]:
-    """(windows, candidates): candidates are (key, wid, start) where both anchors of a window stand at their offsets."""
+    """(windows, candidates): candidates are (key, key2, wid, start) where both anchors of a window stand at their offsets."""
     spans = cut(windows(items, size))
     terms = spans.select(F.posexplode("words").alias("off", "term"), "wid", "len")
     test_terms = cut(terms.select("term").distinct())
-    n_terms = test_terms.count()
-    postings = documents.select("key", F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    df = postings.select("term").join(_small(test_terms, n_terms), "term").groupBy("term").agg(F.count("*").alias("n"))
+    few_terms = _fits(test_terms, F.octet_length("term"))
+    postings = documents.select(*KEY, F.posexplode(words(F.col("text"))).alias("pos", "term"))
+    df = postings.select("term").join(_small(test_terms, few_terms), "term").groupBy("term").agg(F.count("*").alias("n"))
     df = cut(df)
     # The rarest and the second rarest term of each window (another place, if the window has several words).
     rank = F.row_number().over(W.partitionBy("wid").orderBy("n", "off"))
-    anchors = cut(terms.join(_small(df, n_terms), "term").withColumn("k", rank).withColumn("found", F.count("*").over(W.partitionBy("wid"))).where("k <= 2 and found = len").select("wid", "len", "k", "off", "term"))
-    n_anchors = anchors.count()
-    wanted = anchors.select("term").distinct()
-    stored = cut(postings.join(_small(wanted, n_anchors), "term"))
-    hits = [stored.join(_small(anchors.where(F.col("k") == k).drop("k"), n_anchors), "term").where("pos >= off").select("key", "wid", (F.col("pos") - F.col("off")).alias("start"), "len") for k in (1, 2)]
+    anchors = cut(terms.join(_small(df, few_terms), "term").withColumn("k", rank).withColumn("found", F.count("*").over(W.partitionBy("wid"))).where("k <= 2 and found = len").select("wid", "len", "k", "off", "term"))
+    few_anchors = _fits(anchors, F.octet_length("term"))
+    # Written before the joins, so that a join by a frequent term is split where it is skewed.
+    wanted = cut(anchors.select("term").distinct())
+    stored = cut(postings.join(_small(wanted, few_anchors), "term"))
+    hits = [stored.join(_small(anchors.where(F.col("k") == k).drop("k"), few_anchors), "term").where("pos >= off").select(*KEY, "wid", (F.col("pos") - F.col("off")).alias("start"), "len") for k in (1, 2)]
     one = hits[0].where("len = 1").drop("len")
-    both = hits[0].where("len > 1").drop("len").join(hits[1].drop("len"), ["key", "wid", "start"], "left_semi")
+    both = hits[0].where("len > 1").drop("len").join(hits[1].drop("len"), [*KEY, "wid", "start"], "left_semi")
     return spans, cut(one.union(both))
 
 
+def hit_documents(rows: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """(key, key2, n_hit, names) of the keyed rows in which a window stands word for word; equal rows are one."""
+    spans, found = candidates(rows, items, size)
+    few = _fits(spans, F.octet_length(F.array_join("words", " ")) + F.octet_length(F.array_join("items", " ")))
+    # Per document: the windows that may stand in it, bounded by its own words.
+    listed = found.join(_small(spans, few), "wid").groupBy(*KEY).agg(F.collect_set(F.struct("start", "len", "words", "items")).alias("maybe"))
+    # Only texts with candidates are shuffled, if their keys may be broadcast.
+    wanted = cut(found.select(*KEY).distinct())
+    texts = rows.select(*KEY, "text").join(_small(wanted, _fits(wanted, F.lit(16))), KEY, "left_semi").join(listed, KEY).select(*KEY, "maybe", words(F.col("text")).alias("w"))
+    hit = texts.select(*KEY, F.filter("maybe", lambda c: F.slice(F.col("w"), c["start"] + 1, c["len"]) == c["words"]).alias("hit"))
+    return cut(hit.where(F.size("hit") > 0).dropDuplicates(KEY).select(
+        *KEY,
+        F.size(F.array_distinct(F.flatten(F.transform("hit", lambda c: F.sequence(c["start"], c["start"] + c["len"] - 1))))).cast("long").alias("n_hit"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("hit", lambda c: c["items"])))).alias("names"),
+    ))
+
+
 def contaminated(documents: DataFrame, items: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
     """One row a document: its words, how many of them a test window covers, and which items these are of.
 
@@ -70,21 +99,10 @@ def contaminated(documents: DataFrame, items: DataFrame, size: int = 13, share:
     item without words has no window. Repeated rows of one doc_id and null ids keep a row each and are judged each by
     its own text; no items, or no documents, give no hits; other columns are not read.
     """
-    rows = documents.select("doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
-    spans, found = candidates(rows, items, size)
-    n_spans = spans.count()
-    # Per document (equal rows are one key): the windows that may stand in it, bounded by its own words.
-    listed = found.join(_small(spans, n_spans), "wid").groupBy("key").agg(F.collect_set(F.struct("start", "len", "words", "items")).alias("maybe"))
-    counted = rows.select("doc_id", "text", "key", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"))
-    met = cut(counted.join(listed, "key").select("doc_id", "text", "n_words", "maybe", words(F.col("text")).alias("w")).select(
-        "doc_id", "n_words", F.xxhash64("doc_id", "text").alias("key"),
-        F.filter("maybe", lambda c: F.slice(F.col("w"), c["start"] + 1, c["len"]) == c["words"]).alias("hit"),
-    ).dropDuplicates(["key"]).select(
-        "key",
-        F.size(F.array_distinct(F.flatten(F.transform("hit", lambda c: F.sequence(c["start"], c["start"] + c["len"] - 1))))).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.transform("hit", lambda c: c["items"])))).alias("names"),
-    ))
-    out = counted.select("doc_id", "key", "n_words").join(met, "key", "left")
+    rows = keyed(documents.select("doc_id", "text"))
+    met = hit_documents(rows, items, size)
+    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+    out = rows.select("doc_id", *KEY, n_words.alias("n_words")).join(met, KEY, "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     names = F.coalesce("names", F.array().cast("array<string>"))
     return out.select(
@@ -94,21 +112,29 @@ def contaminated(documents: DataFrame, items: DataFrame, size: int = 13, share:
     )
 
 
+def keep_clean(documents: DataFrame, items: DataFrame, size: int = 13) -> DataFrame:
+    """The rows in which no test window stands, each judged by its own text, with all their columns."""
+    found = hit_documents(keyed(documents.select("doc_id", "text")), items, size).select(F.col("key").alias("_k1"), F.col("key2").alias("_k2"))
+    hit = _small(found, _fits(found, F.lit(16)))
+    same = (F.xxhash64("doc_id", "text") == F.col("_k1")) & (F.xxhash64(F.lit(7), "text", "doc_id") == F.col("_k2"))
+    return documents.join(hit, same, "left_anti")
+
+
 def proximity(documents: DataFrame, items: DataFrame, size: int = 13, within: int = 20) -> DataFrame:
     """(doc_id, item_id as string, first, last): the two rarest terms of a window stand within `within` words of each other.
 
     A window of one word matches where that stands; a term that is both anchors must stand at two places. Windows of a
     null item_id have a null name.
     """
-    rows = documents.select("doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = keyed(documents.select("doc_id", "text"))
     spans = cut(windows(items, size))
     terms = spans.select(F.posexplode("words").alias("off", "term"), "wid", "len")
-    postings = rows.select("key", F.posexplode(words(F.col("text"))).alias("pos", "term"))
+    postings = rows.select(*KEY, F.posexplode(words(F.col("text"))).alias("pos", "term"))
     df = postings.join(terms.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("n"))
     anchors = cut(terms.join(df, "term").withColumn("k", F.row_number().over(W.partitionBy("wid").orderBy("n", "off"))).where("k <= 2").select("wid", "len", "k", "term"))
-    near = [postings.join(anchors.where((F.col("k") == k) & (F.col("len") > 1)), "term").select("key", "wid", F.col("pos").alias(f"p{k}"), F.explode(F.array(*([F.floor(F.col("pos") / within)] if k == 1 else [F.floor(F.col("pos") / within) + d for d in (-1, 0, 1)]))).alias("cell")) for k in (1, 2)]
-    met = near[0].join(near[1], ["key", "wid", "cell"]).where((F.col("p1") != F.col("p2")) & (F.abs(F.col("p1") - F.col("p2")) <= within))
-    one = postings.join(anchors.where("len = 1"), "term").select("key", "wid", F.col("pos").alias("p1"), F.col("pos").alias("p2"))
-    met = met.select("key", "wid", "p1", "p2").union(one)
-    met = met.groupBy("key", "wid").agg(F.min(F.least("p1", "p2")).alias("first"), F.max(F.greatest("p1", "p2")).alias("last"))
-    return met.join(spans, "wid").join(rows.select("doc_id", "key"), "key").select("doc_id", F.explode_outer("items").alias("item_id"), "first", "last").groupBy("doc_id", "item_id").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    near = [postings.join(anchors.where((F.col("k") == k) & (F.col("len") > 1)), "term").select(*KEY, "wid", F.col("pos").alias(f"p{k}"), F.explode(F.array(*([F.floor(F.col("pos") / within)] if k == 1 else [F.floor(F.col("pos") / within) + d for d in (-1, 0, 1)]))).alias("cell")) for k in (1, 2)]
+    met = near[0].join(near[1], [*KEY, "wid", "cell"]).where((F.col("p1") != F.col("p2")) & (F.abs(F.col("p1") - F.col("p2")) <= within))
+    one = postings.join(anchors.where("len = 1"), "term").select(*KEY, "wid", F.col("pos").alias("p1"), F.col("pos").alias("p2"))
+    met = met.select(*KEY, "wid", "p1", "p2").union(one)
+    met = met.groupBy(*KEY, "wid").agg(F.min(F.least("p1", "p2")).alias("first"), F.max(F.greatest("p1", "p2")).alias("last"))
+    return met.join(spans, "wid").join(rows.select("doc_id", *KEY), KEY).select("doc_id", F.explode_outer("items").alias("item_id"), "first", "last").groupBy("doc_id", "item_id").agg(F.min("first").alias("first"), F.max("last").alias("last"))

@@ -29,7 +29,7 @@ def none(spark):
 
 
 def test_token_counts(odd, none):
-    whole = token_counts._counter(BYTE).counts.whole
+    whole = token_counts._counter(BYTE).whole
     got = token_counts.count_tokens(odd, BYTE).collect()
     assert sorted(r.n_tokens for r in got) == sorted(len(whole.encode(t or "", add_special_tokens=False)) for _, t, _ in ODD)
     assert token_counts.count_tokens(none, BYTE).count() == 0
@@ -38,7 +38,7 @@ def test_token_counts(odd, none):
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab é'sßΣ\n\t 1!<|endoftext>漢", max_size=120))
 def test_token_windows(text):
-    small, whole = token_counts.Counter(BYTE, window=24, overlap=4), token_counts._counter(BYTE).counts.whole
+    small, whole = token_counts.Counter(BYTE, window=24, overlap=4), token_counts._counter(BYTE).whole
     assert small.count(text) == len(whole.encode(text, add_special_tokens=False))
     encoder = packing._encoder(WORD)
     assert encoder.encode(text) == encoder.ids.whole_ids(text)
@@ -181,7 +181,11 @@ def test_decontamination(spark, odd, none):
     assert sorted((x.doc_id, x.n_words, x.n_hit, x.n_items, x.items_sha256) for x in got) == sorted((d, *brute_hits(t, items)) for d, t in docs)
     assert decontaminate.contaminated(odd, bench).count() == len(ODD) and decontaminate.contaminated(none, bench).count() == 0
     assert decontaminate.contaminated(odd, bench.limit(0)).where("n_hit > 0").count() == 0
-    assert decontaminate.proximity(odd, bench).count() >= 0
+    clean = decontaminate.keep_clean(spark.createDataFrame([(*d, "k") for d in docs], "doc_id long, text string, key string"), bench)
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(d for d, t in docs if not brute_hits(t, items)[1]) and clean.columns == ["doc_id", "text", "key"]
+    long = " ".join(f"w{k}" for k in range(30_000))
+    got = decontaminate.contaminated(spark.createDataFrame([(1, f"{long} {items[2][1]} {long}")], "doc_id long, text string"), bench).first()
+    assert (got.n_words, got.n_hit, got.contaminated) == (60_002, 2, False)
 
 
 def test_sharding(spark, odd, none):
