@@ -12,19 +12,19 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, component): the smallest id reachable, for every end of an edge (a, b: long).
 
     Alternates large-star and small-star steps until nothing changes: a number of rounds that grows with the logarithm of
-    the longest path. Every step is a minimum by key, combined before the shuffle, and a join that can be split where
-    one key is hot. Duplicate edges and loops do no harm; an empty list gives an empty result.
+    the longest path. Every step is a minimum by key, combined before the shuffle and written, and a join of written
+    tables, which is split where one id is hot. Duplicate edges and loops do no harm; an empty list gives an empty result.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs = cut(pairs.where("u > v"))
     last = None
     for _ in range(rounds):
         both = pairs.union(pairs.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
         # Large star: neighbours that are larger than u hang on the least of its neighbourhood.
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # Small star: u and its smaller neighbours hang on the least of these.
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        down = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         pairs = cut(small.where("u > v").distinct())
         now = pairs.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()

@@ -5,13 +5,14 @@ its least value. The first rounds fill most coordinates, and rounds from the num
 coordinate each, so every coordinate is full after twice as many rounds for any set, and coordinates of a set are nearly
 drawn without replacement, which gives the concentration that independent ones would.
 
-Candidates: documents with the same set form one class. Representatives that agree in a band meet in a bucket; each is
-paired with the bucket's hub, the member that meets most others in all its buckets; these pairs are verified on the full
-shingle sets, and components are formed. Only members of a hub's buckets that then lie in different components are
-paired with each other, if their lengths, their measured distances from the hub (Jaccard distance keeps the triangle
-inequality) and their sketches allow the wanted similarity; those are verified, and components formed again. So copies
-are never expanded into all their pairs, and no pair that a band brings together is left out unless it is connected
-anyway.
+Candidates: equal texts are one node, and nodes with the same set form one class, whose members are verified against its
+least node like any pair. Of each class one node goes on. Nodes that agree in a band meet in a bucket; each is paired with
+the bucket's hub, the node that meets most others in all its buckets; these pairs are verified on the full shingle sets,
+and components are formed. Only members of a hub's buckets that then lie in different components are paired with each
+other, if their lengths, their measured distances from the hub (Jaccard distance keeps the triangle inequality) and their
+sketches allow the wanted similarity; those are verified, and components formed again. So copies are never expanded into
+all their pairs, and no pair that a band brings together is left out unless it is connected anyway. Joins by a key that
+may be hot (hub, class, text) are dealt by that key and a salt, or join written tables, which Spark splits where skewed.
 """
 
 from __future__ import annotations
@@ -30,7 +31,13 @@ from .common import Memo, cut, in_slices
 from .components import components
 
 SCHEMA = "doc_id long, n_shingles long, component_id long, kept boolean"
-SKETCHED = "doc_id long, n long, set_hash binary, bands array<long>, sketch array<long>"
+SKETCHED = "doc_id long, h1 long, h2 long, n long, set_hash binary, bands array<long>, sketch array<long>"
+#: Two hashes of a text: rows that are equal in both hold the same text, and are one node.
+TEXT = ["h1", "h2"]
+#: Pairs of one hub that are verified together, and outsiders of one hub that meet its members together.
+TOGETHER, OUTSIDERS = 64, 1024
+#: Hashes of texts up to this number are broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Coordinates of the sketch beyond which bands need none, for estimates; four bits of each are kept.
 ESTIMATE = 384
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -107,7 +114,7 @@ def sketched(documents: DataFrame, size: int, bands: int, rows: int) -> DataFram
         at = np.arange(bands, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
         for b in in_slices(batches):
             n, sets, keys, bytes_ = [], [], [], []
-            for text in b.column(1):
+            for text in b.column(3):
                 h = shingle_hashes(text.as_py(), size)
                 n.append(len(h))
                 if not len(h):
@@ -121,71 +128,82 @@ def sketched(documents: DataFrame, size: int, bands: int, rows: int) -> DataFram
                 sets.append(xxhash.xxh3_128_digest(h.tobytes()))
                 keys.append(band.view(np.int64))
                 bytes_.append(np.bitwise_or.reduce(bits.reshape(-1, 16) << shifts, 1).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bytes_, pa.list_(pa.int64()))], [f.split()[0] for f in SKETCHED.split(", ")])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bytes_, pa.list_(pa.int64()))], [f.split()[0] for f in SKETCHED.split(", ")])
 
-    return documents.select("doc_id", "text").mapInArrow(run, SKETCHED)
+    return hashed(documents).mapInArrow(run, SKETCHED)
 
 
-def _similarities(pairs: DataFrame, documents: DataFrame, size: int) -> DataFrame:
-    """(a, b, shared, united): sizes of intersection and union of the full shingle sets of each pair."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = documents.join(ids, "doc_id", "left_semi").select("doc_id", "text")
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+def hashed(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"), "text")
+
+
+def _similarities(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(a, b, shared, united): sizes of intersection and union of the full shingle sets of each pair; texts: (node, text).
+
+    A b with many partners is sent to several tasks, each with some of them.
+    """
+    salts = cut(pairs.groupBy("b").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("salts")))
+    left = pairs.join(salts, "b").select("a", "b", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"))
+    left = left.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).join(salts, "b").select("b", "text_b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, frozenset()
         for batch in in_slices(batches, 128):
             shared, united = [], []
             for b, x, y in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                if (b, y) != last:
-                    last, held = (b, y), shingle_set(y, size)
+                if b != last:
+                    last, held = b, shingle_set(y, size)
                 own = shingle_set(x, size)
                 shared.append(len(own & held))
                 united.append(len(own) + len(held) - shared[-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(united, pa.int64())], ["a", "b", "shared", "united"])
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    joined = left.join(right, ["b", "salt"]).select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(run, "a long, b long, shared long, united long")
 
 
-def near_duplicates(documents: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
-    """One row a document: the size of its shingle set, the least doc_id of its component, and whether that is itself.
-
-    Links: 100 * |intersection| >= percent * |union| of shingle sets. Texts that are null, empty or without words have
-    size 0 and link with nothing; a null doc_id links with nothing, has no component and is kept. Rows that repeat a
-    doc_id count as one document whose links are those of all its texts, and keep a row each. Ties are broken by the
-    least doc_id; an empty table gives an empty result; other columns are not read.
-    """
+def _clusters(documents: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(marks, nodes, links): per row doc_id, the hashes of its text and the size of its set; per different text with
+    words its node; and the verified links between nodes."""
     bands, rows = banding(percent / 100)
-    documents = documents.select("doc_id", "text")
     marks = cut(sketched(documents, size, bands, rows))
-    full = marks.where("doc_id is not null and n > 0")
-    classes = full.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    # Copies join their class's least member; most sets occur once and take no part.
-    copies = full.select("doc_id", "set_hash").join(classes.where("copies > 1"), "set_hash").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    reps = full.select("doc_id", "n", "bands", "sketch", "set_hash").join(classes.select("set_hash", F.col("rep").alias("doc_id")), ["set_hash", "doc_id"]).drop("set_hash").dropDuplicates(["doc_id", "sketch"])
-    keyed = reps.select(F.explode("bands").alias("key"), "doc_id")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    light = F.struct("n", "set_hash", "bands", "sketch")
+    # What equal texts share is combined before the shuffle; the number is fixed by the checkpoint.
+    nodes = marks.where("n > 0").groupBy(*TEXT).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first(light).alias("m"))
+    nodes = cut(nodes.select("*", "m.*").drop("m").withColumn("node", F.monotonically_increasing_id()))
+    classes = cut(nodes.groupBy("set_hash").agg(F.min("node").alias("rep"), F.count("*").alias("m")))
+    same = cut(nodes.select("set_hash", "node").join(classes.where("m > 1"), "set_hash").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")))
+    reps = nodes.select("node", "n", "bands", "sketch").join(classes.select(F.col("rep").alias("node")), "node", "left_semi")
+    keyed = reps.select(F.explode("bands").alias("key"), "node")
+    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     members = cut(keyed.join(shared, "key"))
-    weight = members.groupBy("doc_id").agg(F.sum("m").alias("weight"))
-    hubs = members.join(weight, "doc_id").groupBy("key").agg((-F.max(F.struct("weight", -F.col("doc_id")))["col2"]).alias("hub"))
-    members = cut(members.select("key", "doc_id").join(hubs, "key").select("hub", "doc_id").distinct())
+    weight = members.groupBy("node").agg(F.sum("m").alias("weight"))
+    hubs = cut(members.join(weight, "node").groupBy("key").agg((-F.max(F.struct("weight", -F.col("node")))["col2"]).alias("hub")))
+    members = cut(members.select("key", "node").join(hubs, "key").select("hub", "node").distinct())
+
+    # One row's text for each node that any pair may need; the other rows with that text do not leave their partition.
+    wanted = cut(members.select("node").union(same.select("a")).union(same.select("b")).distinct().join(nodes.select("node", *TEXT, F.col("doc_id").alias("least")), "node"))
+    own = hashed(documents).join(wanted, TEXT).where(F.col("doc_id").eqNullSafe(F.col("least")))
+    texts = own.groupBy("node").agg(F.first("text").alias("text"))
+
     linked = 100 * F.col("shared") >= percent * F.col("united")
-    tested = cut(_similarities(members.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")), documents, size))
-    links = cut(copies.union(tested.where(linked).select("a", "b")).distinct())
+    pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    tested = cut(_similarities(pairs.union(same), texts, size))
+    links = cut(tested.where(linked).select("a", "b").distinct())
     found = cut(components(links))
 
     # Hubs whose buckets still hold several components: members outside the hub's component meet all the others.
-    near = tested.groupBy(F.col("a").alias("doc_id"), F.col("b").alias("hub")).agg(F.max(F.col("shared") / F.col("united")).alias("j"))
-    labelled = members.join(near, ["doc_id", "hub"], "left").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    near = cut(tested.groupBy(F.col("a").alias("node"), F.col("b").alias("hub")).agg(F.max(F.col("shared") / F.col("united")).alias("j")))
+    labelled = cut(members.join(near, ["node", "hub"], "left").join(found.withColumnRenamed("id", "node"), "node", "left"))
     labelled = labelled.join(found.select(F.col("id").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
-    labelled = cut(labelled.select("hub", "doc_id", F.coalesce("j", F.lit(1.0)).alias("j"), F.coalesce("component", "doc_id").alias("c"), F.coalesce("hub_component", "hub").alias("hc")))
-    outside = labelled.where("c <> hc")
-    if not outside.isEmpty():
-        light = reps.select("doc_id", "n", "sketch")
-        side = lambda df, x, *more: df.join(light, "doc_id").select("hub", *more, F.col("doc_id").alias(x), F.col("j").alias(f"j_{x}"), F.col("c").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-        inside = side(labelled.join(outside.select("hub").distinct(), "hub", "left_semi"), "b", "hc")
+    labelled = cut(labelled.select("hub", "node", F.coalesce("j", F.lit(1.0)).alias("j"), F.coalesce("component", "node").alias("c"), F.coalesce("hub_component", "hub").alias("hc")))
+    chunks = cut(labelled.groupBy("hub").agg(F.ceil(F.count_if(F.col("c") != F.col("hc")) / OUTSIDERS).cast("int").alias("chunks")).where("chunks > 0"))
+    if not chunks.isEmpty():
+        side = lambda df, x, *more: df.join(reps.select("node", "n", "sketch"), "node").select("hub", "chunk", *more, F.col("node").alias(x), F.col("j").alias(f"j_{x}"), F.col("c").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+        here = labelled.join(chunks, "hub")
+        left = side(here.where("c <> hc").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int")), "a")
+        inside = side(here.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))), "b", "hc")
         # A pair of two outsiders is met from its larger end only.
         may = (
             (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("hc")) | (F.col("a") > F.col("b"))) & (F.col("b") != F.col("hub"))
@@ -193,14 +211,38 @@ def near_duplicates(documents: DataFrame, percent: int = 85, size: int = 5) -> D
             & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
             & F.expr(_agree(percent / 100))
         )
-        left = side(outside, "a").withColumnRenamed("hub", "hub_a")
-        pairs = cut(left.join(inside, (F.col("hub_a") == F.col("hub")) & may).select("a", "b").distinct())
-        more = _similarities(pairs, documents, size).where(linked).select("a", "b")
-        links = cut(links.union(more).distinct())
-        found = cut(components(links))
-    out = marks.select("doc_id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+        left, inside = (df.withColumnsRenamed({"hub": f"hub_{x}", "chunk": f"chunk_{x}"}) for df, x in ((left, "a"), (inside, "b")))
+        met = (F.col("hub_a") == F.col("hub_b")) & (F.col("chunk_a") == F.col("chunk_b"))
+        pairs = cut(left.join(inside.withColumn("hub", F.col("hub_b")), met & may).select("a", "b").distinct())
+        links = cut(links.union(_similarities(pairs, texts, size).where(linked).select("a", "b")).distinct())
+    return marks.select("doc_id", *TEXT, "n"), nodes.select("node", *TEXT, "doc_id", "rows"), links
+
+
+def near_duplicates(documents: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
+    """One row a document: the size of its shingle set, the least doc_id of its component, and whether that is itself.
+
+    Links: 100 * |intersection| >= percent * |union| of shingle sets. Texts that are null, empty or without words have
+    size 0 and link with nothing; a null doc_id links with nothing, has no component and is kept. Rows that repeat a
+    doc_id count as one document whose links are those of all its texts, and keep a row each. Ties are broken by the
+    least doc_id; an empty table gives an empty result; other columns are not read.
+    """
+    documents = documents.select("doc_id", "text")
+    marks, nodes, links = _clusters(documents.where("doc_id is not null"), percent, size)
+    # A doc_id with several texts links their nodes; a node's documents are known by its least doc_id.
+    several = marks.where("n > 0").select("doc_id", *TEXT).distinct().join(nodes.select(*TEXT, "node"), TEXT)
+    several = several.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("m")).where("m > 1")
+    if not several.isEmpty():
+        several = cut(marks.where("n > 0").join(several, "doc_id").select(*TEXT, "a").distinct().join(nodes.select(*TEXT, "node"), TEXT).select("a", F.col("node").alias("b")))
+        links = cut(links.union(several).distinct())
+    found = cut(components(links))
+    grouped = nodes.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.sum("rows").alias("all")).where("all > 1")
+    # Documents that share their component with no other row are their own.
+    named = cut(grouped.join(least, "component").select(*TEXT, "component_id"))
+    out = marks.join(named, TEXT, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    nameless = sketched(documents.where("doc_id is null"), size, 1, 1).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(nameless)
 
 
 def _agree(similarity: float) -> str:
@@ -216,7 +258,28 @@ def _agree(similarity: float) -> str:
 
 
 def keep_one(documents: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
-    """The rows of `documents` less those whose component has a smaller doc_id; all columns stay."""
-    found = near_duplicates(documents, percent, size)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One row of each component of near copies, with all its columns: one with the least doc_id, ids that are null last.
+
+    Rows are judged by their texts, whatever their doc_id, so of rows that repeat a document one stays, too. Rows
+    without words link with nothing and stay.
+    """
+    _, nodes, links = _clusters(documents.select("doc_id", "text"), percent, size)
+    found = cut(components(links))
+    grouped = nodes.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    best = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node"))["node"].alias("best"), F.sum("rows").alias("all")).where("all > 1")
+    judged = cut(grouped.join(best, "component").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("doc_id").alias("_least"), (F.col("node") == F.col("best")).alias("_best"), "rows"))
+    same = (F.xxhash64("text") == F.col("_h1")) & (F.xxhash64(F.lit(7), "text") == F.col("_h2"))
+    gone = judged.where("not _best or rows > 1").select("_h1", "_h2")
+    kept = documents.join(_small(gone), same, "left_anti")
+    # Of a text that several rows hold and that stays, one row with the least doc_id: combined before the shuffle.
+    once = judged.where("_best and rows > 1").select("_h1", "_h2", "_least")
+    if once.isEmpty():
+        return kept
+    rows = documents.join(_small(once), same & F.col("doc_id").eqNullSafe(F.col("_least")))
+    first = rows.groupBy("_h1", "_h2").agg(F.first(F.struct(*(F.col(c) for c in documents.columns))).alias("row"))
+    return kept.unionByName(first.select("row.*"))
+
+
+def _small(hashes: DataFrame) -> DataFrame:
+    """For a broadcast where rows of some 64 bytes take 64 MB at most; beyond that the join is shuffled."""
+    return F.broadcast(hashes) if hashes.count() <= BROADCAST_ROWS else hashes
