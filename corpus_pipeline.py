@@ -1,44 +1,37 @@
 """A corpus pipeline of five stages: toxicity, quality, near-duplicates, decontamination, packing.
 
 Each stage is (spark, docs, sf_dir) -> DataFrame. All but the last return the columns of `documents`, so that the result
-can be written and read again as the next one's docs; the last returns the pieces of the packed sequences.
+can be written and read again as the next one's docs; the last returns the pieces of the packed sequences. Rows are judged
+each by its own text, whatever their doc_id.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from inkstrata.llm import decontaminate, minhash_dedup, packing, quality, toxicity
 from inkstrata.llm.common import cut, table
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    gone = rejected.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator predicts toxic go. Rows without doc_id stay."""
-    model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return _without(docs, toxicity.score(docs, model).where("predicted = 1"))
+    """Rows whose text the toxicity operator predicts toxic go, in the pass that scores them."""
+    return toxicity.keep_clean(docs, toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts poor go. Rows without doc_id stay."""
-    net = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return _without(docs, quality.score(docs, net).where("predicted = 0"))
+    """Rows whose text the quality classifier predicts poor go, in the pass that scores them."""
+    return quality.keep_good(docs, quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8 or more) stays: that with the least doc_id."""
+    """One row of each group of near copies (five words, similarity 0.8 or more) stays: that with the least doc_id."""
     return minhash_dedup.keep_one(docs, percent=80, size=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages, to a twentieth of their words at least, go. Rows without doc_id stay."""
-    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    """Rows whose text holds a benchmark passage, thirteen words or a whole shorter item, go, however long the text is."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"), size=13)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +47,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Classifiers and packing are not expressible in SQL; tests hold each stage against brute force instead.
+#: Classifiers and packing are not expressible in SQL; tests/llm/test_pipeline.py holds each stage against plain Python.
 ORACLE_SQL = None
 
 
