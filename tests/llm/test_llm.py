@@ -157,6 +157,83 @@ def test_html():
     assert html_extract.extract("") == "" and html_extract.extract("<nav>x</nav><!-- open") == "" and html_extract.extract("<p") == ""
 
 
+BODY = "<h1>A title</h1><p>The river and the stone are in the light of the day.</p><p>Short.</p><p>And so it was for all of them, who had been there for a long time with no one to tell.</p>"
+PLAIN = "A title\nThe river and the stone are in the light of the day.\nShort.\nAnd so it was for all of them, who had been there for a long time with no one to tell."
+COMMENTS = '<div id="comments"><article class="comment"><p>First! This is the best of all that is on the page.</p></article></div>'
+
+
+@pytest.mark.parametrize("before, after", [
+    ("<article>", "</article>"), ('<div class="layout has-sidebar"><article>', "</article></div>"), ('<main class="content no-sidebar">', "</main>"), ('<article class="post share-enabled">', "</article>"),
+    ('<div class="page with-nav"><article>', "</article></div>"), ('<form id="aspnetForm"><div>', "</div></form>"), ('<form id="f"><article>', "</article></form>"), ('<div class="sidebar-page"><main>', "</main></div>"), ("<div class=post>", "</div>"),
+    ('<article><div class="social-share"><p>Share this with all of your friends.</p></div>', '<form><p>Write to us about it.</p></form></article><aside class="menu"><p>There is more of it.</p></aside>'),
+])
+def test_html_wrappers(before, after):
+    for more in ("", COMMENTS):
+        page = f'<html><body class="has-nav"><nav><a href="/">Home</a></nav><div class="cookieBanner"><p>We use cookies on this site.</p></div>{before}{BODY}{after}{more}<footer><p>All of the rights are ours.</p></footer></body></html>'
+        assert html_extract.extract(page) == PLAIN
+
+
+def plain_extract(page):
+    """Well-formed pages whose text stands in article, by another parser."""
+    from html.parser import HTMLParser
+
+    class P(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.now, self.inside, self.off = [], "", 0, 0
+
+        def cut(self):
+            self.out += [" ".join(self.now.split())] if self.now.split() and self.inside and not self.off else []
+            self.now = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("p", "h1", "h2", "article", "div", "li", "ul", "aside"):
+                self.cut()
+            self.inside += tag == "article"
+            self.off += tag in ("aside", "script", "style")
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "h1", "h2", "article", "div", "li", "ul", "aside"):
+                self.cut()
+            self.inside -= tag == "article"
+            self.off -= tag in ("aside", "script", "style")
+
+        def handle_data(self, data):
+            self.now += data if not self.off else ""
+
+    p = P()
+    p.feed(page)
+    return "\n".join(p.out)
+
+
+def test_html_against_another_parser():
+    r = random.Random(4)
+    word = lambda: r.choice("the|and|river|of|stone|&amp;|in|<b>light</b>|day&nbsp;time|<i>x</i>|<script>var a='<p>';</script>|5 &lt; 6".split("|"))
+    for _ in range(200):
+        text = lambda: " ".join(word() for _ in range(r.randrange(1, 40)))
+        body = "".join(r.choice(["<p>{}</p>", "<div>{}</div>", "<h2>{}</h2>", "<p class='x > y' title=\"it's\">{}</p>", "<ul><li>{}</li></ul>", "<aside>{}</aside>", "<!-- {} -->"]).format(text()) for _ in range(r.randrange(1, 9)))
+        page = f"<html><body><nav><a href=x>{word()}</a></nav><article><p>the river is in the light of the day</p>{body}</article><footer>{word()}</footer></body></html>"
+        assert html_extract.extract(page) == plain_extract(page), page
+
+
+def test_html_broken_markup_in_linear_time():
+    import time
+
+    for bad in ("<a title=\"x>text</a> <b ' y=\"1\">" * 30_000, "<div>" * 10_000 + "</span>" * 130_000, "<object>x" * 110_000, "<a " + "x='" * 330_000, '<p "' * 250_000, "<!-- x " * 140_000, "<div class=a>" * 77_000):
+        began = time.time()
+        html_extract.extract(bad)
+        assert time.time() - began < 4, bad[:40]
+
+
+def test_html_table(spark):
+    rows = [(1, "u", None), (2, None, ""), (None, "u", BODY), (3, "u", f"<article>{BODY}"), (3, "u", f"<article>{BODY}"), (4, "u", "<p>" + "the river is long. " * 30_000)]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html_extract.extract_pages(pages).collect()), key=repr)
+    want = [(i, u, t, len(t)) for (i, u, _), t in zip(rows, ["", "", PLAIN, PLAIN, PLAIN, ("the river is long. " * 30_000).strip()], strict=True)]
+    assert got == sorted(want, key=repr)
+    assert html_extract.extract_pages(pages.limit(0)).count() == 0
+
+
 def brute_hits(text, items, size=13):
     w = [x.decode() for x in license_scan.ascii_words((text or "").encode())]
     hit, names = set(), set()
