@@ -276,25 +276,88 @@ def test_sharding(spark, odd, none):
     assert sharding.shard(odd).count() == len(ODD) and sharding.shard(none).count() == 0
 
 
+def brute_links(v, least=0.93):
+    """(links by row, least id by row) of rows (id, vector, label); rows of one id share the component."""
+    fine = [k for k, (i, e, y) in enumerate(v) if i is not None and y is not None and e and all(x is not None and np.isfinite(x) for x in e) and any(e)]
+    unit = {k: np.array(v[k][1]) / max(map(abs, v[k][1])) for k in fine}
+    unit = {k: x / np.linalg.norm(x) for k, x in unit.items()}
+    links, root = [0] * len(v), list(range(len(v)))
+
+    def top(k):
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    groups = {}
+    for k in fine:
+        groups.setdefault((v[k][2], len(v[k][1])), []).append(k)
+    for ks in groups.values():
+        m = np.stack([unit[k] for k in ks])
+        for at in range(0, len(ks), 1000):
+            for x, y in zip(*np.nonzero(m[at : at + 1000] @ m.T >= least), strict=True):
+                if ks[at + x] != ks[y]:
+                    links[ks[at + x]] += 1
+                    a, b = top(ks[at + x]), top(ks[y])
+                    root[max(a, b)] = min(a, b)
+    first = {}
+    for k in fine:
+        a, b = top(k), top(first.setdefault(v[k][0], k))
+        root[max(a, b)] = min(a, b)
+    low = {}
+    for k in fine:
+        low[top(k)] = min(v[k][0], low.get(top(k), v[k][0]))
+    return links, [low[top(k)] if k in unit else v[k][0] for k in range(len(v))]
+
+
+def check_vectors(spark, v, **options):
+    schema = "vec_id long, embedding array<double>, label int, class string, n int, h string"
+    got = embedding_dedup.linked(spark.createDataFrame([(*r, "x", 1, "y") for r in v], schema), **options).collect()
+    links, low = brute_links(v)
+    want = sorted(((i, n, c, i is None or i == c) for (i, _, _), n, c in zip(v, links, low, strict=True)), key=repr)
+    assert sorted(((x.vec_id, x.n_links, x.component_id, x.kept) for x in got), key=repr) == want
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(2)
     centers = r.standard_normal((40, 16))
     v = [(i, (centers[i % 40] + r.standard_normal(16) * 0.3).tolist(), i % 3) for i in range(900)]
     v += [(900, v[5][1], v[5][2]), (901, None, 1), (902, [0.0] * 16, 1), (903, [float("nan")] * 16, 1), (904, v[6][1], None), (905, [], 1), (906, [x * 1e30 for x in v[7][1]], v[7][2])]
-    got = {x.vec_id: x for x in embedding_dedup.linked(spark.createDataFrame(v, "vec_id long, embedding array<double>, label int"), shard_rows=150).collect()}
-    unit = {i: np.array(e) / np.linalg.norm(np.array(e) / max(map(abs, e))) / max(map(abs, e)) for i, e, label in v if e and label is not None and np.isfinite(e).all() and any(e)}
-    label = {i: y for i, _, y in v}
-    links = {i: {j for j in unit if j != i and label[i] == label[j] and unit[i] @ unit[j] >= 0.93} for i in unit}
-    total = sum(map(len, links.values()))
-    assert abs(sum(got[i].n_links for i in unit) - total) <= 0.02 * total and len(got) == len(v)
-    for i in (901, 902, 903, 904, 905):
-        assert got[i].n_links == 0 and got[i].component_id == i and got[i].kept
-    for i in unit:
-        assert got[i].n_links <= len(links[i]) + 0 and got[i].component_id <= i
+    v += [(None, v[8][1], v[8][2]), (907, [*v[9][1][:15], None], 0), (908, [1.0, 2.0], 0), (909, [2.0, 4.0], 0)]
+    check_vectors(spark, v, shard_rows=150)
     empty = spark.createDataFrame([], "vec_id long, embedding array<double>, label int")
     assert embedding_dedup.linked(empty).count() == 0
 
 
+def test_embeddings_of_repeated_ids(spark):
+    x, y, z = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    check_vectors(spark, [(7, x, 1), (3, x, 1), (7, y, 1), (9, y, 1), (9, z, 2), (11, z, 2), (11, z, 2), (12, z, 1), (7, x, 1), (13, None, 1), (13, y, 3)])
+
+
+def test_embeddings_in_shards_of_thousands(spark):
+    # Two shards of about 2,500 vectors: a third of all rows is one group of near copies, the others come in pairs.
+    r = np.random.default_rng(6)
+    n, d = 5000, 24
+    v = r.standard_normal((n, d))
+    v[: n // 3] = v[0] + 0.08 * r.standard_normal((n // 3, d))
+    v[n // 3 + 1 : n : 2] = v[n // 3 : n - 1 : 2] + 0.1 * r.standard_normal((len(range(n // 3 + 1, n, 2)), d))
+    check_vectors(spark, [(int(i), row.tolist(), 1) for i, row in zip(r.permutation(n), v, strict=True)], shard_rows=2500)
+
+
+def test_forest_spans_what_links_join():
+    r = np.random.default_rng(3)
+    for n, m in ((1, 0), (50, 20), (400, 300), (400, 5000)):
+        forest, edges = embedding_dedup.Forest(n), r.integers(0, n, (m, 2))
+        for at in range(0, m, 64):
+            forest.link(edges[at : at + 64, 0], edges[at : at + 64, 1])
+        kept, root = forest.links(), {}
+        find = lambda k: k if root.get(k, k) == k else find(root[k])
+        for a, b in edges:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        trees = len({find(k) for k in range(n)})
+        assert len(kept) == n - trees and [find(k) for k in range(n)] == forest.root.tolist()
+
+
 @pytest.mark.parametrize("same", [False, True])
 def test_rare_links_at_full_shard_size(same):
     # 200 planted links among 12,000 vectors: a sample of 64 queries meets about one of them, or only itself.
