@@ -7,52 +7,53 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.text import once
 from .operators import files as D
 from .operators import learn as L
 from .operators import repos as R
 from .operators import rules as U
 from .operators import scores as S
 from .operators import transforms as X
-from .sources.corpus import cut, suppress, without_ignored
+from .sources.corpus import hushed, without_ignored
+
+C = F.col
 
 REPO_DETECTORS = (R.architecture_findings, R.workflow_findings, R.metadata_findings, R.promotion_findings, R.maintenance_findings, R.name_findings)
 
 
-def file_parts(files: DataFrame, comment_threshold: float = 0.45, recipes: list | None = None, security: bool = True) -> list[DataFrame]:
-    """Findings of each file detector."""
+def file_findings(files: DataFrame, comment_threshold: float = 0.45, recipes: list | None = None, security: bool = True) -> DataFrame:
+    """Findings of all file detectors, in one pass over the files, without those on suppressed lines.
+
+    Also on a stream when recipes is an empty list: a recipe's clusters need all matches of a file.
+    """
     recipes = U.builtin() if recipes is None else recipes
-    p = D.prepared(without_ignored(files))
-    out = [D.lexical_findings(p), D.comment_findings(p, comment_threshold), D.structure_findings(p), D.test_findings(p), D.idiom_findings(p), D.prompt_findings(p), D.readme_findings(p)]
-    if security:
-        out.append(U.security_findings(p))
+    p = D.add_all(D.prepared(without_ignored(files)))
+    more = [*([U.security_flags()] if security else []), *([U.recipe_flags(recipes)] if recipes else [])]
+    p = once(p, found=F.concat(F.filter(F.array(*D.all_flags(comment_threshold)), lambda f: f.isNotNull()), *more), hush=hushed(C("lines")))
+    rows = p.select("repo", "path", "hush", F.inline("found"))
+    rows = rows.withColumn("hush", C("line_start").isNotNull() & F.array_contains("hush", C("line_start")))
     if recipes:
-        out.append(U.boosted(U.recipe_findings(p, recipes), recipes).select(*D.FINDING))
-    return out
+        rows = U.boosted(U.named(rows, recipes), recipes)
+    return rows.where("not hush").select(*D.FINDING)
 
 
-def file_findings(files: DataFrame, comment_threshold: float = 0.45, recipes: list | None = None, security: bool = True) -> DataFrame:
-    """Findings of all file detectors; also on a stream when recipes is an empty list."""
-    return reduce(DataFrame.unionByName, file_parts(files, comment_threshold, recipes, security))
+def repo_findings(files: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """Findings of the repository detectors, if given only of the repositories in `repos` (repo): those under version control."""
+    if repos is not None:
+        files = files.join(repos.select("repo").distinct(), "repo", "left_semi")
+    return reduce(DataFrame.unionByName, (detect(files) for detect in REPO_DETECTORS))
 
 
-def scan(files: DataFrame, commits: DataFrame | None = None, min_severity: str = "low", mixed: bool = False, comment_threshold: float = 0.45, recipes: list | None = None, security: bool = True) -> DataFrame:
+def scan(
+    files: DataFrame, commits: DataFrame | None = None, min_severity: str = "low", mixed: bool = False, comment_threshold: float = 0.45, recipes: list | None = None, security: bool = True,
+    repos: DataFrame | None = None, categories: tuple[str, ...] = (), min_confidence: float = 0.0,
+) -> DataFrame:
     """The findings table of files and, if given, commits."""
-    found = suppress(file_findings(files, comment_threshold, recipes, security), files)
-    for detect in REPO_DETECTORS:
-        found = found.unionByName(detect(files))
-    if commits is not None:
-        found = found.unionByName(R.commit_findings(commits))
-    return S.at_least(S.mixed(found) if mixed else found, min_severity)
-
-
-def scan_apart(files: DataFrame, commits: DataFrame | None = None, repo_files: DataFrame | None = None) -> DataFrame:
-    """What scan finds, and the repository detectors on repo_files if given. Each detector runs in a plan of its own and its
-    findings are written once to the checkpoint folder, as one plan of all detectors takes minutes to compile."""
-    parts = [suppress(found, files) for found in file_parts(files)]
-    parts += [detect(f) for f in (files, repo_files) if f is not None for detect in REPO_DETECTORS]
+    found = file_findings(files, comment_threshold, recipes, security).unionByName(repo_findings(files, repos))
     if commits is not None:
-        parts.append(R.commit_findings(commits))
-    return reduce(DataFrame.unionByName, [cut(found.select(*D.FINDING)) for found in parts])
+        found = found.unionByName(R.commit_findings(commits if repos is None else commits.join(repos.select("repo").distinct(), "repo", "left_semi")))
+    found = S.at_least(S.mixed(found) if mixed else found, min_severity)
+    return S.confident(S.of_categories(found, categories), min_confidence)
 
 
 def grade(spark: SparkSession, findings: DataFrame) -> tuple[DataFrame, DataFrame]:

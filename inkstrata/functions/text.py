@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
@@ -16,6 +17,33 @@ DEAD_TERMS = tuple(t for t in V.LEXICAL if any(o != t and o in t and t.index(o)
 LEXICAL_PATTERN = "|".join(t for t in V.LEXICAL if t not in DEAD_TERMS)
 
 
+def any_regex(terms: Iterable[str]) -> str:
+    """A regular expression for any of the terms, the longest first, that reads their common beginnings once."""
+    tree: dict = {}
+    for term in terms:
+        at = tree
+        for c in term:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def written(node: dict) -> str:
+        ways = [re.escape(c) + written(below) for c, below in sorted(node.items()) if c]
+        if not ways:
+            return ""
+        body = ways[0] if len(ways) == 1 and "" not in node else "(?:" + "|".join(ways) + ")"
+        return body + "?" * ("" in node)
+
+    return written(tree)
+
+
+LEXICAL_REGEX = any_regex(t for t in V.LEXICAL if t not in DEAD_TERMS)
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are evaluated once for each row: what a generator gives is not written into later expressions."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def ascii_lower(x: Column) -> Column:
     return F.translate(x, UPPER, LOWER)
 
@@ -63,17 +91,14 @@ def first_words(x: Column, n: int) -> Column:
 
 
 def mode_count(values: Column) -> Column:
-    """How often the most frequent element of an array occurs; 0 if it is empty."""
-    counts = F.transform(F.array_distinct(values), lambda v: F.size(F.filter(values, lambda x: x == v)))
-    return F.coalesce(F.array_max(counts), F.lit(0))
+    """How often the most frequent element of an array of texts occurs; 0 if it is empty. Equal ones stand together when sorted."""
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
+    def step(a: Column, x: Column) -> Column:
+        run = F.when(a["last"].eqNullSafe(x), a["run"] + 1).otherwise(F.lit(1))
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
 
-def variation(values: Column) -> Column:
-    """Population standard deviation over mean; 0 for fewer than two values or mean 0."""
-    n = F.size(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double")) / n
-    square = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x.cast("double") - mean) * (x.cast("double") - mean)) / n
-    return F.when((n < 2) | (mean == 0), F.lit(0.0)).otherwise(F.sqrt(square) / mean)
+    return F.coalesce(F.aggregate(F.array_sort(values), start, step, lambda a: a["best"]), F.lit(0))
 
 
 def language(ext: Column) -> Column:

@@ -1,4 +1,8 @@
-"""File detectors: one projection of array expressions gives all metrics of a file, without a shuffle."""
+"""File detectors: one pass of array expressions gives all metrics of a file, without a shuffle.
+
+Each `add_...` puts a detector's metrics beside a file, each `..._flags` turns them into findings or nulls, and `emit` lists
+the findings. A detector's own query and the scan of all detectors are made of the same parts.
+"""
 
 from __future__ import annotations
 
@@ -9,16 +13,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.text import LEXICAL_PATTERN, any_of, ascii_lower, comment_body, first_words, hits, is_comment, language, lines, mode_count, starts_with_any, trim, variation
+from ..functions.text import LEXICAL_REGEX, any_of, ascii_lower, comment_body, first_words, hits, is_comment, language, lines, mode_count, once, starts_with_any, trim
 
 #: Columns of a finding.
 FINDING = ("repo", "path", "detector", "id", "category", "severity", "confidence", "line_start", "line_end", "ord")
+#: What a finding says of itself besides; recipe matches await their id and severity.
+FLAG = "struct<detector:string,id:string,category:string,severity:string,confidence:double,line_start:int,line_end:int,ord:bigint,recipe:string,kind:string,key:string>"
+
+
+def known() -> Column:
+    return F.col("lang") != "unknown"
 
 
 def prepared(files: DataFrame) -> DataFrame:
-    """Adds the lines, trimmed lines, lowered content and language that the detectors share."""
-    f = files.select("repo", "path", "name", "ext", "size", "content").withColumn("lang", language(F.col("ext"))).withColumn("lines", lines(F.col("content")))
-    return f.withColumn("lc", ascii_lower(F.coalesce("content", F.lit("")))).withColumn("trimmed", F.transform("lines", trim)).withColumn("n_lines", F.greatest(F.lit(1), F.size("lines")))
+    """Adds the lines, trimmed lines, lowered content and language that the detectors share; each is made once."""
+    f = files.select("repo", "path", "name", "ext", "size", "content").withColumn("lang", language(F.col("ext")))
+    f = once(f, lines=lines(F.col("content")), lc=ascii_lower(F.coalesce("content", F.lit(""))))
+    return once(f, trimmed=F.transform("lines", trim), n_lines=F.greatest(F.lit(1), F.size("lines")))
 
 
 def where_in_lines(array: Column, test: Callable[[Column], Column]) -> Column:
@@ -30,41 +41,45 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
 
 
+def add_lexical(p: DataFrame) -> DataFrame:
+    # No term holds a line end, so the matches of the lines are those of the text.
+    p = once(p, per_line=F.when(known() & F.regexp_like("lc", F.lit(LEXICAL_REGEX)), F.transform("lines", lambda x: F.regexp_extract_all(ascii_lower(x), F.lit(LEXICAL_REGEX), F.lit(0)))).otherwise(F.array().cast("array<array<string>>")))
+    p = once(p, found=F.flatten("per_line"), places=where_in_lines(F.col("per_line"), lambda x: F.size(x) > 0))
+    return once(p, matches=F.size("found"), terms=F.size(F.array_distinct("found")), first_line=F.array_min("places"), last_line=F.array_max("places")).drop("per_line", "found", "places")
+
+
 def lexical(p: DataFrame) -> DataFrame:
-    p = p.withColumn("found", F.regexp_extract_all("lc", F.lit(LEXICAL_PATTERN), F.lit(0)))
-    places = where_in_lines(F.col("lines"), lambda x: F.regexp_like(ascii_lower(x), F.lit(LEXICAL_PATTERN)))
-    return p.withColumn("places", places).select("*", F.size("found").alias("matches"), F.size(F.array_distinct("found")).alias("terms"), F.array_min("places").alias("first_line"), F.array_max("places").alias("last_line"), F.array_join(F.slice(F.array_sort(F.array_distinct("found")), 1, 4), ", ").alias("sample"))
+    return add_lexical(p.where(known()))
+
+
+def add_comments(p: DataFrame) -> DataFrame:
+    p = once(p, own=F.when(known(), F.filter(F.transform("trimmed", lambda x, i: F.struct(x.alias("x"), (i + 1).alias("no"))), lambda r: is_comment(r["x"]))).otherwise(F.array().cast("array<struct<x:string,no:int>>")))
+    starts = F.filter(F.transform("own", lambda r: first_words(comment_body(r["x"]), 3)), lambda x: x != "")
+    p = once(
+        p, non_empty=F.size(F.filter("trimmed", lambda x: x != "")), comment_lines=F.size("own"), tutorial=F.size(F.filter("own", lambda r: any_of(ascii_lower(r["x"]), V.TUTORIAL))),
+        first_comment=F.get("own", F.lit(0))["no"], last_comment=F.get("own", F.size("own") - 1)["no"], most=mode_count(starts),
+    )
+    return once(p, density=ratio(F.col("comment_lines"), F.col("non_empty")), comment_prefix_ratio=ratio(F.col("most"), F.col("comment_lines"))).drop("own", "most")
 
 
 def comments(p: DataFrame) -> DataFrame:
-    own = F.filter("trimmed", is_comment)
-    p = p.withColumn("own", own).withColumn("places", where_in_lines(F.col("trimmed"), is_comment))
-    starts = F.filter(F.transform("own", lambda x: first_words(comment_body(x), 3)), lambda x: x != "")
-    p = p.withColumn("starts", starts)
-    return p.select(
-        "*",
-        F.size(F.filter("trimmed", lambda x: x != "")).alias("non_empty"),
-        F.size("own").alias("comment_lines"),
-        F.size(F.filter("own", lambda x: any_of(ascii_lower(x), V.TUTORIAL))).alias("tutorial"),
-        F.array_min("places").alias("first_line"), F.array_max("places").alias("last_line"),
-        mode_count(F.col("starts")).alias("most"),
-    ).withColumn("density", ratio(F.col("comment_lines"), F.col("non_empty"))).withColumn("prefix_ratio", ratio(F.col("most"), F.col("comment_lines")))
+    return add_comments(p.where(known())).withColumnRenamed("comment_prefix_ratio", "prefix_ratio")
 
 
 def headings(trimmed: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(trimmed, lambda x: F.startswith(x, F.lit("#"))), lambda x: ascii_lower(trim(F.regexp_replace(x, "^#+", "")))))
 
 
-def readme(p: DataFrame) -> DataFrame:
-    known = F.array(*map(F.lit, V.README_HEADINGS))
-    return p.select("*", F.size(F.array_intersect(headings(F.col("trimmed")), known)).alias("sections"), hits(F.col("lc"), V.README_PHRASES).alias("phrases"))
+def add_readme(p: DataFrame) -> DataFrame:
+    wanted, md = F.array(*map(F.lit, V.README_HEADINGS)), F.col("ext") == "md"
+    return once(p, sections=F.when(md, F.size(F.array_intersect(headings(F.col("trimmed")), wanted))), phrases=F.when(md, hits(F.col("lc"), V.README_PHRASES)))
 
 
 def by_language(make: Callable[[str], Column], names) -> Column:
     return reduce(lambda out, name: F.when(F.col("lang") == name, make(name)).otherwise(out), names, F.lit(None))
 
 
-def test_shape(p: DataFrame) -> DataFrame:
+def add_test_shape(p: DataFrame) -> DataFrame:
     def names(lang: str) -> Column:
         pattern, start, _, _ = V.TEST_SHAPES[lang]
         got = F.transform(F.col("trimmed"), lambda x: F.regexp_extract(x, pattern, 1))
@@ -74,33 +89,41 @@ def test_shape(p: DataFrame) -> DataFrame:
         _, _, inside, start = V.TEST_SHAPES[lang]
         return F.size(F.filter("trimmed", lambda x: any_of(x, inside) | starts_with_any(x, start) if start else any_of(x, inside)))
 
-    p = p.where("lang <> 'unknown'").withColumn("tests", by_language(names, V.TEST_SHAPES)).withColumn("asserts", by_language(asserts, V.TEST_SHAPES))
-    starts = F.transform("tests", lambda x: F.substring_index(x, "_", 2))
-    p = p.withColumn("starts", starts).withColumn("test_count", F.size("tests"))
-    return p.withColumn("prefix_ratio", ratio(mode_count(F.col("starts")), F.col("test_count"))).withColumn("assert_density", ratio(F.col("asserts"), F.col("test_count")))
+    p = once(p, tests=by_language(names, V.TEST_SHAPES), asserts=by_language(asserts, V.TEST_SHAPES))
+    p = once(p, test_count=F.size("tests"), same_start=mode_count(F.transform("tests", lambda x: F.substring_index(x, "_", 2))))
+    return once(p, test_prefix_ratio=ratio(F.col("same_start"), F.col("test_count")), assert_density=ratio(F.col("asserts"), F.col("test_count"))).drop("tests", "same_start")
 
 
-def structure(p: DataFrame) -> DataFrame:
-    """Function lengths, documentation and visibility, by one fold over the lines of each language."""
-    p = p.where("lang <> 'unknown'").drop("trimmed")
-    p = p.withColumn("is_fn", by_language(lambda n: F.transform("lines", lambda x: F.regexp_like(x, F.lit("(?U)" + V.FUNCTION_PATTERNS[n]))), V.FUNCTION_PATTERNS))
-    p = p.withColumn("is_doc", by_language(lambda n: F.transform("lines", lambda x: F.regexp_like(x, F.lit("(?U)" + V.DOC_PATTERNS[n]))), V.DOC_PATTERNS))
+def test_shape(p: DataFrame) -> DataFrame:
+    return add_test_shape(p.where(known())).withColumnRenamed("test_prefix_ratio", "prefix_ratio")
+
+
+def add_structure(p: DataFrame) -> DataFrame:
+    """Function lengths, documentation and visibility, by one fold over the lines of each language whose state keeps its size."""
+    p = once(
+        p,
+        is_fn=by_language(lambda n: F.transform("lines", lambda x: F.regexp_like(x, F.lit("(?U)" + V.FUNCTION_PATTERNS[n]))), V.FUNCTION_PATTERNS),
+        is_doc=by_language(lambda n: F.transform("lines", lambda x: F.regexp_like(x, F.lit("(?U)" + V.DOC_PATTERNS[n]))), V.DOC_PATTERNS),
+    )
     stripped = lambda x: F.regexp_replace(x, r"(?U)^\s+", "")
-    p = p.withColumn("is_pub", by_language(lambda n: F.transform("lines", lambda x: F.startswith(stripped(x), F.lit(V.PUBLIC_STARTS[n])) if n in V.PUBLIC_STARTS else F.lit(True)), V.FUNCTION_PATTERNS))
+    pub = lambda n: F.transform("lines", lambda x: F.startswith(stripped(x), F.lit(V.PUBLIC_STARTS[n])) if n in V.PUBLIC_STARTS else F.lit(True))
+    # Files without a function need no fold.
+    p = once(p, is_pub=F.when(F.exists("is_fn", lambda x: x), by_language(pub, V.FUNCTION_PATTERNS)))
     # Per line: braces as +1 and -1 in order, indent (null if blank), and whether it may belong to a look-back run.
     run = lambda x: F.when(F.col("lang") == "python", F.startswith(trim(x), F.lit('"""'))).otherwise(F.startswith(trim(x), F.lit("//"))) | starts_with_any(trim(x), ("#", "*", "/*")) | (trim(x) == "")
-    p = p.withColumn("rows", F.transform("lines", lambda x, i: F.struct(
+    p = once(p, rows=F.when(F.col("is_pub").isNotNull(), F.transform("lines", lambda x, i: F.struct(
         i.alias("i"), F.regexp_replace(x, r"[^{}]", "").alias("braces"),
         F.when(trim(x) == "", F.lit(None)).otherwise(F.length(x) - F.length(stripped(x))).alias("indent"), run(x).alias("run"),
         F.get("is_fn", i).alias("fn"), F.get("is_doc", i).alias("doc"), F.get("is_pub", i).alias("pub"),
-    )))
-    start = F.expr("named_struct('open', false, 'begin', 0, 'last', 0, 'depth', 0, 'seen', false, 'indent', 0, 'doc', false, 'pub', false, 'behind', false, 'out', array_repeat(named_struct('len', 0, 'doc', false, 'pub', false), 0))")
+    ))))
+    start = F.expr("named_struct('open', false, 'begin', 0, 'last', 0, 'depth', 0, 'seen', false, 'indent', 0, 'doc', false, 'pub', false, 'behind', false, 'n', 0, 'sum', 0L, 'squares', 0L, 'docs', 0, 'pubs', 0)")
 
-    def closed(a: Column, end: Column) -> Column:
-        return F.concat(a["out"], F.array(F.struct((end - a["begin"] + 1).alias("len"), a["doc"].alias("doc"), a["pub"].alias("pub"))))
+    def closed(a: Column, end: Column) -> dict[str, Column]:
+        size = (end - a["begin"] + 1).cast("long")
+        return {"open": F.lit(False), "n": a["n"] + 1, "sum": a["sum"] + size, "squares": a["squares"] + size * size, "docs": a["docs"] + a["doc"].cast("int"), "pubs": a["pubs"] + a["pub"].cast("int")}
 
     def state(a, **new) -> Column:
-        fields = ("open", "begin", "last", "depth", "seen", "indent", "doc", "pub", "behind", "out")
+        fields = ("open", "begin", "last", "depth", "seen", "indent", "doc", "pub", "behind", "n", "sum", "squares", "docs", "pubs")
         return F.struct(*(new.get(f, a[f]).alias(f) for f in fields))
 
     def braces(a: Column, text: Column) -> Column:
@@ -123,68 +146,117 @@ def structure(p: DataFrame) -> DataFrame:
         def enter(b: Column) -> Column:
             got = braces(state(b, depth=F.lit(0), seen=F.lit(False)), r["braces"])
             fresh = state(b, open=F.lit(True), begin=r["i"], last=r["i"], depth=got["depth"], seen=got["seen"], indent=F.coalesce(r["indent"], F.lit(0)), doc=b["behind"], pub=r["pub"], behind=behind)
-            done = state(fresh, open=F.lit(False), out=closed(fresh, r["i"]))
+            done = state(fresh, **closed(fresh, r["i"]))
             return F.when(~r["fn"], state(b, behind=behind)).when(~python & got["done"], done).otherwise(fresh)
 
         ended = python & a["open"] & r["indent"].isNotNull() & (r["indent"] <= a["indent"])
-        shut = state(a, open=F.lit(False), out=closed(a, a["last"]))
+        shut = state(a, **closed(a, a["last"]))
         got = braces(a, r["braces"])
-        inside = F.when(python, state(a, last=F.when(r["indent"].isNull(), a["last"]).otherwise(r["i"]), behind=behind)).when(got["done"], state(a, open=F.lit(False), out=closed(a, r["i"]), behind=behind)).otherwise(state(a, depth=got["depth"], seen=got["seen"], last=r["i"], behind=behind))
+        inside = F.when(python, state(a, last=F.when(r["indent"].isNull(), a["last"]).otherwise(r["i"]), behind=behind)).when(got["done"], state(a, **closed(a, r["i"]), behind=behind)).otherwise(state(a, depth=got["depth"], seen=got["seen"], last=r["i"], behind=behind))
         return F.when(ended, enter(shut)).when(a["open"], inside).otherwise(enter(a))
 
     def finish(a: Column) -> Column:
-        return F.when(a["open"], closed(a, a["last"])).otherwise(a["out"])
+        return F.when(a["open"], state(a, **closed(a, a["last"]))).otherwise(a)
 
-    p = p.withColumn("functions", F.aggregate("rows", start, step, finish))
-    n = F.size("functions")
-    return p.select(
-        "repo", "path", "lang", "n_lines", n.alias("function_count"), variation(F.transform("functions", lambda f: f["len"])).alias("length_cv"),
-        ratio(F.size(F.filter("functions", lambda f: f["doc"])), n).alias("doc_coverage"), ratio(F.size(F.filter("functions", lambda f: f["pub"])), n).alias("pub_fraction"),
-    )
+    p = once(p, fold=F.aggregate("rows", start, step, finish)).drop("is_fn", "is_doc", "is_pub", "rows")
+    f, n = F.col("fold"), F.coalesce(F.col("fold.n"), F.lit(0))
+    # Deviation over mean, from exact sums.
+    cv = F.when((n < 2) | (f["sum"] == 0), F.lit(0.0)).otherwise(F.sqrt((n * f["squares"] - f["sum"] * f["sum"]).cast("double")) / f["sum"])
+    return once(p, function_count=n, length_cv=F.coalesce(cv, F.lit(0.0)), doc_coverage=F.coalesce(ratio(f["docs"], n), F.lit(0.0)), pub_fraction=F.coalesce(ratio(f["pubs"], n), F.lit(0.0))).drop("fold")
 
 
-def finding(df: DataFrame, order: int, detector: str, id_: str, category: str, high: Column, confidence: Column, start=None, end=None) -> DataFrame:
-    return df.select(
-        "repo", "path", F.lit(detector).alias("detector"), F.lit(id_).alias("id"), F.lit(category).alias("category"), F.when(high, "high").otherwise("medium").alias("severity"),
-        F.least(F.lit(1.0), F.greatest(F.lit(0.0), confidence)).alias("confidence"), (F.lit(1) if start is None else start).cast("int").alias("line_start"), (F.col("n_lines") if end is None else end).cast("int").alias("line_end"), F.lit(order * 10**12).cast("long").alias("ord"),
-    )
+def structure(p: DataFrame) -> DataFrame:
+    return add_structure(p.where(known())).select("repo", "path", "lang", "n_lines", "function_count", "length_cv", "doc_coverage", "pub_fraction")
+
+
+def flag(test: Column, order: int, detector: str, id_: str, category: str, high: Column, confidence: Column, start=None, end=None) -> Column:
+    """A finding where the test holds, else null."""
+    none = F.lit(None).cast("string")
+    return F.when(test, F.struct(
+        F.lit(detector).alias("detector"), F.lit(id_).alias("id"), F.lit(category).alias("category"), F.when(high, "high").otherwise("medium").alias("severity"),
+        F.least(F.lit(1.0), F.greatest(F.lit(0.0), confidence.cast("double"))).alias("confidence"), (F.lit(1) if start is None else start).cast("int").alias("line_start"), (F.col("n_lines") if end is None else end).cast("int").alias("line_end"),
+        F.lit(order * 10**12).cast("long").alias("ord"), none.alias("recipe"), none.alias("kind"), none.alias("key"),
+    )).cast(FLAG)
+
+
+def emit(p: DataFrame, *flags: Column, more: Column | None = None) -> DataFrame:
+    """The findings of each file as rows."""
+    found = F.filter(F.array(*flags), lambda f: f.isNotNull()) if flags else F.array().cast(f"array<{FLAG}>")
+    rows = p.select("repo", "path", F.inline(found if more is None else F.concat(found, more)))
+    return rows if more is not None else rows.select(*FINDING)
 
 
 C = F.col
 PROMPT_EXTENSIONS = ("md", "txt", "rst", "adoc", "rs", "py", "go", "ts", "tsx", "js", "jsx", "cs", "zig", "cpp", "toml", "yaml", "json")
 
 
+def lexical_flag() -> Column:
+    return flag(known() & (C("matches") >= 4) & (C("terms") >= 3), 1, "lexical", "lexical.cluster", "lexical", C("matches") >= 8, C("matches") / 12 + C("terms") / 12, C("first_line"), C("last_line"))
+
+
+def comment_flag(threshold: float) -> Column:
+    test = known() & (C("non_empty") >= 12) & (C("density") >= threshold) & ((C("tutorial") >= 3) | (C("comment_prefix_ratio") >= 0.65))
+    return flag(test, 2, "comments", "comments.over_documented", "comment", (C("density") > 0.60) & (C("tutorial") > 3), 0.5 * C("density") + 0.3 * C("tutorial") / 8 + 0.2 * C("comment_prefix_ratio"), C("first_comment"), C("last_comment"))
+
+
+def structure_flag() -> Column:
+    signals = (C("length_cv") < 0.25).cast("int") + (C("doc_coverage") >= 0.88).cast("int") + (C("pub_fraction") >= 0.93).cast("int")
+    return flag(known() & (C("function_count") >= 5) & (signals >= 2), 3, "structure", "structure.uniform", "structure", (signals == 3) | (C("length_cv") < 0.10), 0.9 * (0.5 * (1 - C("length_cv")) + 0.3 * C("doc_coverage")))
+
+
+def test_flag() -> Column:
+    test = known() & (C("test_count") >= 6) & (C("test_prefix_ratio") >= 0.65) & (C("assert_density") >= 0.5)
+    return flag(test, 4, "tests", "tests.symmetric.shape", "test_pattern", (C("test_prefix_ratio") > 0.80) & (C("assert_density") > 0.70), 0.6 * C("test_prefix_ratio") + 0.4 * C("assert_density"))
+
+
+def add_markers(p: DataFrame) -> DataFrame:
+    rust = C("ext") == "rs"
+    return once(p, foreign=F.when(rust, hits(C("lc"), V.FOREIGN)), native=F.when(rust, hits(C("lc"), V.NATIVE)), prompts=F.when(C("ext").isin(*PROMPT_EXTENSIONS), hits(C("lc"), V.PROMPT)))
+
+
+def idiom_flag() -> Column:
+    return flag((C("foreign") >= 3) & (C("native") <= 2), 5, "idiom", "idiom.cross_language.mismatch", "idiom_mismatch", C("foreign") >= 6, 0.7 * C("foreign") / 8 + 0.3 * (2 - C("native")) / 2)
+
+
+def prompt_flag() -> Column:
+    return flag(C("prompts") >= 2, 6, "prompt", "prompt.leakage.markers", "prompt_leakage", C("prompts") >= 4, C("prompts") / 8)
+
+
+def readme_flag() -> Column:
+    return flag((C("sections") >= 5) & (C("phrases") >= 2), 7, "readme", "readme.template.structure", "readme", (C("sections") >= 7) & (C("phrases") >= 3), 0.7 * C("sections") / 9 + 0.3 * C("phrases") / 6)
+
+
+def add_all(p: DataFrame) -> DataFrame:
+    return reduce(lambda p, add: add(p), (add_lexical, add_comments, add_structure, add_test_shape, add_markers, add_readme), p)
+
+
+def all_flags(comment_threshold: float = 0.45) -> tuple[Column, ...]:
+    return lexical_flag(), comment_flag(comment_threshold), structure_flag(), test_flag(), idiom_flag(), prompt_flag(), readme_flag()
+
+
 def lexical_findings(p: DataFrame) -> DataFrame:
-    m = lexical(p.where("lang <> 'unknown'")).where("matches >= 4 and terms >= 3")
-    return finding(m, 1, "lexical", "lexical.cluster", "lexical", C("matches") >= 8, C("matches") / 12 + C("terms") / 12, C("first_line"), C("last_line"))
+    return emit(add_lexical(p.where(known())), lexical_flag())
 
 
 def comment_findings(p: DataFrame, threshold: float = 0.45) -> DataFrame:
-    m = comments(p.where("lang <> 'unknown'")).where((C("non_empty") >= 12) & (C("density") >= threshold) & ((C("tutorial") >= 3) | (C("prefix_ratio") >= 0.65)))
-    return finding(m, 2, "comments", "comments.over_documented", "comment", (C("density") > 0.60) & (C("tutorial") > 3), 0.5 * C("density") + 0.3 * C("tutorial") / 8 + 0.2 * C("prefix_ratio"), C("first_line"), C("last_line"))
+    return emit(add_comments(p.where(known())), comment_flag(threshold))
 
 
 def structure_findings(p: DataFrame) -> DataFrame:
-    uniform = (C("length_cv") < 0.25).cast("int")
-    m = structure(p).withColumn("signals", uniform + (C("doc_coverage") >= 0.88).cast("int") + (C("pub_fraction") >= 0.93).cast("int")).where("function_count >= 5 and signals >= 2")
-    return finding(m, 3, "structure", "structure.uniform", "structure", (C("signals") == 3) | (C("length_cv") < 0.10), 0.9 * (0.5 * (1 - C("length_cv")) + 0.3 * C("doc_coverage")))
+    return emit(add_structure(p.where(known())), structure_flag())
 
 
 def test_findings(p: DataFrame) -> DataFrame:
-    m = test_shape(p).where("test_count >= 6 and prefix_ratio >= 0.65 and assert_density >= 0.5")
-    return finding(m, 4, "tests", "tests.symmetric.shape", "test_pattern", (C("prefix_ratio") > 0.80) & (C("assert_density") > 0.70), 0.6 * C("prefix_ratio") + 0.4 * C("assert_density"))
+    return emit(add_test_shape(p.where(known())), test_flag())
 
 
 def idiom_findings(p: DataFrame) -> DataFrame:
-    m = p.where("ext = 'rs'").withColumn("foreign", hits(C("lc"), V.FOREIGN)).withColumn("native", hits(C("lc"), V.NATIVE)).where("foreign >= 3 and native <= 2")
-    return finding(m, 5, "idiom", "idiom.cross_language.mismatch", "idiom_mismatch", C("foreign") >= 6, 0.7 * C("foreign") / 8 + 0.3 * (2 - C("native")) / 2)
+    return emit(add_markers(p.where("ext = 'rs'")), idiom_flag())
 
 
 def prompt_findings(p: DataFrame) -> DataFrame:
-    m = p.where(C("ext").isin(*PROMPT_EXTENSIONS)).withColumn("h", hits(C("lc"), V.PROMPT)).where("h >= 2")
-    return finding(m, 6, "prompt", "prompt.leakage.markers", "prompt_leakage", C("h") >= 4, C("h") / 8)
+    return emit(add_markers(p.where(C("ext").isin(*PROMPT_EXTENSIONS))), prompt_flag())
 
 
 def readme_findings(p: DataFrame) -> DataFrame:
-    m = readme(p.where("ext = 'md'")).where("sections >= 5 and phrases >= 2")
-    return finding(m, 7, "readme", "readme.template.structure", "readme", (C("sections") >= 7) & (C("phrases") >= 3), 0.7 * C("sections") / 9 + 0.3 * C("phrases") / 6)
+    return emit(add_readme(p.where("ext = 'md'")), readme_flag())

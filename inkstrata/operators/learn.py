@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,5 +30,15 @@ def save(found: DataFrame, path: str) -> None:
     found.write.mode("overwrite").json(path)
 
 
-def load(spark, path: str) -> DataFrame:
-    return spark.read.json(path)
+def load(spark, path: str) -> DataFrame | None:
+    """What was saved, or None where nothing was."""
+    try:
+        return spark.read.json(path)
+    except AnalysisException:
+        return None
+
+
+def comment_threshold(found: DataFrame | None, default: float = 0.45) -> float:
+    """The threshold that a scan takes from a baseline, or its own without one."""
+    row = None if found is None else found.select("threshold").first()
+    return default if row is None or row.threshold is None else row.threshold

@@ -1,9 +1,13 @@
-"""Per-line rules: security patterns and recipes, with the cluster boost over buckets of lines."""
+"""Per-line rules: security patterns and recipes, with the cluster boost over buckets of lines.
+
+A rule is tried on the whole text first, literals before the pattern, and line by line only where that succeeds.
+"""
 
 from __future__ import annotations
 
 import re
 import tomllib
+import warnings
 from dataclasses import dataclass, field
 from functools import reduce
 from pathlib import Path
@@ -14,33 +18,67 @@ from pyspark.sql.window import Window as W
 
 from ..functions import recipes as R
 from ..functions import vocabulary as V
-from ..functions.text import ascii_lower
+from ..functions.text import any_of, any_regex, ascii_lower
 from ..sources.corpus import RECIPE_BYTES, glob_regex
+from .files import FINDING, FLAG, emit
 
 C = F.col
 
+#: Texts, lowered, of which a match of each security rule holds one of every group.
+SECURITY_NEEDS = {
+    "SEC001": (("format!", "sprintf", "string.format", 'f"', "f'"),),
+    "SEC002": (("eval", "exec"),),
+    "SEC003": (("passw", "secret", "api_key", "apikey", "auth_token", "access_token", "private_key"),),
+    "SEC005": (("insecureskipverify", "verify", "checkcertificate", "servercertificatevalidationcallback", "rejectunauthorized", "danger"),),
+    "SEC006": (("none", "verify"),),
+    "SEC007": (("dangerouslysetinnerhtml",),),
+    "SEC008": (("req.", "request.", "params.", "query.", "body."),),
+    "SEC009": (("log", "print"), ("password", "token", "secret", "credential", "api_key", "apikey", "private_key")),
+    "SEC010": (("debug", "usedeveloperexceptionpage"),),
+    "SEC011": (("random()", "rand.int", "rand.float"),),
+    "SEC012": (("pickle.load", "yaml.load", "binaryformatter"),),
+    "SEC013": (("req.", "request.", "params.", "query.", "body."),),
+    "SEC014": (("iv", "nonce"),),
+    "SEC015": (("todo", "fixme", "hack", "xxx"), ("//",)),
+}
 
-def _rows(test, fixed: list[Column]) -> Column:
-    """A struct of `fixed` and the line's number for each line that passes."""
-    return F.filter(F.transform("lines", lambda x, i: F.when(test(x), F.struct(*fixed, (i + 1).alias("line")))), lambda x: x.isNotNull())
 
+def _rows(test, found) -> Column:
+    """What `found` makes of each line that passes and its number."""
+    return F.filter(F.transform("lines", lambda x, i: F.when(test(x), found(i + 1))), lambda x: x.isNotNull())
 
-def _all_matches(regex: Column, fold, kind: str) -> Column:
-    """Every match in every line, with its place among the line's matches."""
-    return F.flatten(F.transform("lines", lambda x, i: F.transform(F.regexp_extract_all(fold(x), regex, F.lit(0)), lambda m, j: F.struct(F.lit(kind).alias("kind"), m.alias("key"), j.alias("nth"), (i + 1).alias("line")))))
 
+def no_flags() -> Column:
+    return F.array().cast(f"array<{FLAG}>")
 
-def security_findings(p: DataFrame) -> DataFrame:
-    """One row for each rule and line that it matches."""
+
+def _flag(detector: str, id_, category: str, severity, confidence: float, line: Column, ord_: Column, recipe=None, kind=None, key=None) -> Column:
+    text = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
+    return F.struct(
+        F.lit(detector).alias("detector"), text(id_).alias("id"), F.lit(category).alias("category"), text(severity).alias("severity"), F.lit(float(confidence)).alias("confidence"), line.cast("int").alias("line_start"), line.cast("int").alias("line_end"),
+        ord_.cast("long").alias("ord"), text(recipe).alias("recipe"), text(kind).alias("kind"), text(key).alias("key"),
+    ).cast(FLAG)
+
+
+def security_flags() -> Column:
+    """An array with a finding for each rule and line that it matches."""
     keep = C("ext").isin(*V.SECURITY_EXTENSIONS) & ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, V.SKIPPED_SECURITY)))
+    # Letters that rules which ignore case take for s and k.
+    low = F.when(F.octet_length("content") == F.length("content"), C("lc")).otherwise(F.translate("lc", "\u017f\u212a", "sk"))
     rules = []
     for k, (id_, severity, confidence, extensions, fold, pattern) in enumerate(V.SECURITY):
         regex = F.lit(("(?iu)" if fold else "") + "(?U)" + pattern)
-        fixed = [F.lit(id_).alias("id"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"), F.lit(k).alias("k")]
-        found = _rows(lambda x, regex=regex: F.regexp_like(x, regex), fixed)
-        rules.append(F.when(C("ext").isin(*(extensions or V.SECURITY_EXTENSIONS)), found).otherwise(F.filter(found, lambda _: F.lit(False))))
-    hits = p.where(keep).select("repo", "path", F.explode(F.flatten(F.array(*rules))).alias("r"))
-    return hits.select("repo", "path", F.lit("security").alias("detector"), "r.id", F.lit("security").alias("category"), "r.severity", "r.confidence", C("r.line").cast("int").alias("line_start"), C("r.line").cast("int").alias("line_end"), (F.lit(8 * 10**12) + C("r.line") * 100 + C("r.k")).cast("long").alias("ord"))
+        may = C("ext").isin(*(extensions or V.SECURITY_EXTENSIONS))
+        for group in SECURITY_NEEDS.get(id_, ()):
+            may = may & any_of(low, group)
+        found = _rows(lambda x, regex=regex: F.regexp_like(x, regex), lambda line, k=k, id_=id_, severity=severity, confidence=confidence: _flag("security", id_, "security", severity, confidence, line, 8 * 10**12 + line.cast("long") * 100 + k))
+        rules.append(F.when(may & F.regexp_like("content", regex), found).otherwise(no_flags()))
+    return F.when(keep & C("content").isNotNull(), F.flatten(F.array(*rules))).otherwise(no_flags())
+
+
+def security_findings(p: DataFrame) -> DataFrame:
+    """One row for each rule and line that it matches."""
+    return emit(p.where(C("ext").isin(*V.SECURITY_EXTENSIONS)), more=security_flags()).select(*FINDING)
 
 
 @dataclass
@@ -69,6 +107,7 @@ class Recipe:
     confidence: float = 0.7
     source: str = "builtin"
     location: str = ""
+    enabled: bool = True
 
     def __post_init__(self):
         if not 0 <= self.confidence <= 1:
@@ -105,12 +144,28 @@ def load(path: str | Path, source: str = "local") -> Recipe:
             re.compile(item["pattern"])
             patterns.append(Pattern(kind, item["name"], item["pattern"], item.get("severity", default).lower(), item.get("suggestion"), is_regex=kind == "regex" or item.get("is_regex", False), applies_to=tuple(item.get("applies_to", ())), excludes=tuple(item.get("excludes", ())), fix=item.get("fix_pattern") if item.get("auto_fixable") else None))
     boost = scoring.get("cluster_severity_boost")
-    return Recipe(head["name"], head.get("category", "lexical").lower(), patterns, scoring.get("cluster_threshold", 3), scoring.get("cluster_range_lines", 10), boost and boost.lower(), scoring.get("base_confidence", 0.7), source, str(path))
+    return Recipe(head["name"], head.get("category", "lexical").lower(), patterns, scoring.get("cluster_threshold", 3), scoring.get("cluster_range_lines", 10), boost and boost.lower(), scoring.get("base_confidence", 0.7), source, str(path), head.get("enabled", True))
+
+
+def discover(*folders: tuple[str, str | Path]) -> list[Recipe]:
+    """The built-in recipes, then those of each (source, folder) in order: a user's before a repository's.
+
+    All are kept, also where names repeat. Folders that do not exist hold none; what cannot be read is left out with a
+    warning.
+    """
+    found = builtin()
+    for source, folder in folders:
+        for path in sorted(Path(folder).glob("*.toml")):
+            try:
+                found.append(load(path, source))
+            except (OSError, ValueError, KeyError, TypeError, AttributeError, re.error) as e:
+                warnings.warn(f"recipe {path} left out: {e}", stacklevel=2)
+    return found
 
 
 def select(recipes: list[Recipe], include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> list[Recipe]:
-    """Exclusion by name goes before inclusion."""
-    return [r for r in recipes if r.name not in exclude and (not include or r.name in include)]
+    """Exclusion by name goes before inclusion, and that before what recipes say of themselves."""
+    return [r for r in recipes if r.name not in exclude and (r.name in include if include else r.enabled)]
 
 
 def listing(spark, recipes: list[Recipe]) -> DataFrame:
@@ -119,12 +174,11 @@ def listing(spark, recipes: list[Recipe]) -> DataFrame:
 
 def word_regex(patterns: list[Pattern]) -> str:
     """Longest first; boundaries are ASCII word characters only."""
-    body = "|".join(re.escape(p.pattern.lower()) for p in sorted(patterns, key=lambda p: (-len(p.pattern), p.pattern)))
-    return rf"(?<![A-Za-z0-9_])(?:{body})(?![A-Za-z0-9_])"
+    return rf"(?<![A-Za-z0-9_])(?:{any_regex(p.pattern.lower() for p in patterns)})(?![A-Za-z0-9_])"
 
 
 def phrase_regex(patterns: list[Pattern]) -> str:
-    return "|".join(re.escape(ascii_text(p.pattern)) for p in sorted(patterns, key=lambda p: (-len(p.pattern), p.pattern)))
+    return any_regex(ascii_text(p.pattern) for p in patterns)
 
 
 def ascii_text(x: str) -> str:
@@ -138,26 +192,42 @@ def applies(pattern: Pattern) -> Column:
     return wanted & ~match(pattern.excludes)
 
 
-def recipe_findings(p: DataFrame, recipes: list[Recipe]) -> DataFrame:
-    """Matches of all recipes: (…FINDING, recipe, kind, matched, replacement); clusters not yet boosted."""
-    small = p.where(C("size") <= RECIPE_BYTES)
+def recipe_flags(recipes: list[Recipe]) -> Column:
+    """An array of the matches of all recipes; ids and severities follow by `named`."""
     out = []
+
+    def each(recipe: Recipe, regex: Column, fold, kind: str, make, place) -> Column:
+        def in_line(x: Column, i: Column) -> Column:
+            return F.transform(F.regexp_extract_all(fold(x), regex, F.lit(0)), lambda m, j: make(i + 1, place(i + 1, j), kind, m))
+
+        return F.when(F.regexp_like(fold(C("content")), regex), F.flatten(F.transform("lines", in_line))).otherwise(no_flags())
+
     for order, recipe in enumerate(recipes):
-        rows = []
+        place = lambda line, nth=0, order=order: 10**12 * (20 + order) + line.cast("long") * 1000 + nth
+        make = lambda line, ord_, kind, key, recipe=recipe: _flag("recipe", None, recipe.category, None, recipe.confidence, line, ord_, recipe.name, kind, key)
         for kind, expression, fold in (("word", word_regex, F.lower), ("phrase", phrase_regex, ascii_lower)):
             if patterns := recipe.of(kind):
-                rows.append(_all_matches(F.lit(expression(patterns)), fold, kind))
+                out.append(each(recipe, F.lit(expression(patterns)), fold, kind, make, place))
         for pattern in recipe.of("regex") + recipe.of("contextual"):
             regex = F.lit("(?U)" + pattern.pattern) if pattern.is_regex or pattern.kind == "regex" else None
             test = (lambda x, regex=regex: F.regexp_like(x, regex)) if regex is not None else (lambda x, pattern=pattern: F.contains(x, F.lit(pattern.pattern)))
-            got = _rows(test, [F.lit(pattern.kind).alias("kind"), F.lit(pattern.name).alias("key"), F.lit(0).alias("nth")])
-            rows.append(F.when(applies(pattern), got).otherwise(F.filter(got, lambda _: F.lit(False))))
-        # What a match stands for: a dimension of as many rows as the recipe has patterns.
-        meta = p.sparkSession.createDataFrame([(x.kind, x.pattern.lower() if x.kind == "word" else ascii_text(x.pattern) if x.kind == "phrase" else x.name, f"{recipe.name}:{x.kind}:{x.name}", x.severity, x.replacement) for x in recipe.patterns], "kind string, key string, id string, severity string, replacement string")
-        hits = small.select("repo", "path", F.explode(F.flatten(F.array(*rows))).alias("m")).select("repo", "path", "m.*").join(F.broadcast(meta), ["kind", "key"])
-        base = F.lit(10**12 * (20 + order)) + C("line") * 1000 + C("nth")
-        out.append(hits.select("repo", "path", F.lit("recipe").alias("detector"), "id", F.lit(recipe.category).alias("category"), "severity", F.lit(recipe.confidence).alias("confidence"), C("line").cast("int").alias("line_start"), C("line").cast("int").alias("line_end"), base.cast("long").alias("ord"), F.lit(recipe.name).alias("recipe"), "kind", C("key").alias("matched"), "replacement"))
-    return reduce(DataFrame.unionByName, out)
+            got = _rows(test, lambda line, pattern=pattern, make=make, place=place: make(line, place(line), pattern.kind, F.lit(pattern.name)))
+            out.append(F.when(applies(pattern), got).otherwise(no_flags()))
+    small = (C("size") <= RECIPE_BYTES) & C("content").isNotNull()
+    return F.when(small, F.flatten(F.array(*out))).otherwise(no_flags()) if out else no_flags()
+
+
+def named(found: DataFrame, recipes: list[Recipe]) -> DataFrame:
+    """Fills in what a match stands for, from a table of as many rows as the recipes have patterns."""
+    rows = [(r.name, x.kind, x.pattern.lower() if x.kind == "word" else ascii_text(x.pattern) if x.kind == "phrase" else x.name, f"{r.name}:{x.kind}:{x.name}", x.severity, x.replacement) for r in recipes for x in r.patterns]
+    meta = found.sparkSession.createDataFrame(list({row[:3]: row for row in reversed(rows)}.values()), "recipe string, kind string, key string, _id string, _severity string, replacement string")
+    got = found.join(F.broadcast(meta), ["recipe", "kind", "key"], "left")
+    return got.withColumn("id", F.coalesce("id", "_id")).withColumn("severity", F.coalesce("severity", "_severity")).drop("_id", "_severity")
+
+
+def recipe_findings(p: DataFrame, recipes: list[Recipe]) -> DataFrame:
+    """Matches of all recipes: (…FINDING, recipe, kind, matched, replacement); clusters not yet boosted."""
+    return named(emit(p, more=recipe_flags(recipes)), recipes).select(*FINDING, "recipe", "kind", C("key").alias("matched"), "replacement")
 
 
 def boosted(found: DataFrame, recipes: list[Recipe]) -> DataFrame:

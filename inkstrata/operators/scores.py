@@ -111,6 +111,15 @@ def at_least(findings: DataFrame, severity: str) -> DataFrame:
     return findings.where(C("severity").isin(*keep))
 
 
+def of_categories(findings: DataFrame, categories: tuple[str, ...]) -> DataFrame:
+    """Findings of the named categories; of all without names."""
+    return findings.where(C("category").isin(*categories)) if categories else findings
+
+
+def confident(findings: DataFrame, least: float = 0.75) -> DataFrame:
+    return findings.where(C("confidence") >= least) if least > 0 else findings
+
+
 def gate(findings: DataFrame, fail_on: str) -> bool:
     """Whether any finding is as severe as fail_on."""
     return not at_least(findings, fail_on).isEmpty()

@@ -1,16 +1,18 @@
-"""Text transforms: comment thinning, recipe replacement, normalising, README cleanup. Nothing is rewritten in place."""
+"""Text transforms: comment thinning, recipe replacement, normalising, README cleanup. Nothing is rewritten in place.
+
+What becomes of a line depends on its neighbours only, so every transform filters an array and compares neighbours in it:
+linear in the lines of a file.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.text import any_of, ascii_lower, comment_body, first_words, is_comment, lines, starts_with_any, trim
+from ..functions.text import any_of, ascii_lower, comment_body, first_words, is_comment, lines, once, starts_with_any, trim
 from .rules import Recipe, ascii_text, builtin, phrase_regex, word_regex
 
 C = F.col
@@ -22,20 +24,20 @@ def joined(kept: Column, content: Column) -> Column:
 
 def thin_comments(files: DataFrame, column: str = "content") -> DataFrame:
     """Drops comments that narrate or repeat the beginning of the last kept one; adds `thinned` and `removed_comments`."""
-    start = F.expr("named_struct('out', array_repeat('', 0), 'last', '', 'removed', 0)")
 
-    def step(a: Column, raw: Column) -> Column:
+    def line(raw: Column) -> Column:
         t = trim(raw)
-        low = ascii_lower(comment_body(t))
-        prefix = first_words(comment_body(t), 3)
-        narrates = any_of(low, V.TUTORIAL) | starts_with_any(low, V.TUTORIAL_STARTS)
-        drop = ~any_of(low, V.PRESERVE) & (narrates | ((prefix != "") & (prefix == a["last"])))
-        keep = lambda last: F.struct(F.concat(a["out"], F.array(raw)).alias("out"), last.alias("last"), a["removed"].alias("removed"))
-        less = F.struct(a["out"].alias("out"), a["last"].alias("last"), (a["removed"] + 1).alias("removed"))
-        return F.when(~is_comment(t), keep(F.lit(""))).when(drop, less).otherwise(keep(prefix))
+        own, low = is_comment(t), ascii_lower(comment_body(t))
+        safe = any_of(low, V.PRESERVE)
+        prefix = F.when(own, first_words(comment_body(t), 3)).otherwise(F.lit(""))
+        return F.struct(raw.alias("raw"), prefix.alias("prefix"), (own & ~safe).alias("may"), (own & ~safe & (any_of(low, V.TUTORIAL) | starts_with_any(low, V.TUTORIAL_STARTS))).alias("narrates"))
 
-    got = F.aggregate(lines(C(column)), start, step)
-    return files.withColumn("_g", got).withColumn("thinned", joined(C("_g")["out"], C(column))).withColumn("removed_comments", C("_g")["removed"]).drop("_g")
+    f = once(files, _all=F.transform(lines(C(column)), line))
+    # Of what doesn't narrate, a comment goes that begins like the line before: that one, or the one it repeats, stays.
+    f = once(f, _some=F.filter("_all", lambda r: ~r["narrates"]))
+    repeats = lambda r, i: r["may"] & (r["prefix"] != "") & F.coalesce(r["prefix"] == F.get("_some", i - 1)["prefix"], F.lit(False))
+    f = once(f, _kept=F.transform(F.filter("_some", lambda r, i: ~repeats(r, i)), lambda r: r["raw"]))
+    return once(f, thinned=joined(C("_kept"), C(column)), removed_comments=F.size("_all") - F.size("_kept")).drop("_all", "_some", "_kept")
 
 
 def normalise(text: Column) -> Column:
@@ -44,74 +46,55 @@ def normalise(text: Column) -> Column:
     return F.array_join(clean, "\n")
 
 
-def replacer(recipes: list[Recipe]):
-    """text -> (text, replacements): words of all recipes in one pass, then phrases, then automatic fixes."""
-    words = [p for r in recipes for p in r.of("word") if p.replacement is not None]
-    phrases = [p for r in recipes for p in r.of("phrase") if p.replacement is not None]
-    of_word = {p.pattern.lower(): p.replacement for p in reversed(words)}
-    of_phrase = {ascii_text(p.pattern): p.replacement for p in reversed(phrases)}
-    word = re.compile(word_regex(words), re.I) if words else None
-    phrase = re.compile(phrase_regex(phrases), re.I) if phrases else None
-    fixes = [(re.compile(p.pattern, re.M), re.sub(r"\$(\d+)", r"\\\1", p.fix)) for r in recipes for p in r.of("regex") if p.fix is not None and not p.applies_to and not p.excludes]
-
-    def run(text: str) -> tuple[str, int]:
-        n = 0
-
-        def swap(table, fold):
-            def one(m: re.Match) -> str:
-                nonlocal n
-                new = table.get(fold(m[0]))
-                if new is None:
-                    return m[0]
-                n += 1
-                return new
-
-            return one
-
-        if word:
-            text = word.sub(swap(of_word, str.lower), text)
-        if phrase:
-            text = phrase.sub(swap(of_phrase, ascii_text), text)
-        for pattern, fix in fixes:
-            text, k = pattern.subn(fix, text)
-            n += k
-        return text, n
-
-    return run
+def swapped(f: DataFrame, column: str, regex: str, table: dict[str, str], fold) -> DataFrame:
+    """Replaces every match of the expression that the table names, and adds the number to `_n`."""
+    there = F.coalesce(F.regexp_like(column, F.lit(regex)), F.lit(False))
+    f = once(f, _matches=F.when(there, F.regexp_extract_all(column, F.lit(regex), F.lit(0))), _between=F.when(there, F.split(column, regex, -1)))
+    names = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    f = once(f, _new=F.transform("_matches", lambda m: F.element_at(names, fold(m))))
+    parts = F.transform("_between", lambda x, i: F.concat(x, F.coalesce(F.get("_new", i), F.get("_matches", i), F.lit(""))))
+    text = F.when(there, F.array_join(parts, "")).otherwise(C(column))
+    n = C("_n") + F.when(there, F.size(F.filter("_new", lambda x: x.isNotNull()))).otherwise(0)
+    return once(f.withColumnRenamed("_n", "_n0").withColumn("_n", C("_n0")), _text=text, _more=n).drop("_matches", "_between", "_new", "_n", "_n0", column).withColumnsRenamed({"_text": column, "_more": "_n"})
 
 
 def replace_recipes(files: DataFrame, recipes: list[Recipe] | None = None, column: str = "content") -> DataFrame:
-    """Adds `replaced` and `replacements`; texts in which something was replaced are normalised."""
-    recipes = builtin() if recipes is None else recipes
-
-    @F.pandas_udf("text string, n int")
-    def swap(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        run = replacer(recipes)
-        for part in texts:
-            yield pd.DataFrame([run(t) if t is not None else (None, 0) for t in part], columns=["text", "n"])
+    """Adds `replaced` and `replacements`: words of all recipes in one pass, then phrases, then automatic fixes.
 
-    got = files.withColumn("_g", swap(C(column)))
-    return got.withColumn("replaced", F.when(C("_g")["n"] > 0, normalise(C("_g")["text"])).otherwise(C(column))).withColumn("replacements", C("_g")["n"]).drop("_g")
+    Texts in which something was replaced are normalised. A null text stays null, with no replacement.
+    """
+    recipes = builtin() if recipes is None else recipes
+    words = [p for r in recipes for p in r.of("word") if p.replacement is not None]
+    phrases = [p for r in recipes for p in r.of("phrase") if p.replacement is not None]
+    f = files.withColumn("_t", C(column)).withColumn("_n", F.lit(0))
+    if words:
+        f = swapped(f, "_t", "(?iu)" + word_regex(words), {p.pattern.lower(): p.replacement for p in reversed(words)}, F.lower)
+    if phrases:
+        f = swapped(f, "_t", "(?i)" + phrase_regex(phrases), {ascii_text(p.pattern): p.replacement for p in reversed(phrases)}, ascii_lower)
+    for p in (p for r in recipes for p in r.of("regex") if p.fix is not None and not p.applies_to and not p.excludes):
+        regex = "(?m)(?U)" + p.pattern
+        f = once(f, _fixed=F.regexp_replace("_t", regex, p.fix), _more=C("_n") + F.coalesce(F.regexp_count("_t", F.lit(regex)), F.lit(0))).drop("_t", "_n").withColumnsRenamed({"_fixed": "_t", "_more": "_n"})
+    return once(f, replaced=F.when(C("_n") > 0, normalise(C("_t"))).otherwise(C(column)), replacements=C("_n")).drop("_t", "_n")
 
 
 def clean_readme(files: DataFrame, column: str = "content") -> DataFrame:
     """Drops template lines and headings of empty template sections, and folds blank lines; adds `cleaned` and `removed_lines`."""
-    ls = lines(C(column))
-    # Backwards: what a section holds is known when its heading comes.
-    back = F.expr("named_struct('out', array_repeat('', 0), 'held', 0, 'removed', 0)")
 
-    def up(a: Column, x: Column) -> Column:
+    def line(x: Column, i: Column) -> Column:
         t = trim(x)
-        heading = F.startswith(t, F.lit("#"))
-        phrase = any_of(ascii_lower(x), V.README_PHRASES)
+        heading, phrase = F.startswith(t, F.lit("#")), any_of(ascii_lower(x), V.README_PHRASES)
         title = ascii_lower(trim(F.regexp_replace(t, "^#+", "")))
-        drop = phrase | (heading & title.isin(*V.README_DROPPABLE) & (a["held"] == 0))
-        held = F.when(heading, F.lit(0)).otherwise(a["held"] + (~phrase & (t != "")).cast("int"))
-        return F.struct(F.when(drop, a["out"]).otherwise(F.concat(a["out"], F.array(x))).alias("out"), held.alias("held"), (a["removed"] + drop.cast("int")).alias("removed"))
-
-    got = F.aggregate(F.reverse(ls), back, up)
-    fold = F.aggregate(F.reverse(C("_g")["out"]), F.expr("array_repeat('', 0)"), lambda a, x: F.when((trim(x) == "") & (F.size(a) > 0) & (trim(F.element_at(F.concat(F.array(F.lit("x")), a), -1)) == ""), a).otherwise(F.concat(a, F.array(x))))
-    return files.withColumn("_g", got).withColumn("cleaned", F.when(F.size(ls) == 0, F.lit("")).otherwise(joined(fold, C(column)))).withColumn("removed_lines", C("_g")["removed"]).drop("_g")
+        return F.struct(i.alias("i"), x.alias("raw"), (t == "").alias("blank"), heading.alias("heading"), phrase.alias("phrase"), (heading & title.isin(*V.README_DROPPABLE)).alias("template"))
+
+    f = once(files, _all=F.transform(lines(C(column)), line))
+    # A section is empty if the next line that is a heading or holds text is a heading, or there is none.
+    f = once(f, _held=F.filter("_all", lambda r: r["heading"] | (~r["phrase"] & ~r["blank"])))
+    empty = F.filter(F.transform("_held", lambda r, i: F.when(r["template"] & F.coalesce(F.get("_held", i + 1)["heading"], F.lit(True)), r["i"])), lambda i: i.isNotNull())
+    f = once(f, _empty=empty)
+    f = once(f, _some=F.filter("_all", lambda r: ~r["phrase"] & ~(r["template"] & F.array_contains("_empty", r["i"]))))
+    f = once(f, _kept=F.transform(F.filter("_some", lambda r, i: ~(r["blank"] & F.coalesce(F.get("_some", i - 1)["blank"], F.lit(False)))), lambda r: r["raw"]))
+    cleaned = F.when(F.size("_all") == 0, F.lit("")).otherwise(joined(C("_kept"), C(column)))
+    return once(f, cleaned=cleaned, removed_lines=F.size("_all") - F.size("_some")).drop("_all", "_held", "_empty", "_some", "_kept")
 
 
 def transform(files: DataFrame, recipes: list[Recipe] | None = None, detectors: tuple[str, ...] = (), mode: str = "compose") -> DataFrame:

@@ -60,7 +60,8 @@ def four(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of all detectors over files, repositories and commits, with the ignore directives applied."""
-    return api.scan_apart(overlay.code_files(spark, sf_dir), overlay.commits(spark, sf_dir), overlay.repo_files(spark, sf_dir))
+    found = api.scan(overlay.code_files(spark, sf_dir), overlay.commits(spark, sf_dir))
+    return found.unionByName(api.repo_findings(overlay.repo_files(spark, sf_dir)))
 
 
 @query(O.LEXICAL)
@@ -109,9 +110,10 @@ def test_shape_metrics(spark, sf_dir):
     return D.test_shape(code(spark, sf_dir)).select("repo", "path", *long("test_count"), *rounded("prefix_ratio", "assert_density"))
 
 
-@query()
+@query(O.STRUCTURE)
 def structure_metrics(spark, sf_dir):
-    return D.structure(code(spark, sf_dir))
+    s = D.structure(code(spark, sf_dir))
+    return s.select("repo", "path", "lang", *long("n_lines", "function_count"), *rounded("length_cv", "doc_coverage", "pub_fraction"))
 
 
 @query(O.SECURITY)
@@ -208,14 +210,16 @@ def sessions(spark, sf_dir):
     return H.sessions(overlay.commits(spark, sf_dir, sessions=True)).groupBy("repo", C("session").cast("long").alias("session")).agg(F.count("*").alias("commits"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-@query()
+@query(O.GROUPS)
 def overlap_groups(spark, sf_dir):
-    return H.overlap_groups(overlay.commits(spark, sf_dir, sessions=True))
+    g = H.overlap_groups(overlay.commits(spark, sf_dir, sessions=True))
+    return g.select("repo", "session", "grp", F.array_join("oids", ",").alias("oids"), F.array_join(F.array_sort("files"), ",").alias("files"), "n_commits")
 
 
-@query()
+@query(O.REPLAY)
 def replay_actions(spark, sf_dir):
-    return H.schedule(H.actions(H.overlap_groups(overlay.commits(spark, sf_dir, sessions=True))), O.NOW, 5, 0.25)
+    plan = H.schedule(H.actions(H.overlap_groups(overlay.commits(spark, sf_dir, sessions=True))), O.NOW, 5, 0.25)
+    return plan.select("repo", "session", "grp", "n_commits", "action", "scope", "target")
 
 
 @query(O.TOUCHES)
@@ -303,22 +307,22 @@ def normalise_text(spark, sf_dir):
     return overlay.code_files(spark, sf_dir).select("repo", "path", F.md5(X.normalise(C("content")).cast("binary")).alias("digest"))
 
 
-@query()
+@query(O.THIN)
 def thin_comments(spark, sf_dir):
     return X.thin_comments(overlay.code_files(spark, sf_dir)).select("repo", "path", F.md5(C("thinned").cast("binary")).alias("digest"), "removed_comments")
 
 
-@query()
+@query(O.SWAP)
 def recipe_transform(spark, sf_dir):
     return X.replace_recipes(overlay.code_files(spark, sf_dir)).select("repo", "path", F.md5(C("replaced").cast("binary")).alias("digest"), "replacements")
 
 
-@query()
+@query(O.CLEAN)
 def readme_transform(spark, sf_dir):
     return X.clean_readme(overlay.code_files(spark, sf_dir).where("ext = 'md'")).select("repo", "path", F.md5(C("cleaned").cast("binary")).alias("digest"), "removed_lines")
 
 
-@query()
+@query(O.TRANSFORMED)
 def transform_summary(spark, sf_dir):
     return X.transform_summary(api.transform(overlay.code_files(spark, sf_dir)))
 

@@ -195,3 +195,114 @@ CONVERSATIONS = f"SELECT conv_id, turn, {hits(low('coalesce(text, ' + q('') + ')
 GLOB = f"WITH {CODE} SELECT repo, count(*) AS n FROM f WHERE (path LIKE '%README%.md' OR name LIKE 'README%.md') AND NOT contains(path, '/d7/') GROUP BY repo"
 ANNOTATIONS = f"WITH {FOUND} SELECT repo, '::error file=' || path || ',line=' || line_start || '::' || id || ' (' || severity || ')' AS annotation FROM found"
 SCOPES = f"WITH {COMMITS} SELECT CAST(event_id AS VARCHAR) AS oid, 'docs+src' AS scope, regexp_replace(message, {q(_CONV + chr(92) + 's*')}, '') AS subject FROM c"
+
+
+_FN = "CASE " + " ".join(f"WHEN lang = '{n}' THEN regexp_matches(raw, {q(p)})" for n, p in V.FUNCTION_PATTERNS.items()) + " END"
+_DOC = "CASE " + " ".join(f"WHEN lang = '{n}' THEN regexp_matches(raw, {q(p)})" for n, p in V.DOC_PATTERNS.items()) + " ELSE false END"
+_PUB = "CASE " + " ".join(f"WHEN lang = '{n}' THEN starts_with(ltrim_, {q(p)})" for n, p in V.PUBLIC_STARTS.items()) + " ELSE true END"
+_TRIPLE = q('"' * 3)
+#: Lines with what the fold needs: running sums of braces where one closes, with and without one opened in the line before.
+_STEPS = rf"""bl AS (SELECT repo, path, lang, no, raw, t, {_FN} AS fn, {_DOC} AS doc, {_PUB} AS pub, CASE WHEN t <> '' THEN length(raw) - length(ltrim_) END AS ind,
+  starts_with(t, '#') OR starts_with(t, '*') OR starts_with(t, '/*') OR t = '' OR CASE WHEN lang = 'python' THEN starts_with(t, {_TRIPLE}) ELSE starts_with(t, '//') END AS run,
+  string_split(regexp_replace(raw, '[^{{}}]', '', 'g'), '') AS br FROM (SELECT *, regexp_replace(raw, '^\s+', '') AS ltrim_ FROM l WHERE lang <> 'unknown')),
+br AS (SELECT repo, path, no, k, c, sum(CASE c WHEN '{{' THEN 1 ELSE -1 END) OVER w AS s, max(c = '{{') OVER w AS o FROM (SELECT repo, path, no, unnest(br) AS c, generate_subscripts(br, 1) AS k FROM bl) WHERE c <> '' WINDOW w AS (PARTITION BY repo, path, no ORDER BY k)),
+bs AS (SELECT repo, path, no, list(s) FILTER (c = '}}') AS any_, list(s) FILTER (c = '}}' AND o) AS own, last(s ORDER BY k) AS total, max(o) AS opens FROM br GROUP BY ALL),
+st AS (SELECT bl.*, coalesce(any_, []) AS any_, coalesce(own, []) AS own, coalesce(total, 0) AS total, coalesce(opens, false) AS opens FROM bl LEFT JOIN bs USING (repo, path, no))"""
+#: One step of the fold for all files at a time: open, begin, last, depth, seen, indent, doc, pub, behind, and the length of a function that ends before or at the line.
+STRUCTURE_FOLD = f"""WITH RECURSIVE {LINES}, {_STEPS},
+r(repo, path, no, op, beg, las, dep, seen, ind, d, p, beh, n1, d1, p1, n2, d2, p2) AS (
+ SELECT DISTINCT repo, path, CAST(0 AS BIGINT), false, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS HUGEINT), false, CAST(0 AS BIGINT), false, false, false, CAST(NULL AS BIGINT), false, false, CAST(NULL AS BIGINT), false, false FROM st
+ UNION ALL
+ SELECT repo, path, no, op2, beg2, las2, dep2, seen2, ind2, dd2, pp2, beh2, n1, d, p, CASE WHEN NOT op2 AND (was OR fn) AND fin THEN no - beg2 + 1 END, dd2, pp2 FROM (
+  SELECT *, CASE WHEN was THEN NOT fin WHEN fn THEN NOT fin ELSE false END AS op2, CASE WHEN was THEN beg WHEN fn THEN no ELSE beg END AS beg2,
+   CASE WHEN was AND lang = 'python' AND xi IS NULL THEN las WHEN was OR fn THEN no ELSE las END AS las2, CASE WHEN was THEN dep + total WHEN fn THEN total ELSE dep END AS dep2, CASE WHEN was THEN seen OR opens WHEN fn THEN opens ELSE seen END AS seen2,
+   CASE WHEN NOT was AND fn THEN coalesce(xi, 0) ELSE ind END AS ind2, CASE WHEN NOT was AND fn THEN beh ELSE d END AS dd2, CASE WHEN NOT was AND fn THEN pub ELSE p END AS pp2, CASE WHEN run THEN beh OR doc ELSE false END AS beh2
+  FROM (SELECT *, CASE WHEN NOT was AND NOT fn THEN false WHEN lang = 'python' THEN false WHEN was AND seen THEN list_contains(any_, -dep) WHEN was THEN list_contains(own, -dep) ELSE list_contains(own, 0) END AS fin
+   FROM (SELECT r.* EXCLUDE (no, n1, d1, p1, n2, d2, p2), st.no, st.lang, st.fn, st.doc, st.pub, st.ind AS xi, st.run, st.any_, st.own, st.total, st.opens,
+     r.op AND NOT (lang = 'python' AND st.ind IS NOT NULL AND st.ind <= r.ind) AS was, CASE WHEN r.op AND lang = 'python' AND st.ind IS NOT NULL AND st.ind <= r.ind THEN r.las - r.beg + 1 END AS n1
+    FROM r JOIN st ON r.repo = st.repo AND r.path = st.path AND st.no = r.no + 1)))),
+e AS (SELECT repo, path, n1 AS n, d1 AS d, p1 AS p FROM r WHERE n1 IS NOT NULL UNION ALL SELECT repo, path, n2, d2, p2 FROM r WHERE n2 IS NOT NULL
+ UNION ALL SELECT repo, path, las - beg + 1, d, p FROM r WHERE op QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY no DESC) = 1 AND no = (SELECT max(no) FROM st WHERE st.repo = r.repo AND st.path = r.path)),
+g AS (SELECT repo, path, count(*) AS c, stddev_pop(n) / avg(n) AS cv, avg(CAST(d AS INT)) AS dc, avg(CAST(p AS INT)) AS pc FROM e GROUP BY ALL),
+sm AS (SELECT f.repo, f.path, lang, CAST(greatest(1, len(ls)) AS BIGINT) AS n_lines, CAST(coalesce(c, 0) AS BIGINT) AS function_count, CASE WHEN coalesce(c, 0) < 2 THEN 0 ELSE cv END AS length_cv, coalesce(dc, 0) AS doc_coverage, coalesce(pc, 0) AS pub_fraction FROM f LEFT JOIN g ON f.repo = g.repo AND f.path = g.path WHERE lang <> 'unknown')"""
+STRUCTURE = f"{STRUCTURE_FOLD} SELECT repo, path, lang, n_lines, function_count, round(length_cv, 6) AS length_cv, round(doc_coverage, 6) AS doc_coverage, round(pub_fraction, 6) AS pub_fraction FROM sm"
+
+SESSION_COMMITS = f"""{COMMITS}, sn AS (SELECT event_type AS repo, ts, CAST(event_id AS VARCHAR) AS oid, ['src/' || event_type || '.rs', 'docs/' || (event_id % 3) || '.md'] AS files, message,
+ CAST(coalesce(abs(ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts, CAST(event_id AS VARCHAR))) > 600, false) AS INT) AS new FROM c),
+ss AS (SELECT repo, ts, oid, files, message, CAST(sum(new) OVER (PARTITION BY repo ORDER BY ts, oid ROWS UNBOUNDED PRECEDING) AS INT) AS session FROM sn),
+sk AS (SELECT *, row_number() OVER (PARTITION BY repo, session ORDER BY ts, oid) AS k FROM ss)"""
+#: A commit at a time for all sessions: the group it falls into and the files gathered so far.
+GROUP_FOLD = f"""WITH RECURSIVE {SESSION_COMMITS},
+gf(repo, session, k, grp, seen) AS (SELECT repo, session, k, 0, files FROM sk WHERE k = 1
+ UNION ALL SELECT s.repo, s.session, s.k, CASE WHEN list_has_any(g.seen, s.files) THEN grp ELSE grp + 1 END, CASE WHEN list_has_any(g.seen, s.files) THEN list_distinct(list_concat(g.seen, s.files)) ELSE s.files END
+ FROM gf g JOIN sk s ON s.repo = g.repo AND s.session = g.session AND s.k = g.k + 1),
+gg AS (SELECT sk.repo, sk.session, grp, list(oid ORDER BY sk.k) AS oids, list_sort(list_distinct(flatten(list(files)))) AS files, CAST(count(*) AS INT) AS n_commits FROM sk JOIN gf ON sk.repo = gf.repo AND sk.session = gf.session AND sk.k = gf.k GROUP BY ALL)"""
+GROUPS = f"{GROUP_FOLD} SELECT repo, session, grp, array_to_string(oids, ',') AS oids, array_to_string(files, ',') AS files, n_commits FROM gg"
+
+
+def replay(first: int, step: int) -> str:
+    """Without windows every target lies an hour after the moment that the step leads to."""
+    top = "list_sort(list_distinct(list_transform(files, lambda x: string_split(x, '/')[1])))"
+    return f"""{GROUP_FOLD} SELECT repo, session, grp, n_commits, CASE WHEN n_commits > 1 THEN 'squash' WHEN len({top}) > 2 THEN 'split' ELSE 'replay' END AS action,
+ CASE len({top}) WHEN 0 THEN 'core' WHEN 1 THEN {top}[1] ELSE {top}[1] || '+' || {top}[2] END AS scope, CAST({first} + (row_number() OVER (PARTITION BY repo ORDER BY session, grp) - 1) * {step} AS BIGINT) AS target FROM gg"""
+
+
+REPLAY = replay(NOW + 3600, (24 + 6 + 60) * 60)
+
+
+def text_lines(source: str, name: str) -> str:
+    """(repo, path, ext, content, no, raw, t) of a relation's contents, as `name`."""
+    ls = "CASE WHEN ls[len(ls)] = '' THEN ls[1:len(ls) - 1] ELSE ls END"
+    return rf"""{name} AS (SELECT repo, path, ext, content, no, raw, {trim("raw")} AS t FROM (SELECT repo, path, ext, content, unnest(ls) AS raw, generate_subscripts(ls, 1) AS no FROM (SELECT repo, path, ext, content, {ls} AS ls FROM (SELECT *, string_split_regex(content, '\r?\n') AS ls FROM {source}))))"""
+
+
+def thinned(source: str) -> str:
+    """thin: (repo, path, ext, content, removed)."""
+    at = "low_"
+    return f"""{text_lines(source, "tl")},
+t0 AS (SELECT *, {COMMENT} AS own, {low(BODY)} AS low_ FROM tl),
+t1 AS (SELECT *, CASE WHEN own THEN array_to_string(string_split_regex(low_, '\\s+')[1:3], ' ') ELSE '' END AS prefix, own AND NOT {has(at, V.PRESERVE)} AS may, own AND NOT {has(at, V.PRESERVE)} AND ({has(at, V.TUTORIAL)} OR {' OR '.join(f"starts_with(low_, {q(x)})" for x in V.TUTORIAL_STARTS)}) AS narrates FROM t0),
+t2 AS (SELECT *, coalesce(may AND prefix <> '' AND prefix = lag(prefix) OVER (PARTITION BY repo, path ORDER BY no), false) AS repeats FROM t1 WHERE NOT narrates),
+t3 AS (SELECT repo, path, string_agg(raw, chr(10) ORDER BY no) FILTER (NOT repeats) AS body, count(*) FILTER (NOT repeats) AS kept FROM t2 GROUP BY ALL),
+t4 AS (SELECT repo, path, count(*) AS n FROM tl GROUP BY ALL),
+thin AS (SELECT s.repo, s.path, s.ext, coalesce(body, '') || CASE WHEN suffix(s.content, chr(10)) THEN chr(10) ELSE '' END AS content, CAST(coalesce(t4.n, 0) - coalesce(kept, 0) AS INT) AS removed FROM {source} s LEFT JOIN t3 ON s.repo = t3.repo AND s.path = t3.path LEFT JOIN t4 ON s.repo = t4.repo AND s.path = t4.path)"""
+
+
+def _map(table: dict) -> str:
+    return f"MAP {{{', '.join(f'{q(k)}: {q(v)}' for k, v in table.items())}}}"
+
+
+_HYPHENED = "|".join(w for w in sorted(R.WORDS, key=lambda w: (-len(w), w)) if "-" in w)
+_WORD_TABLE = _map({k.lower(): v for k, v in R.WORDS.items()})
+_PHRASE_TABLE = _map({p.lower(): r for p, r in reversed([*R.PHRASES.items(), *((p, r) for p, (_, r) in R.TURNS.items() if r is not None)])})
+_PHRASE_PATTERN = "(?i)(?:" + _phrases({*R.PHRASES, *(p for p, (_, r) in R.TURNS.items() if r is not None)}) + ")"
+
+
+def swapped(source: str) -> str:
+    """swap: (repo, path, ext, content, n): words by pieces of word characters and others, then phrases, then normalised."""
+    clean = rf"array_to_string(list_transform(CASE WHEN ls[len(ls)] = '' THEN ls[1:len(ls) - 1] ELSE ls END, lambda x: regexp_replace(regexp_replace(regexp_replace(x, ' {{2,}}', ' ', 'g'), '\s+([,.;:!?])', '\1', 'g'), '\s+$', '')), chr(10))"
+    return rf"""w0 AS (SELECT repo, path, ext, content, regexp_extract_all(content, {q(r"(?i)(?:" + _HYPHENED + r")\b|[A-Za-z0-9_]+|(?s:[^A-Za-z0-9_]+)")}) AS w FROM {source}),
+w1 AS (SELECT repo, path, ext, content, w, list_transform(w, lambda x: {_WORD_TABLE}[lower(x)]) AS new FROM w0),
+w2 AS (SELECT repo, path, ext, content, array_to_string(list_transform(w, lambda x, i: coalesce(new[i], x)), '') AS t, len(list_filter(new, lambda x: x IS NOT NULL)) AS n FROM w1),
+w3 AS (SELECT *, regexp_extract_all(t, {q(_PHRASE_PATTERN)}) AS m, string_split_regex(t, {q(_PHRASE_PATTERN)}) AS b FROM w2),
+w4 AS (SELECT repo, path, ext, content, array_to_string(list_transform(b, lambda x, i: x || CASE WHEN i <= len(m) THEN coalesce({_PHRASE_TABLE}[{low("m[i]")}], m[i]) ELSE '' END), '') AS t, n + len(m) AS n FROM w3),
+swap AS (SELECT repo, path, ext, CASE WHEN n > 0 THEN {clean} ELSE content END AS content, CAST(n AS INT) AS n FROM (SELECT *, string_split_regex(t, '\r?\n') AS ls FROM w4))"""
+
+
+def cleaned(source: str) -> str:
+    """clean: (repo, path, ext, content, removed)."""
+    title = low(trim("regexp_replace(t, '^#+', '')"))
+    return f"""{text_lines(source, "rl")},
+r0 AS (SELECT *, starts_with(t, '#') AS head, {has(low("raw"), V.README_PHRASES)} AS phrase, starts_with(t, '#') AND {title} IN ({', '.join(map(q, V.README_DROPPABLE))}) AS template FROM rl),
+r1 AS (SELECT repo, path, no, template AND coalesce(lead(head) OVER (PARTITION BY repo, path ORDER BY no), true) AS gone FROM r0 WHERE head OR (NOT phrase AND t <> '')),
+r2 AS (SELECT r0.*, t = '' AND coalesce(lag(t) OVER (PARTITION BY r0.repo, r0.path ORDER BY r0.no) = '', false) AS again FROM r0 LEFT JOIN r1 ON r0.repo = r1.repo AND r0.path = r1.path AND r0.no = r1.no WHERE NOT phrase AND NOT coalesce(gone, false)),
+r3 AS (SELECT repo, path, count(*) AS kept, string_agg(raw, chr(10) ORDER BY no) FILTER (NOT again) AS body FROM r2 GROUP BY ALL), r4 AS (SELECT repo, path, count(*) AS n FROM rl GROUP BY ALL),
+clean AS (SELECT s.repo, s.path, s.ext, CASE WHEN r4.n IS NULL THEN '' ELSE coalesce(body, '') || CASE WHEN suffix(s.content, chr(10)) THEN chr(10) ELSE '' END END AS content, CAST(coalesce(r4.n, 0) - coalesce(kept, 0) AS INT) AS removed FROM {source} s LEFT JOIN r3 ON s.repo = r3.repo AND s.path = r3.path LEFT JOIN r4 ON s.repo = r4.repo AND s.path = r4.path)"""
+
+
+THIN = f"WITH {CODE}, {thinned('code')} SELECT repo, path, md5(content) AS digest, removed AS removed_comments FROM thin"
+SWAP = f"WITH {CODE}, {swapped('code')} SELECT repo, path, md5(content) AS digest, n AS replacements FROM swap"
+CLEAN = f"WITH {CODE}, md AS (SELECT * FROM code WHERE ext = 'md'), {cleaned('md')} SELECT repo, path, md5(content) AS digest, removed AS removed_lines FROM clean"
+TRANSFORMED = f"""WITH {CODE}, wanted AS (SELECT * FROM code WHERE NOT contains(content, {q(V.IGNORE_FILE)})), {thinned('wanted')}, {swapped('thin')}, md AS (SELECT * FROM swap WHERE ext = 'md'), {cleaned('md')}
+SELECT count(*) FILTER (coalesce(clean.content, swap.content) <> wanted.content) AS files_changed, CAST(sum(swap.n) AS BIGINT) AS replacements, CAST(sum(thin.removed) + coalesce(sum(clean.removed), 0) AS BIGINT) AS removed
+FROM wanted JOIN thin ON wanted.repo = thin.repo AND wanted.path = thin.path JOIN swap ON wanted.repo = swap.repo AND wanted.path = swap.path LEFT JOIN clean ON wanted.repo = clean.repo AND wanted.path = clean.path"""

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,11 +46,36 @@ def file_list(spark: SparkSession, path: str, extensions: tuple[str, ...] = V.CO
     return spark.read.text(path).select(line.alias("path")).where((line != "") & ~F.startswith(line, F.lit("#")) & F.regexp_extract(line, r"\.([^.]+)$", 1).isin(*extensions))
 
 
+def listed(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """The files that an index lists."""
+    return files.join(paths.select("path").distinct(), "path", "left_semi").select(*FILES.fieldNames())
+
+
+def project_root(start: str | Path, config: str = ".inkstrata.toml", ignore: str = ".inkstrataignore") -> Path:
+    """The nearest folder, from start upwards, with a configuration, an ignore file or a repository; else start itself."""
+    here = Path(start).resolve()
+    here = here if here.is_dir() else here.parent
+    return next((at for at in (here, *here.parents) if any((at / x).exists() for x in (config, ignore, ".git"))), here)
+
+
+def allowed(path: str | Path, prefixes: tuple[str, ...] = ("/etc", "/proc", "/sys", "/dev", "/root/.ssh"), segments: tuple[str, ...] = (".ssh", ".gnupg", ".aws")) -> bool:
+    """Whether a service may be asked to scan a path: none below denied folders or with a denied part, links resolved."""
+    at = Path(path).resolve()
+    return not any(at.is_relative_to(p) for p in prefixes) and not set(segments) & set(at.parts)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that the cluster shares."""
-    sc = df.sparkSession.sparkContext
+    """Cuts the lineage with a reliable checkpoint in the folder that the cluster shares, named by spark.checkpoint.dir.
+
+    Only a session in one process, as in tests, may do without that setting: its own temporary folder is shared by all.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkstrata-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="inkstrata-"))
     return df.checkpoint(eager=True)
 
 
@@ -101,14 +127,18 @@ def prune(files: DataFrame, rules: list[str]) -> DataFrame:
 
 
 def without_ignored(files: DataFrame) -> DataFrame:
-    """Files without the ignore-file directive."""
-    return files.where(~F.contains("content", F.lit(V.IGNORE_FILE)))
+    """Files without the ignore-file directive; a file without content has none."""
+    return files.where(~F.contains(F.coalesce("content", F.lit("")), F.lit(V.IGNORE_FILE)))
+
+
+def hushed(all_lines: Column) -> Column:
+    """The lines that follow an ignore-next-line directive."""
+    return F.filter(F.transform(all_lines, lambda x, i: F.when(F.contains(x, F.lit(V.IGNORE_NEXT)), i + 2)), lambda x: x.isNotNull())
 
 
 def suppressed_lines(files: DataFrame) -> DataFrame:
     """(repo, path, line): lines that follow an ignore-next-line directive."""
-    marked = F.transform(lines(F.col("content")), lambda x, i: F.when(F.contains(x, F.lit(V.IGNORE_NEXT)), i + 2))
-    return files.select("repo", "path", F.explode(F.filter(marked, lambda x: x.isNotNull())).alias("line"))
+    return files.select("repo", "path", F.explode(hushed(lines(F.col("content")))).alias("line"))
 
 
 def suppress(findings: DataFrame, files: DataFrame) -> DataFrame:
