@@ -12,7 +12,8 @@ and components are formed. Only members of a hub's buckets that then lie in diff
 other, if their lengths, their measured distances from the hub (Jaccard distance keeps the triangle inequality) and their
 sketches allow the wanted similarity; those are verified, and components formed again. So copies are never expanded into
 all their pairs, and no pair that a band brings together is left out unless it is connected anyway. Joins by a key that
-may be hot (hub, class, text) are dealt by that key and a salt, or join written tables, which Spark splits where skewed.
+may be hot (hub, class, text) are dealt by that key and a salt, or join written tables, which Spark splits where skewed;
+merge hints keep tables that grow with the corpus from being collected for a broadcast.
 """
 
 from __future__ import annotations
@@ -143,9 +144,9 @@ def _similarities(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     A b with many partners is sent to several tasks, each with some of them.
     """
     salts = cut(pairs.groupBy("b").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("salts")))
-    left = pairs.join(salts, "b").select("a", "b", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"))
-    left = left.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).join(salts, "b").select("b", "text_b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    left = pairs.join(salts.hint("merge"), "b").select("a", "b", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"))
+    left = left.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).join(salts.hint("merge"), "b").select("b", "text_b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, frozenset()
@@ -159,7 +160,7 @@ def _similarities(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                 united.append(len(own) + len(held) - shared[-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(united, pa.int64())], ["a", "b", "shared", "united"])
 
-    joined = left.join(right, ["b", "salt"]).select("a", "b", "text_a", "text_b")
+    joined = left.join(right.hint("merge"), ["b", "salt"]).select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(run, "a long, b long, shared long, united long")
 
 
@@ -173,18 +174,18 @@ def _clusters(documents: DataFrame, percent: int, size: int) -> tuple[DataFrame,
     nodes = marks.where("n > 0").groupBy(*TEXT).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first(light).alias("m"))
     nodes = cut(nodes.select("*", "m.*").drop("m").withColumn("node", F.monotonically_increasing_id()))
     classes = cut(nodes.groupBy("set_hash").agg(F.min("node").alias("rep"), F.count("*").alias("m")))
-    same = cut(nodes.select("set_hash", "node").join(classes.where("m > 1"), "set_hash").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")))
-    reps = nodes.select("node", "n", "bands", "sketch").join(classes.select(F.col("rep").alias("node")), "node", "left_semi")
+    same = cut(nodes.select("set_hash", "node").join(classes.where("m > 1").hint("merge"), "set_hash").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")))
+    reps = nodes.select("node", "n", "bands", "sketch").join(classes.select(F.col("rep").alias("node")).hint("merge"), "node", "left_semi")
     keyed = reps.select(F.explode("bands").alias("key"), "node")
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
-    members = cut(keyed.join(shared, "key"))
+    members = cut(keyed.join(shared.hint("merge"), "key"))
     weight = members.groupBy("node").agg(F.sum("m").alias("weight"))
-    hubs = cut(members.join(weight, "node").groupBy("key").agg((-F.max(F.struct("weight", -F.col("node")))["col2"]).alias("hub")))
-    members = cut(members.select("key", "node").join(hubs, "key").select("hub", "node").distinct())
+    hubs = cut(members.join(weight.hint("merge"), "node").groupBy("key").agg((-F.max(F.struct("weight", -F.col("node")))["col2"]).alias("hub")))
+    members = cut(members.select("key", "node").join(hubs.hint("merge"), "key").select("hub", "node").distinct())
 
     # One row's text for each node that any pair may need; the other rows with that text do not leave their partition.
-    wanted = cut(members.select("node").union(same.select("a")).union(same.select("b")).distinct().join(nodes.select("node", *TEXT, F.col("doc_id").alias("least")), "node"))
-    own = hashed(documents).join(wanted, TEXT).where(F.col("doc_id").eqNullSafe(F.col("least")))
+    wanted = cut(members.select("node").union(same.select("a")).union(same.select("b")).distinct().join(nodes.select("node", *TEXT, F.col("doc_id").alias("least")).hint("merge"), "node"))
+    own = hashed(documents).join(_small(wanted), TEXT).where(F.col("doc_id").eqNullSafe(F.col("least")))
     texts = own.groupBy("node").agg(F.first("text").alias("text"))
 
     linked = 100 * F.col("shared") >= percent * F.col("united")
@@ -195,13 +196,13 @@ def _clusters(documents: DataFrame, percent: int, size: int) -> tuple[DataFrame,
 
     # Hubs whose buckets still hold several components: members outside the hub's component meet all the others.
     near = cut(tested.groupBy(F.col("a").alias("node"), F.col("b").alias("hub")).agg(F.max(F.col("shared") / F.col("united")).alias("j")))
-    labelled = cut(members.join(near, ["node", "hub"], "left").join(found.withColumnRenamed("id", "node"), "node", "left"))
-    labelled = labelled.join(found.select(F.col("id").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
+    labelled = cut(members.join(near.hint("merge"), ["node", "hub"], "left").join(found.withColumnRenamed("id", "node").hint("merge"), "node", "left"))
+    labelled = labelled.join(found.select(F.col("id").alias("hub"), F.col("component").alias("hub_component")).hint("merge"), "hub", "left")
     labelled = cut(labelled.select("hub", "node", F.coalesce("j", F.lit(1.0)).alias("j"), F.coalesce("component", "node").alias("c"), F.coalesce("hub_component", "hub").alias("hc")))
     chunks = cut(labelled.groupBy("hub").agg(F.ceil(F.count_if(F.col("c") != F.col("hc")) / OUTSIDERS).cast("int").alias("chunks")).where("chunks > 0"))
     if not chunks.isEmpty():
-        side = lambda df, x, *more: df.join(reps.select("node", "n", "sketch"), "node").select("hub", "chunk", *more, F.col("node").alias(x), F.col("j").alias(f"j_{x}"), F.col("c").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-        here = labelled.join(chunks, "hub")
+        side = lambda df, x, *more: df.join(reps.select("node", "n", "sketch").hint("merge"), "node").select("hub", "chunk", *more, F.col("node").alias(x), F.col("j").alias(f"j_{x}"), F.col("c").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+        here = labelled.join(chunks.hint("merge"), "hub")
         left = side(here.where("c <> hc").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int")), "a")
         inside = side(here.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))), "b", "hc")
         # A pair of two outsiders is met from its larger end only.
@@ -213,7 +214,7 @@ def _clusters(documents: DataFrame, percent: int, size: int) -> tuple[DataFrame,
         )
         left, inside = (df.withColumnsRenamed({"hub": f"hub_{x}", "chunk": f"chunk_{x}"}) for df, x in ((left, "a"), (inside, "b")))
         met = (F.col("hub_a") == F.col("hub_b")) & (F.col("chunk_a") == F.col("chunk_b"))
-        pairs = cut(left.join(inside.withColumn("hub", F.col("hub_b")), met & may).select("a", "b").distinct())
+        pairs = cut(left.join(inside.withColumn("hub", F.col("hub_b")).hint("merge"), met & may).select("a", "b").distinct())
         links = cut(links.union(_similarities(pairs, texts, size).where(linked).select("a", "b")).distinct())
     return marks.select("doc_id", *TEXT, "n"), nodes.select("node", *TEXT, "doc_id", "rows"), links
 
@@ -229,17 +230,17 @@ def near_duplicates(documents: DataFrame, percent: int = 85, size: int = 5) -> D
     documents = documents.select("doc_id", "text")
     marks, nodes, links = _clusters(documents.where("doc_id is not null"), percent, size)
     # A doc_id with several texts links their nodes; a node's documents are known by its least doc_id.
-    several = marks.where("n > 0").select("doc_id", *TEXT).distinct().join(nodes.select(*TEXT, "node"), TEXT)
+    several = marks.where("n > 0").select("doc_id", *TEXT).distinct().join(nodes.select(*TEXT, "node").hint("merge"), TEXT)
     several = several.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("m")).where("m > 1")
     if not several.isEmpty():
         several = cut(marks.where("n > 0").join(several, "doc_id").select(*TEXT, "a").distinct().join(nodes.select(*TEXT, "node"), TEXT).select("a", F.col("node").alias("b")))
         links = cut(links.union(several).distinct())
     found = cut(components(links))
-    grouped = nodes.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    grouped = nodes.join(found.withColumnRenamed("id", "node").hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.sum("rows").alias("all")).where("all > 1")
     # Documents that share their component with no other row are their own.
-    named = cut(grouped.join(least, "component").select(*TEXT, "component_id"))
-    out = marks.join(named, TEXT, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = cut(grouped.join(least.hint("merge"), "component").select(*TEXT, "component_id"))
+    out = marks.join(named.hint("merge"), TEXT, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     nameless = sketched(documents.where("doc_id is null"), size, 1, 1).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     return out.unionByName(nameless)
@@ -265,9 +266,9 @@ def keep_one(documents: DataFrame, percent: int = 80, size: int = 5) -> DataFram
     """
     _, nodes, links = _clusters(documents.select("doc_id", "text"), percent, size)
     found = cut(components(links))
-    grouped = nodes.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    grouped = nodes.join(found.withColumnRenamed("id", "node").hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node"))["node"].alias("best"), F.sum("rows").alias("all")).where("all > 1")
-    judged = cut(grouped.join(best, "component").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("doc_id").alias("_least"), (F.col("node") == F.col("best")).alias("_best"), "rows"))
+    judged = cut(grouped.join(best.hint("merge"), "component").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("doc_id").alias("_least"), (F.col("node") == F.col("best")).alias("_best"), "rows"))
     same = (F.xxhash64("text") == F.col("_h1")) & (F.xxhash64(F.lit(7), "text") == F.col("_h2"))
     gone = judged.where("not _best or rows > 1").select("_h1", "_h2")
     kept = documents.join(_small(gone), same, "left_anti")
