@@ -32,6 +32,18 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN pos USING (r) LEFT JOIN it USING (r)
 """
 
+OP2 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_lower("text")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[k:k + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, r, count(g) AS n FROM d LEFT JOIN s USING (r) GROUP BY ALL),
+p AS (SELECT x.r AS a, y.r AS b, count(*) AS k FROM s x JOIN s y USING (g) WHERE x.r < y.r GROUP BY ALL),
+l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c(id, least) AS (SELECT doc_id, doc_id FROM d WHERE doc_id IS NOT NULL UNION SELECT c.id, e.b FROM c JOIN e ON c.least = e.a),
+m AS (SELECT id, min(least) AS component_id FROM c GROUP BY id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, coalesce(doc_id = component_id, true) AS kept FROM n LEFT JOIN m ON doc_id = id
+"""
+
 OP10 = """
 WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 ok AS (SELECT * FROM e WHERE vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL AND len(v) > 0
@@ -57,7 +69,7 @@ p(phrase, label) AS (VALUES {phrases}),
 places AS (SELECT r, label, s - 1 AS place FROM (SELECT d.r, d.w, p.label, p.phrase, len(string_split(p.phrase, ' ')) AS n, unnest(range(1, len(d.w) + 1)) AS s FROM d, p)
            WHERE array_to_string(w[s:s + n - 1], ' ') = phrase),
 base AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY r),
-lines AS (SELECT r, {_words("line")} AS lw FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
+lines AS (SELECT r, {_words("line")} AS lw FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) UNION ALL SELECT r, w FROM d WHERE contains(text, chr(10))),
 blocks AS (SELECT r, list_distinct(lw[s + 1:s + {WINDOW}]) AS bw FROM (SELECT r, lw, unnest(range(0, greatest(1, len(lw) - {WINDOW // 2}), {WINDOW // 2})) AS s FROM lines)),
 t AS (SELECT label, list_distinct({_words("text")}) AS tw FROM (VALUES {templates}) AS v(label, text)),
 met AS (SELECT r, label, max(len(list_intersect(bw, tw)) / len(tw)) AS share FROM blocks, t
@@ -72,6 +84,7 @@ FROM d LEFT JOIN base USING (r) LEFT JOIN named USING (r) LEFT JOIN best USING (
 
 ORACLES = {
     "op1_license_scan": _op1(),
+    "op2_minhash_near_dedup": OP2,
     "op8_benchmark_decontamination": OP8,
     "op10_embedding_near_dedup": OP10,
 }
