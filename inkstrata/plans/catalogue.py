@@ -64,6 +64,11 @@ def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.unionByName(api.repo_findings(overlay.repo_files(spark, sf_dir)))
 
 
+@query(O.SCAN)
+def scan(spark, sf_dir):
+    return whole(spark, sf_dir).select("repo", "path", "detector", "id", "category", "severity", *rounded("confidence", digits=4), "line_start", "line_end")
+
+
 @query(O.LEXICAL)
 def lexical_metrics(spark, sf_dir):
     return D.lexical(code(spark, sf_dir).where("lang <> 'unknown'")).select("repo", "path", *long("matches", "terms", "first_line", "last_line"))

@@ -306,3 +306,68 @@ CLEAN = f"WITH {CODE}, md AS (SELECT * FROM code WHERE ext = 'md'), {cleaned('md
 TRANSFORMED = f"""WITH {CODE}, wanted AS (SELECT * FROM code WHERE NOT contains(content, {q(V.IGNORE_FILE)})), {thinned('wanted')}, {swapped('thin')}, md AS (SELECT * FROM swap WHERE ext = 'md'), {cleaned('md')}
 SELECT count(*) FILTER (coalesce(clean.content, swap.content) <> wanted.content) AS files_changed, CAST(sum(swap.n) AS BIGINT) AS replacements, CAST(sum(thin.removed) + coalesce(sum(clean.removed), 0) AS BIGINT) AS removed
 FROM wanted JOIN thin ON wanted.repo = thin.repo AND wanted.path = thin.path JOIN swap ON wanted.repo = swap.repo AND wanted.path = swap.path LEFT JOIN clean ON wanted.repo = clean.repo AND wanted.path = clean.path"""
+
+
+def _matches(lists: str, recipe: str, kind: str) -> str:
+    """Every match of the lists (repo, path, no, g) with its place in the line."""
+    key = "key" if kind == "word" else "replace(key, ' ', '-')"
+    return f"SELECT repo, path, no, nth, '{recipe}' AS recipe, '{kind}' AS kind, key, {key} AS name FROM (SELECT repo, path, no, unnest(g) AS key, generate_subscripts(g, 1) - 1 AS nth FROM ({lists}))"
+
+
+def _recipe_matches() -> str:
+    words = f"SELECT repo, path, no, list_transform(regexp_extract_all(regexp_replace(lower(raw), '([^A-Za-z0-9_])', '\\1\\1', 'g'), {q(WORDS_PATTERN)}, 1), lambda x: replace(x, '--', '-')) AS g FROM l"
+    phrases = lambda items: f"SELECT repo, path, no, regexp_extract_all({low('raw')}, {q(_phrases(items))}) AS g FROM l"
+    parts = [_matches(words, "slop-vocabulary", "word"), _matches(phrases(R.PHRASES), "slop-vocabulary", "phrase"), _matches(phrases(R.TURNS), "phrase-patterns", "phrase")]
+    single = "SELECT repo, path, no, 0 AS nth, '{}' AS recipe, '{}' AS kind, '{}' AS key, '{}' AS name FROM l WHERE {}regexp_matches(raw, {})"
+    parts += [single.format("comment-patterns", "regex", n, n, "", q(p)) for n, (_, p) in R.COMMENTS.items()]
+    parts += [single.format("phrase-patterns", "contextual", n, n, "(name LIKE 'README%.md' OR name = 'readme.md' OR path = 'README.md') AND ", q(p)) for n, (_, p) in R.README.items()]
+    return " UNION ALL ".join(parts)
+
+
+def _severities() -> str:
+    rows = [("phrase-patterns", low_text(p), p.replace(" ", "-"), s) for p, (s, _) in R.TURNS.items()]
+    rows += [("comment-patterns", n, n, s) for n, (s, _) in R.COMMENTS.items()] + [("phrase-patterns", n, n, s) for n, (s, _) in R.README.items()]
+    return ", ".join(f"({q(a)}, {q(b)}, {q(c)}, {q(d)})" for a, b, c, d in rows)
+
+
+def low_text(x: str) -> str:
+    return "".join(c.lower() if c.isascii() else c for c in x)
+
+
+_SCORING = ", ".join(f"({q(n)}, {k}, {t}, {b}, {q(boost)}, {c}, {q('comment' if n == 'comment-patterns' else 'lexical')})" for k, (n, (t, b, boost, c)) in enumerate(R.SCORING.items()))
+_TRIO = lambda order, detector, id_, category: f"'{detector}' AS detector, '{id_}' AS id, '{category}' AS category, CAST({order} AS BIGINT) * 1000000000000 AS ord"
+_WHOLE_FILE = "CAST(1 AS INT) AS line_start, n_lines AS line_end"
+
+
+def _repo(order: int, detector: str, id_: str, category: str, body: str) -> str:
+    return f"SELECT repo, '' AS path, {_TRIO(order, detector, id_, category)}, severity, confidence, CAST(NULL AS INT) AS line_start, CAST(NULL AS INT) AS line_end FROM ({body})"
+
+
+#: The findings of all detectors over files, repositories and commits, with the ignore directives applied.
+WHOLE = f"""{STRUCTURE_FOLD},
+fl AS (SELECT repo, path, CAST(greatest(1, len(ls)) AS INT) AS n_lines FROM f),
+cl AS (SELECT repo, path, CAST(min(no) AS INT) AS a, CAST(max(no) AS INT) AS b FROM l WHERE {COMMENT} GROUP BY ALL),
+sg AS (SELECT repo, path, length_cv, doc_coverage, CAST(length_cv < 0.25 AS INT) + CAST(doc_coverage >= 0.88 AS INT) + CAST(pub_fraction >= 0.93 AS INT) AS g FROM sm WHERE function_count >= 5),
+sc(recipe, k, t, bucket, boost, base, category) AS (VALUES {_SCORING}), sv(recipe, key, name, severity) AS (VALUES {_severities()}),
+rm AS ({_recipe_matches()}),
+rn AS (SELECT rm.repo, path, no, nth, rm.recipe, kind, coalesce(sv.name, rm.name) AS name, coalesce(sv.severity, CASE kind WHEN 'word' THEN 'low' ELSE 'medium' END) AS severity, k, base, category, boost,
+ count(*) OVER (PARTITION BY rm.repo, path, rm.recipe) >= t AND count(*) OVER (PARTITION BY rm.repo, path, rm.recipe, (no - 1) // bucket) >= t AS hot FROM rm JOIN sc ON rm.recipe = sc.recipe LEFT JOIN sv ON sv.recipe = rm.recipe AND sv.key = rm.key),
+ff AS (SELECT repo, path, {_TRIO(1, "lexical", "lexical.cluster", "lexical")}, severity, confidence, line_start, line_end FROM ({LEXICAL_FINDINGS})
+ UNION ALL SELECT repo, path, {_TRIO(2, "comments", "comments.over_documented", "comment")}, severity, confidence, a, b FROM ({COMMENT_FINDINGS}) JOIN cl USING (repo, path)
+ UNION ALL SELECT repo, path, {_TRIO(3, "structure", "structure.uniform", "structure")}, CASE WHEN g = 3 OR length_cv < 0.10 THEN 'high' ELSE 'medium' END, least(1.0, greatest(0.0, 0.9 * (0.5 * (1 - length_cv) + 0.3 * doc_coverage))), {_WHOLE_FILE} FROM sg JOIN fl USING (repo, path) WHERE g >= 2
+ UNION ALL SELECT repo, path, {_TRIO(4, "tests", "tests.symmetric.shape", "test_pattern")}, CASE WHEN prefix_ratio > 0.80 AND assert_density > 0.70 THEN 'high' ELSE 'medium' END, least(1.0, 0.6 * prefix_ratio + 0.4 * assert_density), {_WHOLE_FILE} FROM ({_tests()}) JOIN fl USING (repo, path) WHERE test_count >= 6 AND prefix_ratio >= 0.65 AND assert_density >= 0.5
+ UNION ALL SELECT repo, path, {_TRIO(5, "idiom", "idiom.cross_language.mismatch", "idiom_mismatch")}, severity, confidence, {_WHOLE_FILE} FROM ({IDIOM}) JOIN fl USING (repo, path)
+ UNION ALL SELECT repo, path, {_TRIO(6, "prompt", "prompt.leakage.markers", "prompt_leakage")}, severity, confidence, {_WHOLE_FILE} FROM ({PROMPT}) JOIN fl USING (repo, path)
+ UNION ALL SELECT repo, path, {_TRIO(7, "readme", "readme.template.structure", "readme")}, severity, confidence, {_WHOLE_FILE} FROM ({README}) JOIN fl USING (repo, path)
+ UNION ALL SELECT repo, path, 'security', id, 'security', 8000000000000 + CAST(line AS BIGINT) * 100 + CAST(substr(id, 4) AS INT) - 1, severity, confidence, line, line FROM ({SECURITY})
+ UNION ALL SELECT repo, path, 'recipe', recipe || ':' || kind || ':' || name, category, (20 + k) * 1000000000000 + no * 1000 + nth, CASE WHEN hot THEN boost ELSE severity END, CASE WHEN hot THEN least(1.0, base + 0.15) ELSE base END, CAST(no AS INT), CAST(no AS INT) FROM rn),
+am AS (SELECT repo, len(list_distinct(flatten(list(y)))) AS layers, sum(t) AS traits, sum(s) AS structs, sum(i) AS impls, count(*) AS source_files, max(d) AS depth FROM (SELECT repo, len(string_split(path, '/')) AS d, list_intersect(string_split(lower(path), '/'), {array(V.LAYERS)}) AS y,
+ len(regexp_extract_all(content, '(?m)^\\s*(pub\\s+)?trait\\s+\\w+')) AS t, len(regexp_extract_all(content, '(?m)^\\s*(pub\\s+)?struct\\s+\\w+')) AS s, len(regexp_extract_all(content, '(?m)^\\s*impl\\s+')) AS i FROM f WHERE ext = 'rs') GROUP BY repo HAVING count(*) >= 8),
+ar AS (SELECT repo, '' AS path, 1 AS k, 'medium' AS severity, 0.75 AS confidence FROM am WHERE depth < 2 UNION ALL SELECT repo, '', 2, 'medium', 0.70 FROM am WHERE layers < 2 AND source_files >= 16 UNION ALL SELECT repo, path, 3, 'high', 0.85 FROM f WHERE ext = 'rs' AND len(ls) > 800 AND repo IN (SELECT repo FROM am)
+ UNION ALL SELECT repo, '', 4, 'medium', 0.65 FROM am WHERE structs >= 5 AND traits / (traits + structs) < 0.02 UNION ALL SELECT repo, '', 5, 'low', 0.60 FROM am WHERE structs >= 5 AND (CASE WHEN impls / structs < 0.5 THEN floor(structs * (1 - 2 * impls / structs)) ELSE 0 END) / structs > 0.80),
+hu AS (SELECT repo, path, no + 1 AS line FROM l WHERE contains(raw, {q(V.IGNORE_NEXT)})), ig AS (SELECT repo, path FROM f WHERE contains(content, {q(V.IGNORE_FILE)})),
+found AS (SELECT * FROM ff WHERE NOT EXISTS (SELECT 1 FROM hu WHERE hu.repo = ff.repo AND hu.path = ff.path AND hu.line = ff.line_start) AND NOT EXISTS (SELECT 1 FROM ig WHERE ig.repo = ff.repo AND ig.path = ff.path)
+ UNION ALL SELECT repo, path, 'architecture', 'ARCH00' || k, 'architecture', (50 + k) * CAST(1000000000000 AS BIGINT), severity, CAST(confidence AS DOUBLE), NULL, NULL FROM ar
+ UNION ALL {_repo(40, "commit_pattern", "commit_pattern.machine_clean", "commit_pattern", COMMIT_FINDINGS)} UNION ALL {_repo(60, "workflow", "workflow.artifact.bundle", "workflow", WORKFLOW)} UNION ALL {_repo(61, "metadata", "metadata.scaffold.bundle", "metadata", METADATA)}
+ UNION ALL {_repo(62, "promotion", "promotion.showcase_stack", "promotion", PROMOTION)} UNION ALL {_repo(63, "maintenance", "maintenance.hollow_repo", "maintenance", MAINTENANCE)} UNION ALL {_repo(64, "name_credibility", "name.discovery_pollution", "name_credibility", NAME)})"""
+SCAN = f"{WHOLE} SELECT repo, path, detector, id, category, severity, round(confidence, 4) AS confidence, line_start, line_end FROM found"
