@@ -30,7 +30,7 @@ def file_findings(files: DataFrame, comment_threshold: float = 0.45, recipes: li
     p = D.add_all(D.prepared(without_ignored(files)))
     more = [*([U.security_flags()] if security else []), *([U.recipe_flags(recipes)] if recipes else [])]
     p = once(p, found=F.concat(F.filter(F.array(*D.all_flags(comment_threshold)), lambda f: f.isNotNull()), *more), hush=hushed(C("lines")))
-    rows = p.select("repo", "path", "hush", F.inline("found"))
+    rows = p.select("repo", "path", "hush", F.inline("found"), F.lit(None).cast("string").alias("suggestion"))
     rows = rows.withColumn("hush", C("line_start").isNotNull() & F.array_contains("hush", C("line_start")))
     if recipes:
         rows = U.boosted(U.named(rows, recipes), recipes)

@@ -16,7 +16,7 @@ from ..functions import vocabulary as V
 from ..functions.text import LEXICAL_REGEX, any_of, ascii_lower, comment_body, first_words, hits, is_comment, language, lines, mode_count, once, starts_with_any, trim
 
 #: Columns of a finding.
-FINDING = ("repo", "path", "detector", "id", "category", "severity", "confidence", "line_start", "line_end", "ord")
+FINDING = ("repo", "path", "detector", "id", "category", "severity", "confidence", "line_start", "line_end", "ord", "suggestion")
 #: What a finding says of itself besides; recipe matches await their id and severity.
 FLAG = "struct<detector:string,id:string,category:string,severity:string,confidence:double,line_start:int,line_end:int,ord:bigint,recipe:string,kind:string,key:string>"
 
@@ -98,6 +98,24 @@ def test_shape(p: DataFrame) -> DataFrame:
     return add_test_shape(p.where(known())).withColumnRenamed("test_prefix_ratio", "prefix_ratio")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def braces(line: Column) -> Column:
+    """What the braces of a line add to the depth, whether any opens, and by how much the depth differs where one closes:
+    anywhere, and after one of the line's own. The sets of differences stay small."""
+    start = F.expr("named_struct('total', 0, 'opens', false, 'closed', array_repeat(0, 0), 'own', array_repeat(0, 0))")
+
+    def one(a: Column, c: Column) -> Column:
+        now, opens = a["total"] + F.when(c == "{", 1).otherwise(-1), c == "{"
+        add = lambda known, test: F.when(test & ~F.array_contains(known, now), F.array_append(known, now)).otherwise(known)
+        return F.struct(now.alias("total"), (a["opens"] | opens).alias("opens"), add(a["closed"], ~opens).alias("closed"), add(a["own"], ~opens & a["opens"]).alias("own"))
+
+    return F.aggregate(F.regexp_extract_all(line, F.lit("[{}]"), F.lit(0)), start, one)
+
+
 def add_structure(p: DataFrame) -> DataFrame:
     """Function lengths, documentation and visibility, by one fold over the lines of each language whose state keeps its size."""
     p = once(
@@ -109,54 +127,44 @@ def add_structure(p: DataFrame) -> DataFrame:
     pub = lambda n: F.transform("lines", lambda x: F.startswith(stripped(x), F.lit(V.PUBLIC_STARTS[n])) if n in V.PUBLIC_STARTS else F.lit(True))
     # Files without a function need no fold.
     p = once(p, is_pub=F.when(F.exists("is_fn", lambda x: x), by_language(pub, V.FUNCTION_PATTERNS)))
-    # Per line: braces as +1 and -1 in order, indent (null if blank), and whether it may belong to a look-back run.
+    # Per line: indent (null if blank), whether it may belong to a look-back run, and what its braces do.
     run = lambda x: F.when(F.col("lang") == "python", F.startswith(trim(x), F.lit('"""'))).otherwise(F.startswith(trim(x), F.lit("//"))) | starts_with_any(trim(x), ("#", "*", "/*")) | (trim(x) == "")
-    p = once(p, rows=F.when(F.col("is_pub").isNotNull(), F.transform("lines", lambda x, i: F.struct(
-        i.alias("i"), F.regexp_replace(x, r"[^{}]", "").alias("braces"),
-        F.when(trim(x) == "", F.lit(None)).otherwise(F.length(x) - F.length(stripped(x))).alias("indent"), run(x).alias("run"),
-        F.get("is_fn", i).alias("fn"), F.get("is_doc", i).alias("doc"), F.get("is_pub", i).alias("pub"),
-    ))))
+    row = lambda x, i: F.struct(
+        i.alias("i"), let(trim(x), lambda t: F.when(t == "", F.lit(None)).otherwise(F.length(x) - F.length(stripped(x)))).alias("indent"), run(x).alias("run"),
+        F.get("is_fn", i).alias("fn"), F.get("is_doc", i).alias("doc"), F.get("is_pub", i).alias("pub"), braces(x).alias("b"),
+    )
+    p = once(p, rows=F.when(F.col("is_pub").isNotNull(), F.transform("lines", row)))
     start = F.expr("named_struct('open', false, 'begin', 0, 'last', 0, 'depth', 0, 'seen', false, 'indent', 0, 'doc', false, 'pub', false, 'behind', false, 'n', 0, 'sum', 0L, 'squares', 0L, 'docs', 0, 'pubs', 0)")
 
-    def closed(a: Column, end: Column) -> dict[str, Column]:
-        size = (end - a["begin"] + 1).cast("long")
-        return {"open": F.lit(False), "n": a["n"] + 1, "sum": a["sum"] + size, "squares": a["squares"] + size * size, "docs": a["docs"] + a["doc"].cast("int"), "pubs": a["pubs"] + a["pub"].cast("int")}
-
-    def state(a, **new) -> Column:
-        fields = ("open", "begin", "last", "depth", "seen", "indent", "doc", "pub", "behind", "n", "sum", "squares", "docs", "pubs")
-        return F.struct(*(new.get(f, a[f]).alias(f) for f in fields))
-
-    def braces(a: Column, text: Column) -> Column:
-        """(depth, seen, done) after the braces of one line; the first return to 0 ends it."""
-        begin = F.struct(a["depth"].alias("depth"), a["seen"].alias("seen"), F.lit(False).alias("done"))
-
-        def one(b: Column, c: Column) -> Column:
-            depth = F.when(c == "{", b["depth"] + 1).when(c == "}", b["depth"] - 1).otherwise(b["depth"])
-            seen = b["seen"] | (c == "{")
-            new = F.struct(depth.alias("depth"), seen.alias("seen"), ((c == "}") & seen & (depth == 0)).alias("done"))
-            return F.when(b["done"], b).otherwise(new)
-
-        return F.aggregate(F.split(text, ""), begin, one)
-
     def step(a: Column, r: Column) -> Column:
-        python = F.col("lang") == "python"
-        # A look-back run: whether the lines right before this one hold documentation.
-        behind = F.when(r["run"], a["behind"] | r["doc"]).otherwise(F.lit(False))
-
-        def enter(b: Column) -> Column:
-            got = braces(state(b, depth=F.lit(0), seen=F.lit(False)), r["braces"])
-            fresh = state(b, open=F.lit(True), begin=r["i"], last=r["i"], depth=got["depth"], seen=got["seen"], indent=F.coalesce(r["indent"], F.lit(0)), doc=b["behind"], pub=r["pub"], behind=behind)
-            done = state(fresh, **closed(fresh, r["i"]))
-            return F.when(~r["fn"], state(b, behind=behind)).when(~python & got["done"], done).otherwise(fresh)
-
+        python, b = F.col("lang") == "python", r["b"]
         ended = python & a["open"] & r["indent"].isNotNull() & (r["indent"] <= a["indent"])
-        shut = state(a, **closed(a, a["last"]))
-        got = braces(a, r["braces"])
-        inside = F.when(python, state(a, last=F.when(r["indent"].isNull(), a["last"]).otherwise(r["i"]), behind=behind)).when(got["done"], state(a, **closed(a, r["i"]), behind=behind)).otherwise(state(a, depth=got["depth"], seen=got["seen"], last=r["i"], behind=behind))
-        return F.when(ended, enter(shut)).when(a["open"], inside).otherwise(enter(a))
+
+        def after(t: Column) -> Column:
+            was, new = t["was"], t["new"]
+            begin, doc, pub = F.when(new, r["i"]).otherwise(a["begin"]), F.when(new, a["behind"]).otherwise(a["doc"]), F.when(new, r["pub"]).otherwise(a["pub"])
+            # The function that the line ends from outside, and that whose last brace it closes.
+            outer, inner = (a["last"] - a["begin"] + 1).cast("long"), (r["i"] - begin + 1).cast("long")
+            add = lambda x, y: F.when(t["ended"], x).otherwise(0) + F.when(t["done"], y).otherwise(0)
+            return F.struct(
+                ((was | new) & ~t["done"]).alias("open"), begin.alias("begin"), F.when(new | (was & ~(python & r["indent"].isNull())), r["i"]).otherwise(a["last"]).alias("last"),
+                F.when(new, b["total"]).when(was, a["depth"] + b["total"]).otherwise(a["depth"]).alias("depth"), F.when(new, b["opens"]).when(was, a["seen"] | b["opens"]).otherwise(a["seen"]).alias("seen"),
+                F.when(new, F.coalesce(r["indent"], F.lit(0))).otherwise(a["indent"]).alias("indent"), doc.alias("doc"), pub.alias("pub"),
+                # A look-back run: whether the lines right before the next one hold documentation.
+                F.when(r["run"], a["behind"] | r["doc"]).otherwise(F.lit(False)).alias("behind"),
+                (a["n"] + add(F.lit(1), F.lit(1))).alias("n"), (a["sum"] + add(outer, inner)).alias("sum"), (a["squares"] + add(outer * outer, inner * inner)).alias("squares"),
+                (a["docs"] + add(a["doc"].cast("int"), doc.cast("int"))).alias("docs"), (a["pubs"] + add(a["pub"].cast("int"), pub.cast("int"))).alias("pubs"),
+            )
+
+        was = a["open"] & ~ended
+        state = F.struct(ended.alias("ended"), was.alias("was"), (~was & r["fn"]).alias("new"))
+        # The first return to depth 0 after a brace was opened ends a function.
+        done = lambda t: ~python & F.when(t["was"], F.array_contains(F.when(a["seen"], b["closed"]).otherwise(b["own"]), -a["depth"])).otherwise(t["new"] & F.array_contains(b["own"], 0))
+        return let(state, lambda t: let(F.struct(t["ended"].alias("ended"), t["was"].alias("was"), t["new"].alias("new"), done(t).alias("done")), after))
 
     def finish(a: Column) -> Column:
-        return F.when(a["open"], state(a, **closed(a, a["last"]))).otherwise(a)
+        size, more = (a["last"] - a["begin"] + 1).cast("long"), a["open"].cast("int")
+        return F.struct((a["n"] + more).alias("n"), (a["sum"] + more * size).alias("sum"), (a["squares"] + more * size * size).alias("squares"), (a["docs"] + more * a["doc"].cast("int")).alias("docs"), (a["pubs"] + more * a["pub"].cast("int")).alias("pubs"))
 
     p = once(p, fold=F.aggregate("rows", start, step, finish)).drop("is_fn", "is_doc", "is_pub", "rows")
     f, n = F.col("fold"), F.coalesce(F.col("fold.n"), F.lit(0))
@@ -182,7 +190,7 @@ def flag(test: Column, order: int, detector: str, id_: str, category: str, high:
 def emit(p: DataFrame, *flags: Column, more: Column | None = None) -> DataFrame:
     """The findings of each file as rows."""
     found = F.filter(F.array(*flags), lambda f: f.isNotNull()) if flags else F.array().cast(f"array<{FLAG}>")
-    rows = p.select("repo", "path", F.inline(found if more is None else F.concat(found, more)))
+    rows = p.select("repo", "path", F.inline(found if more is None else F.concat(found, more)), F.lit(None).cast("string").alias("suggestion"))
     return rows if more is not None else rows.select(*FINDING)
 
 

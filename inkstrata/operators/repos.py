@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import vocabulary as V
-from ..functions.text import ascii_lower, hits, lines, occurrences
+from ..functions.text import ascii_lower, hits, lines
 
 C = F.col
 CONVENTIONAL = r"^(?:" + "|".join(V.CONVENTIONAL_TYPES) + r")(?:\([^)]+\))?!?:\s"
 
 
 def finding(df: DataFrame, order: int, detector: str, id_: str, category: str, severity: Column, confidence: Column, path: Column | None = None) -> DataFrame:
-    return df.select("repo", (F.lit("") if path is None else path).alias("path"), F.lit(detector).alias("detector"), F.lit(id_).alias("id"), F.lit(category).alias("category"), severity.alias("severity"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), confidence)).alias("confidence"), F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("int").alias("line_end"), F.lit(order * 10**12).cast("long").alias("ord"))
+    return df.select("repo", (F.lit("") if path is None else path).alias("path"), F.lit(detector).alias("detector"), F.lit(id_).alias("id"), F.lit(category).alias("category"), severity.alias("severity"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), confidence)).alias("confidence"), F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("int").alias("line_end"), F.lit(order * 10**12).cast("long").alias("ord"), F.lit(None).cast("string").alias("suggestion"))
 
 
 def level(high: Column) -> Column:
@@ -121,5 +121,3 @@ def name_findings(files: DataFrame) -> DataFrame:
     m = m.where("generic >= 2 and repeats >= 3 and code <= 4")
     return finding(m, 64, "name_credibility", "name.discovery_pollution", "name_credibility", level((C("generic") >= 3) & (C("repeats") >= 5) & (C("code") <= 2)), 0.4 * C("generic") / 5 + 0.4 * C("repeats") / 8 + 0.2 * (4 - C("code")) / 4)
 
-
-__all__ = [n for n in dir() if n.endswith(("findings", "metrics"))] + ["occurrences"]

@@ -221,7 +221,7 @@ def named(found: DataFrame, recipes: list[Recipe]) -> DataFrame:
     """Fills in what a match stands for, from a table of as many rows as the recipes have patterns."""
     rows = [(r.name, x.kind, x.pattern.lower() if x.kind == "word" else ascii_text(x.pattern) if x.kind == "phrase" else x.name, f"{r.name}:{x.kind}:{x.name}", x.severity, x.replacement) for r in recipes for x in r.patterns]
     meta = found.sparkSession.createDataFrame(list({row[:3]: row for row in reversed(rows)}.values()), "recipe string, kind string, key string, _id string, _severity string, replacement string")
-    got = found.join(F.broadcast(meta), ["recipe", "kind", "key"], "left")
+    got = found.drop("suggestion").join(F.broadcast(meta), ["recipe", "kind", "key"], "left").withColumn("suggestion", C("replacement"))
     return got.withColumn("id", F.coalesce("id", "_id")).withColumn("severity", F.coalesce("severity", "_severity")).drop("_id", "_severity")
 
 

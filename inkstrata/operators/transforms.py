@@ -23,7 +23,10 @@ def joined(kept: Column, content: Column) -> Column:
 
 
 def thin_comments(files: DataFrame, column: str = "content") -> DataFrame:
-    """Drops comments that narrate or repeat the beginning of the last kept one; adds `thinned` and `removed_comments`."""
+    """Drops comments that narrate or repeat the beginning of the last kept one; adds `thinned` and `removed_comments`.
+
+    A null text stays null.
+    """
 
     def line(raw: Column) -> Column:
         t = trim(raw)
@@ -37,7 +40,7 @@ def thin_comments(files: DataFrame, column: str = "content") -> DataFrame:
     f = once(f, _some=F.filter("_all", lambda r: ~r["narrates"]))
     repeats = lambda r, i: r["may"] & (r["prefix"] != "") & F.coalesce(r["prefix"] == F.get("_some", i - 1)["prefix"], F.lit(False))
     f = once(f, _kept=F.transform(F.filter("_some", lambda r, i: ~repeats(r, i)), lambda r: r["raw"]))
-    return once(f, thinned=joined(C("_kept"), C(column)), removed_comments=F.size("_all") - F.size("_kept")).drop("_all", "_some", "_kept")
+    return once(f, thinned=F.when(C(column).isNotNull(), joined(C("_kept"), C(column))), removed_comments=F.size("_all") - F.size("_kept")).drop("_all", "_some", "_kept")
 
 
 def normalise(text: Column) -> Column:
@@ -93,7 +96,7 @@ def clean_readme(files: DataFrame, column: str = "content") -> DataFrame:
     f = once(f, _empty=empty)
     f = once(f, _some=F.filter("_all", lambda r: ~r["phrase"] & ~(r["template"] & F.array_contains("_empty", r["i"]))))
     f = once(f, _kept=F.transform(F.filter("_some", lambda r, i: ~(r["blank"] & F.coalesce(F.get("_some", i - 1)["blank"], F.lit(False)))), lambda r: r["raw"]))
-    cleaned = F.when(F.size("_all") == 0, F.lit("")).otherwise(joined(C("_kept"), C(column)))
+    cleaned = F.when(C(column).isNull(), F.lit(None).cast("string")).when(F.size("_all") == 0, F.lit("")).otherwise(joined(C("_kept"), C(column)))
     return once(f, cleaned=cleaned, removed_lines=F.size("_all") - F.size("_some")).drop("_all", "_held", "_empty", "_some", "_kept")
 
 

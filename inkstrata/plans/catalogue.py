@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,12 +51,6 @@ def brief(found: DataFrame, digits: int = 6) -> DataFrame:
     return found.select("repo", "path", "severity", *rounded("confidence", digits=digits))
 
 
-def four(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of four detectors without directives, for the scores: what their SQL covers."""
-    p = code(spark, sf_dir)
-    return reduce(DataFrame.unionByName, [D.lexical_findings(p), D.prompt_findings(p), D.readme_findings(p), U.security_findings(p)])
-
-
 def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of all detectors over files, repositories and commits, with the ignore directives applied."""
     found = api.scan(overlay.code_files(spark, sf_dir), overlay.commits(spark, sf_dir))
@@ -244,55 +237,58 @@ def scope_inference(spark, sf_dir):
 
 
 @query(O.SUMMARY)
-def summary(spark, sf_dir, findings=four):
-    return S.summary(findings(spark, sf_dir)).select("total", "low", "medium", "high", *rounded("ai_probability", digits=5))
+def summary(spark, sf_dir, findings=whole):
+    return S.summary(findings(spark, sf_dir)).select("total", "low", "medium", "high", *rounded("ai_probability", digits=4))
 
 
 @query(O.CONTRIBUTIONS)
-def explain_categories(spark, sf_dir, findings=four):
-    return S.contributions(findings(spark, sf_dir)).select("category", "n", *rounded("contribution", digits=3))
+def explain_categories(spark, sf_dir, findings=whole):
+    return S.contributions(findings(spark, sf_dir)).select("category", "n", *rounded("contribution", digits=2))
 
 
 @query(O.EVIDENCE)
-def explain_top_evidence(spark, sf_dir, findings=four):
-    return S.evidence(findings(spark, sf_dir)).select("repo", "path", "id", *rounded("contribution"))
+def explain_top_evidence(spark, sf_dir, findings=whole):
+    return S.evidence(findings(spark, sf_dir)).select("repo", "path", "id", *rounded("contribution", digits=3))
 
 
 @query(O.GRADE_CATEGORIES)
-def grade_categories(spark, sf_dir, findings=four):
-    return S.category_grades(spark, findings(spark, sf_dir)).select("grade_category", "n", *rounded("score", digits=3), "grade")
+def grade_categories(spark, sf_dir, findings=whole):
+    return S.category_grades(spark, findings(spark, sf_dir)).select("grade_category", "n", *rounded("score", digits=2), "grade")
 
 
 @query(O.GRADE_OVERALL)
-def grade_overall(spark, sf_dir, findings=four):
-    return S.overall_grade(spark, findings(spark, sf_dir)).select(*rounded("score", digits=3), "grade")
+def grade_overall(spark, sf_dir, findings=whole):
+    return S.overall_grade(spark, findings(spark, sf_dir)).select(*rounded("score", digits=2), "grade")
 
 
 @query(O.MIXED)
-def mixed_dedup(spark, sf_dir, findings=four):
+def mixed_dedup(spark, sf_dir, findings=whole):
     m = S.mixed(findings(spark, sf_dir))
     return m.select("repo", "path", "category", F.floor((C("line_start") - 1) / 80).alias("segment"), F.when(C("severity") == "high", 2).when(C("severity") == "medium", 1).otherwise(0).alias("best"))
 
 
 @query(O.ROLLUP)
-def findings_rollup(spark, sf_dir, findings=four):
+def findings_rollup(spark, sf_dir, findings=whole):
     return S.rollup(findings(spark, sf_dir)).drop("level")
 
 
 @query(O.CALIBRATE)
-def calibrate(spark, sf_dir, findings=four):
+def calibrate(spark, sf_dir, findings=whole):
     return S.calibrate(findings(spark, sf_dir))
 
 
 @query(O.FILTERED)
-def severity_filter(spark, sf_dir, findings=four):
+def severity_filter(spark, sf_dir, findings=whole):
     return S.at_least(findings(spark, sf_dir), "medium").groupBy("severity").agg(F.count("*").alias("n"))
 
 
 @query(O.EVAL)
-def eval_confusion(spark, sf_dir):
-    x = spark.read.parquet(f"{sf_dir}/labels.parquet").join(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
-    m = S.confusion(x.select((C("quality") == 0).alias("expected"), (C("n_chars") < 600).alias("predicted")))
+def eval_confusion(spark, sf_dir, findings=whole):
+    """Labelled documents against the findings in their files: poor ones are expected to have some of medium severity."""
+    number = F.regexp_extract("path", r"(?:/src/f|/d)([0-9]+)", 1).try_cast("long")
+    flagged = S.at_least(findings(spark, sf_dir), "medium").select(number.alias("doc_id")).where("doc_id is not null").distinct().withColumn("found", F.lit(True))
+    x = spark.read.parquet(f"{sf_dir}/labels.parquet").join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"), "doc_id").join(flagged, "doc_id", "left")
+    m = S.confusion(x.select((C("quality") == 0).alias("expected"), F.coalesce("found", F.lit(False)).alias("predicted")))
     return m.select("tp", "tn", "fp", "fn", *rounded("precision", "recall", "accuracy"))
 
 
@@ -333,23 +329,30 @@ def transform_summary(spark, sf_dir):
 
 
 @query(O.SARIF)
-def sarif_rules(spark, sf_dir, findings=four):
-    return sinks.sarif_rules(findings(spark, sf_dir)).select("rule", "n")
+def sarif_rules(spark, sf_dir, findings=whole):
+    return sinks.sarif_rules(findings(spark, sf_dir)).select("rule", "rule_index", "n")
 
 
-@query(O.ANNOTATIONS)
-def annotations(spark, sf_dir, findings=four):
-    return sinks.annotations(findings(spark, sf_dir)).select("repo", "annotation")
+@query(O.SARIF_REPORT)
+def sarif_report(spark, sf_dir, findings=whole):
+    return sinks.sarif_report(findings(spark, sf_dir))
 
 
-def _scan(score) -> None:
-    def run(spark, sf_dir):
-        return score(spark, sf_dir, whole)
+@query(O.JSON_REPORT)
+def json_report(spark, sf_dir, findings=whole):
+    return sinks.json_report(findings(spark, sf_dir))
 
-    run.__name__ = f"scan_{score.__name__}"
-    query()(run)
 
+@query(O.GRADE_REPORT)
+def grade_report(spark, sf_dir, findings=whole):
+    return sinks.grade_report(spark, findings(spark, sf_dir))
 
-#: The scores over the whole scan; they have no SQL.
-for _score in (summary, explain_categories, explain_top_evidence, grade_categories, grade_overall, mixed_dedup, findings_rollup, calibrate, severity_filter, sarif_rules, annotations):
-    _scan(_score)
+
+@query(O.CATEGORIES)
+def category_filter(spark, sf_dir, findings=whole):
+    return S.confident(S.of_categories(findings(spark, sf_dir), ("security", "comment"))).groupBy("repo", "category").agg(F.count("*").alias("n"))
+
+
+@query(O.ANNOTATIONS)
+def annotations(spark, sf_dir, findings=whole):
+    return sinks.annotations(findings(spark, sf_dir)).select("repo", "annotation")

@@ -51,14 +51,18 @@ m AS (SELECT repo, path, regexp_extract_all(lc, {q(LEXICAL_PATTERN)}) AS g FROM
 r AS (SELECT repo, path, min(no) AS a, max(no) AS b FROM l WHERE regexp_matches({low("raw")}, {q(LEXICAL_PATTERN)}) GROUP BY ALL)
 SELECT repo, path, CAST(len(g) AS BIGINT) AS matches, CAST(len(list_distinct(g)) AS BIGINT) AS terms, CAST(a AS BIGINT) AS first_line, CAST(b AS BIGINT) AS last_line FROM m LEFT JOIN r USING (repo, path)"""
 
-COMMENTS = f"""WITH {LINES},
+def _comments(digits: int) -> str:
+    return f"""WITH {LINES},
 c AS (SELECT repo, path, count(*) FILTER (t <> '') AS non_empty, count(*) FILTER ({COMMENT}) AS comment_lines, count(*) FILTER ({COMMENT} AND {has(low("t"), V.TUTORIAL)}) AS tutorial FROM l WHERE lang <> 'unknown' GROUP BY ALL),
 p AS (SELECT repo, path, max(n) AS most FROM (SELECT repo, path, array_to_string(string_split_regex({low(BODY)}, '\\s+')[1:3], ' ') AS s, count(*) AS n FROM l WHERE {COMMENT} AND {BODY} <> '' GROUP BY ALL) GROUP BY ALL)
 SELECT repo, path, CAST(non_empty AS BIGINT) AS non_empty, CAST(comment_lines AS BIGINT) AS comment_lines, CAST(tutorial AS BIGINT) AS tutorial,
- round(CASE WHEN non_empty = 0 THEN 0 ELSE comment_lines / non_empty END, 6) AS density, round(CASE WHEN comment_lines = 0 THEN 0 ELSE coalesce(most, 0) / comment_lines END, 6) AS prefix_ratio
+ round(CASE WHEN non_empty = 0 THEN 0 ELSE comment_lines / non_empty END, {digits}) AS density, round(CASE WHEN comment_lines = 0 THEN 0 ELSE coalesce(most, 0) / comment_lines END, {digits}) AS prefix_ratio
 FROM c LEFT JOIN p USING (repo, path)"""
 
 
+COMMENTS = _comments(6)
+
+
 def simple(where: str, severity: str, confidence: str, metrics: str, more: str = "") -> str:
     return f"""WITH {CODE}, m AS (SELECT repo, path, {metrics} FROM f WHERE {more})
 SELECT repo, path, CASE WHEN {severity} THEN 'high' ELSE 'medium' END AS severity, round(least(1.0, greatest(0.0, {confidence})), 6) AS confidence FROM m WHERE {where}"""
@@ -72,8 +76,14 @@ LEXICAL_FINDINGS = f"""WITH {LINES}, m AS (SELECT repo, path, regexp_extract_all
 r AS (SELECT repo, path, min(no) AS a, max(no) AS b FROM l WHERE regexp_matches({low("raw")}, {q(LEXICAL_PATTERN)}) GROUP BY ALL)
 SELECT repo, path, CASE WHEN len(g) >= 8 THEN 'high' ELSE 'medium' END AS severity, round(least(1.0, len(g) / 12 + len(list_distinct(g)) / 12), 6) AS confidence, CAST(a AS INT) AS line_start, CAST(b AS INT) AS line_end
 FROM m JOIN r USING (repo, path) WHERE len(g) >= 4 AND len(list_distinct(g)) >= 3"""
-COMMENT_FINDINGS = f"""SELECT repo, path, CASE WHEN density > 0.6 AND tutorial > 3 THEN 'high' ELSE 'medium' END AS severity, round(least(1.0, 0.5 * density + 0.3 * tutorial / 8 + 0.2 * prefix_ratio), 4) AS confidence
-FROM ({COMMENTS}) WHERE non_empty >= 12 AND density >= 0.45 AND (tutorial >= 3 OR prefix_ratio >= 0.65)"""
+
+
+def _comment_findings(digits: int, of: str) -> str:
+    return f"""SELECT repo, path, CASE WHEN density > 0.6 AND tutorial > 3 THEN 'high' ELSE 'medium' END AS severity, round(least(1.0, 0.5 * density + 0.3 * tutorial / 8 + 0.2 * prefix_ratio), {digits}) AS confidence
+FROM ({of}) WHERE non_empty >= 12 AND density >= 0.45 AND (tutorial >= 3 OR prefix_ratio >= 0.65)"""
+
+
+COMMENT_FINDINGS = _comment_findings(4, COMMENTS)
 
 
 def _tests() -> str:
@@ -153,8 +163,14 @@ _CONV = "^(?:" + "|".join(V.CONVENTIONAL_TYPES) + r")(?:\([^)]+\))?!?:"
 COMMIT_METRICS = f"""WITH {COMMITS}, g AS (SELECT repo, message, nullif(greatest(ts - lag(ts) OVER (PARTITION BY repo ORDER BY ts), 0), 0) AS gap FROM c)
 SELECT repo, CAST(count(*) AS BIGINT) AS commit_count, round(CASE WHEN count(gap) < 2 THEN 0 ELSE stddev_pop(gap) / avg(gap) END, 6) AS cadence_cv,
  round(CASE WHEN count(*) < 2 THEN 0 ELSE avg(CAST(regexp_matches(message, {q(_CONV + chr(92) + 's')}) AS INT)) END, 6) AS conventional_fraction, CAST(CASE WHEN count(*) < 2 THEN 0 ELSE count(*) FILTER ({has('lower(message)', V.RECOVERY)}) END AS BIGINT) AS recovery_count FROM g GROUP BY repo"""
-COMMIT_FINDINGS = f"""SELECT repo, CASE WHEN s = 3 THEN 'high' ELSE 'medium' END AS severity, round(0.5 * (1 - least(cadence_cv, 1)) + 0.3 * conventional_fraction + 0.2 * z, 4) AS confidence
+
+
+def _commit_findings(digits: int) -> str:
+    return f"""SELECT repo, CASE WHEN s = 3 THEN 'high' ELSE 'medium' END AS severity, round(0.5 * (1 - least(cadence_cv, 1)) + 0.3 * conventional_fraction + 0.2 * z, {digits}) AS confidence
 FROM (SELECT *, CAST(cadence_cv < 0.35 AS INT) + CAST(conventional_fraction >= 0.87 AS INT) + z AS s FROM (SELECT *, CAST(recovery_count = 0 AND commit_count >= 8 AS INT) AS z FROM ({COMMIT_METRICS}) WHERE commit_count >= 6)) WHERE s >= 2"""
+
+
+COMMIT_FINDINGS = _commit_findings(4)
 SESSIONS = f"""WITH {COMMITS}, n AS (SELECT event_type AS repo, ts, CAST(event_id AS VARCHAR) AS oid, CAST(coalesce(abs(ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts, CAST(event_id AS VARCHAR))) > 600, false) AS INT) AS new FROM c),
 s AS (SELECT repo, ts, oid, sum(new) OVER (PARTITION BY repo ORDER BY ts, oid ROWS UNBOUNDED PRECEDING) AS session FROM n)
 SELECT repo, CAST(session AS BIGINT) AS session, count(*) AS commits, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY repo, session"""
@@ -165,27 +181,6 @@ TOUCHES = f"WITH {COMMITS} SELECT repo, file, count(*) AS touches FROM (SELECT r
 NOW = 1704067200 + 15 * 86400
 QUEUE = f"WITH {COMMITS} SELECT repo, count(*) FILTER (event_id % 4 = 0) AS done, count(*) FILTER (event_id % 4 <> 0 AND ts > {NOW}) AS pending, count(*) FILTER (event_id % 4 <> 0 AND ts <= {NOW}) AS due FROM c GROUP BY repo"
 
-#: A findings table from four detectors, for the scores.
-FOUND = f"""found AS (SELECT 'lexical' AS category, 'lexical.cluster' AS id, repo, path, severity, confidence, line_start FROM ({LEXICAL_FINDINGS})
- UNION ALL SELECT 'prompt_leakage', 'prompt.leakage.markers', repo, path, severity, confidence, 1 FROM ({PROMPT}) UNION ALL SELECT 'readme', 'readme.template.structure', repo, path, severity, confidence, 1 FROM ({README})
- UNION ALL SELECT 'security', id, repo, path, severity, confidence, line FROM ({SECURITY}))"""
-_W = "CASE severity WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.6 ELSE 0.2 END"
-SUMMARY = f"WITH {FOUND} SELECT count(*) AS total, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'high') AS high, round(coalesce(1 / (1 + exp(-8 * (avg({_W} * confidence) - 0.5))), 0), 5) AS ai_probability FROM found"
-CONTRIBUTIONS = f"WITH {FOUND} SELECT category, count(*) AS n, round(sum({_W} * confidence), 3) AS contribution FROM found GROUP BY category"
-GRADES = f"""WITH {FOUND}, nine(grade_category, weight) AS (VALUES {', '.join(f"('{k}', {v})" for k, v in V.GRADE_WEIGHTS.items())}),
-g AS (SELECT CASE category {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in V.GRADE_OF.items())} END AS grade_category, count(*) AS n, sum(CASE severity WHEN 'high' THEN 3.0 WHEN 'medium' THEN 1.5 ELSE 0.5 END * confidence) AS raw FROM found GROUP BY 1),
-s AS (SELECT grade_category, weight, coalesce(n, 0) AS n, least(100.0, coalesce(raw, 0) * 3.33) AS score FROM nine LEFT JOIN g USING (grade_category))"""
-_BAND = "CASE " + " ".join(f"WHEN score <= {m} THEN '{n}'" for m, n in V.GRADE_BANDS) + " ELSE 'F' END"
-GRADE_CATEGORIES = f"{GRADES} SELECT grade_category, n, round(CAST(score AS DOUBLE), 3) AS score, {_BAND} AS grade FROM s"
-GRADE_OVERALL = f"{GRADES} SELECT round(CAST(score AS DOUBLE), 3) AS score, {_BAND} AS grade FROM (SELECT coalesce(sum(score * weight) FILTER (n > 0) / sum(weight) FILTER (n > 0), 0) AS score FROM s)"
-EVIDENCE = f"WITH {FOUND} SELECT repo, path, id, round({_W} * confidence, 6) AS contribution FROM found ORDER BY {_W} * confidence DESC, repo, path, id, line_start LIMIT 5"
-MIXED = f"WITH {FOUND} SELECT repo, path, category, CAST((line_start - 1) // 80 AS BIGINT) AS segment, max(CASE severity WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END) AS best FROM found GROUP BY ALL"
-ROLLUP = f"WITH {FOUND} SELECT repo, category, severity, count(*) AS n FROM found GROUP BY ROLLUP (repo, category, severity)"
-CALIBRATE = f"WITH {FOUND} SELECT CASE WHEN count(*) FILTER (severity = 'high') = 0 AND count(*) FILTER (severity = 'medium') <= 1 THEN 'high' ELSE 'medium' END AS min_severity, CAST(0.45 AS DOUBLE) AS comment_threshold FROM found"
-FILTERED = f"WITH {FOUND} SELECT severity, count(*) AS n FROM found WHERE severity IN ('medium', 'high') GROUP BY severity"
-SARIF = f"WITH {FOUND} SELECT 'inkstrata/' || category || '/' || id AS rule, count(*) AS n FROM found GROUP BY ALL"
-EVAL = """WITH x AS (SELECT quality = 0 AS e, n_chars < 600 AS p FROM labels JOIN documents USING (doc_id)), m AS (SELECT count(*) FILTER (p AND e) AS tp, count(*) FILTER (NOT p AND NOT e) AS tn, count(*) FILTER (p AND NOT e) AS fp, count(*) FILTER (NOT p AND e) AS fn FROM x)
-SELECT *, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce((tp + tn) / nullif(tp + tn + fp + fn, 0), 0), 6) AS accuracy FROM m"""
 BREAKDOWN = "SELECT doc_id, CASE WHEN doc_id % 5 + doc_id % 3 + doc_id % 4 >= 8 THEN 'high' WHEN doc_id % 5 + doc_id % 3 + doc_id % 4 >= 5 THEN 'medium' ELSE 'low' END AS level FROM documents"
 NORMALISE = rf"""WITH {CODE} SELECT repo, path, md5(array_to_string(list_transform(ls, lambda x: regexp_replace(regexp_replace(regexp_replace(x, ' {{2,}}', ' ', 'g'), '\s+([,.;:!?])', '\1', 'g'), '\s+$', '')), chr(10))) AS digest FROM f"""
 BASELINE = f"""WITH {LINES}, c AS (SELECT repo, path, count(*) FILTER (t <> '') AS ne, count(*) FILTER ({COMMENT}) AS cl, count(*) FILTER (starts_with(t, '///') OR starts_with(t, '/**') OR starts_with(t, '//!')) AS dl FROM l WHERE lang <> 'unknown' GROUP BY ALL HAVING count(*) FILTER (t <> '') >= 8),
@@ -193,7 +188,6 @@ h AS (SELECT repo, path, {' + '.join(f"(length(lower(content)) - length(replace(
 SELECT count(*) AS files, round(avg(cl / ne), 6) AS comment_density, round(avg(dl / ne), 6) AS doc_ratio, round(100 * sum(terms) / sum(ne), 6) AS terms_per_100_lines, round(least(0.8, greatest(0.2, 1.5 * avg(cl / ne))), 6) AS threshold FROM c JOIN h USING (repo, path)"""
 CONVERSATIONS = f"SELECT conv_id, turn, {hits(low('coalesce(text, ' + q('') + ')'), V.PROMPT)} AS markers FROM conversations"
 GLOB = f"WITH {CODE} SELECT repo, count(*) AS n FROM f WHERE (path LIKE '%README%.md' OR name LIKE 'README%.md') AND NOT contains(path, '/d7/') GROUP BY repo"
-ANNOTATIONS = f"WITH {FOUND} SELECT repo, '::error file=' || path || ',line=' || line_start || '::' || id || ' (' || severity || ')' AS annotation FROM found"
 SCOPES = f"WITH {COMMITS} SELECT CAST(event_id AS VARCHAR) AS oid, 'docs+src' AS scope, regexp_replace(message, {q(_CONV + chr(92) + 's*')}, '') AS subject FROM c"
 
 
@@ -325,9 +319,10 @@ def _recipe_matches() -> str:
 
 
 def _severities() -> str:
-    rows = [("phrase-patterns", low_text(p), p.replace(" ", "-"), s) for p, (s, _) in R.TURNS.items()]
-    rows += [("comment-patterns", n, n, s) for n, (s, _) in R.COMMENTS.items()] + [("phrase-patterns", n, n, s) for n, (s, _) in R.README.items()]
-    return ", ".join(f"({q(a)}, {q(b)}, {q(c)}, {q(d)})" for a, b, c, d in rows)
+    rows = [("phrase-patterns", low_text(p), p.replace(" ", "-"), s, r) for p, (s, r) in R.TURNS.items()]
+    rows += [("slop-vocabulary", w.lower(), w, "low", r) for w, r in R.WORDS.items()] + [("slop-vocabulary", low_text(p), p.replace(" ", "-"), "medium", r) for p, r in R.PHRASES.items()]
+    rows += [("comment-patterns", n, n, s, None) for n, (s, _) in R.COMMENTS.items()] + [("phrase-patterns", n, n, s, None) for n, (s, _) in R.README.items()]
+    return ", ".join(f"({q(a)}, {q(b)}, {q(c)}, {q(d)}, {'NULL' if e is None else q(e)})" for a, b, c, d, e in rows)
 
 
 def low_text(x: str) -> str:
@@ -340,7 +335,7 @@ _WHOLE_FILE = "CAST(1 AS INT) AS line_start, n_lines AS line_end"
 
 
 def _repo(order: int, detector: str, id_: str, category: str, body: str) -> str:
-    return f"SELECT repo, '' AS path, {_TRIO(order, detector, id_, category)}, severity, confidence, CAST(NULL AS INT) AS line_start, CAST(NULL AS INT) AS line_end FROM ({body})"
+    return f"SELECT repo, '' AS path, {_TRIO(order, detector, id_, category)}, severity, confidence, CAST(NULL AS INT) AS line_start, CAST(NULL AS INT) AS line_end, CAST(NULL AS VARCHAR) AS suggestion FROM ({body})"
 
 
 #: The findings of all detectors over files, repositories and commits, with the ignore directives applied.
@@ -348,26 +343,69 @@ WHOLE = f"""{STRUCTURE_FOLD},
 fl AS (SELECT repo, path, CAST(greatest(1, len(ls)) AS INT) AS n_lines FROM f),
 cl AS (SELECT repo, path, CAST(min(no) AS INT) AS a, CAST(max(no) AS INT) AS b FROM l WHERE {COMMENT} GROUP BY ALL),
 sg AS (SELECT repo, path, length_cv, doc_coverage, CAST(length_cv < 0.25 AS INT) + CAST(doc_coverage >= 0.88 AS INT) + CAST(pub_fraction >= 0.93 AS INT) AS g FROM sm WHERE function_count >= 5),
-sc(recipe, k, t, bucket, boost, base, category) AS (VALUES {_SCORING}), sv(recipe, key, name, severity) AS (VALUES {_severities()}),
+sc(recipe, k, t, bucket, boost, base, category) AS (VALUES {_SCORING}), sv(recipe, key, name, severity, suggestion) AS (VALUES {_severities()}),
 rm AS ({_recipe_matches()}),
-rn AS (SELECT rm.repo, path, no, nth, rm.recipe, kind, coalesce(sv.name, rm.name) AS name, coalesce(sv.severity, CASE kind WHEN 'word' THEN 'low' ELSE 'medium' END) AS severity, k, base, category, boost,
+rn AS (SELECT rm.repo, path, no, nth, rm.recipe, kind, coalesce(sv.name, rm.name) AS name, coalesce(sv.severity, CASE kind WHEN 'word' THEN 'low' ELSE 'medium' END) AS severity, k, base, category, boost, suggestion,
  count(*) OVER (PARTITION BY rm.repo, path, rm.recipe) >= t AND count(*) OVER (PARTITION BY rm.repo, path, rm.recipe, (no - 1) // bucket) >= t AS hot FROM rm JOIN sc ON rm.recipe = sc.recipe LEFT JOIN sv ON sv.recipe = rm.recipe AND sv.key = rm.key),
-ff AS (SELECT repo, path, {_TRIO(1, "lexical", "lexical.cluster", "lexical")}, severity, confidence, line_start, line_end FROM ({LEXICAL_FINDINGS})
- UNION ALL SELECT repo, path, {_TRIO(2, "comments", "comments.over_documented", "comment")}, severity, confidence, a, b FROM ({COMMENT_FINDINGS}) JOIN cl USING (repo, path)
- UNION ALL SELECT repo, path, {_TRIO(3, "structure", "structure.uniform", "structure")}, CASE WHEN g = 3 OR length_cv < 0.10 THEN 'high' ELSE 'medium' END, least(1.0, greatest(0.0, 0.9 * (0.5 * (1 - length_cv) + 0.3 * doc_coverage))), {_WHOLE_FILE} FROM sg JOIN fl USING (repo, path) WHERE g >= 2
- UNION ALL SELECT repo, path, {_TRIO(4, "tests", "tests.symmetric.shape", "test_pattern")}, CASE WHEN prefix_ratio > 0.80 AND assert_density > 0.70 THEN 'high' ELSE 'medium' END, least(1.0, 0.6 * prefix_ratio + 0.4 * assert_density), {_WHOLE_FILE} FROM ({_tests()}) JOIN fl USING (repo, path) WHERE test_count >= 6 AND prefix_ratio >= 0.65 AND assert_density >= 0.5
- UNION ALL SELECT repo, path, {_TRIO(5, "idiom", "idiom.cross_language.mismatch", "idiom_mismatch")}, severity, confidence, {_WHOLE_FILE} FROM ({IDIOM}) JOIN fl USING (repo, path)
- UNION ALL SELECT repo, path, {_TRIO(6, "prompt", "prompt.leakage.markers", "prompt_leakage")}, severity, confidence, {_WHOLE_FILE} FROM ({PROMPT}) JOIN fl USING (repo, path)
- UNION ALL SELECT repo, path, {_TRIO(7, "readme", "readme.template.structure", "readme")}, severity, confidence, {_WHOLE_FILE} FROM ({README}) JOIN fl USING (repo, path)
- UNION ALL SELECT repo, path, 'security', id, 'security', 8000000000000 + CAST(line AS BIGINT) * 100 + CAST(substr(id, 4) AS INT) - 1, severity, confidence, line, line FROM ({SECURITY})
- UNION ALL SELECT repo, path, 'recipe', recipe || ':' || kind || ':' || name, category, (20 + k) * 1000000000000 + no * 1000 + nth, CASE WHEN hot THEN boost ELSE severity END, CASE WHEN hot THEN least(1.0, base + 0.15) ELSE base END, CAST(no AS INT), CAST(no AS INT) FROM rn),
+ff AS (SELECT repo, path, {_TRIO(1, "lexical", "lexical.cluster", "lexical")}, severity, confidence, line_start, line_end, CAST(NULL AS VARCHAR) AS suggestion FROM ({LEXICAL_FINDINGS})
+ UNION ALL SELECT repo, path, {_TRIO(2, "comments", "comments.over_documented", "comment")}, severity, confidence, a, b, NULL FROM ({_comment_findings(12, _comments(12))}) JOIN cl USING (repo, path)
+ UNION ALL SELECT repo, path, {_TRIO(3, "structure", "structure.uniform", "structure")}, CASE WHEN g = 3 OR length_cv < 0.10 THEN 'high' ELSE 'medium' END, least(1.0, greatest(0.0, 0.9 * (0.5 * (1 - length_cv) + 0.3 * doc_coverage))), {_WHOLE_FILE}, NULL FROM sg JOIN fl USING (repo, path) WHERE g >= 2
+ UNION ALL SELECT repo, path, {_TRIO(4, "tests", "tests.symmetric.shape", "test_pattern")}, CASE WHEN prefix_ratio > 0.80 AND assert_density > 0.70 THEN 'high' ELSE 'medium' END, least(1.0, 0.6 * prefix_ratio + 0.4 * assert_density), {_WHOLE_FILE}, NULL FROM ({_tests()}) JOIN fl USING (repo, path) WHERE test_count >= 6 AND prefix_ratio >= 0.65 AND assert_density >= 0.5
+ UNION ALL SELECT repo, path, {_TRIO(5, "idiom", "idiom.cross_language.mismatch", "idiom_mismatch")}, severity, confidence, {_WHOLE_FILE}, NULL FROM ({IDIOM}) JOIN fl USING (repo, path)
+ UNION ALL SELECT repo, path, {_TRIO(6, "prompt", "prompt.leakage.markers", "prompt_leakage")}, severity, confidence, {_WHOLE_FILE}, NULL FROM ({PROMPT}) JOIN fl USING (repo, path)
+ UNION ALL SELECT repo, path, {_TRIO(7, "readme", "readme.template.structure", "readme")}, severity, confidence, {_WHOLE_FILE}, NULL FROM ({README}) JOIN fl USING (repo, path)
+ UNION ALL SELECT repo, path, 'security', id, 'security', 8000000000000 + CAST(line AS BIGINT) * 100 + CAST(substr(id, 4) AS INT) - 1, severity, confidence, line, line, NULL FROM ({SECURITY})
+ UNION ALL SELECT repo, path, 'recipe', recipe || ':' || kind || ':' || name, category, (20 + k) * 1000000000000 + no * 1000 + nth, CASE WHEN hot THEN boost ELSE severity END, CASE WHEN hot THEN least(1.0, base + 0.15) ELSE base END, CAST(no AS INT), CAST(no AS INT), suggestion FROM rn),
 am AS (SELECT repo, len(list_distinct(flatten(list(y)))) AS layers, sum(t) AS traits, sum(s) AS structs, sum(i) AS impls, count(*) AS source_files, max(d) AS depth FROM (SELECT repo, len(string_split(path, '/')) AS d, list_intersect(string_split(lower(path), '/'), {array(V.LAYERS)}) AS y,
  len(regexp_extract_all(content, '(?m)^\\s*(pub\\s+)?trait\\s+\\w+')) AS t, len(regexp_extract_all(content, '(?m)^\\s*(pub\\s+)?struct\\s+\\w+')) AS s, len(regexp_extract_all(content, '(?m)^\\s*impl\\s+')) AS i FROM f WHERE ext = 'rs') GROUP BY repo HAVING count(*) >= 8),
 ar AS (SELECT repo, '' AS path, 1 AS k, 'medium' AS severity, 0.75 AS confidence FROM am WHERE depth < 2 UNION ALL SELECT repo, '', 2, 'medium', 0.70 FROM am WHERE layers < 2 AND source_files >= 16 UNION ALL SELECT repo, path, 3, 'high', 0.85 FROM f WHERE ext = 'rs' AND len(ls) > 800 AND repo IN (SELECT repo FROM am)
  UNION ALL SELECT repo, '', 4, 'medium', 0.65 FROM am WHERE structs >= 5 AND traits / (traits + structs) < 0.02 UNION ALL SELECT repo, '', 5, 'low', 0.60 FROM am WHERE structs >= 5 AND (CASE WHEN impls / structs < 0.5 THEN floor(structs * (1 - 2 * impls / structs)) ELSE 0 END) / structs > 0.80),
 hu AS (SELECT repo, path, no + 1 AS line FROM l WHERE contains(raw, {q(V.IGNORE_NEXT)})), ig AS (SELECT repo, path FROM f WHERE contains(content, {q(V.IGNORE_FILE)})),
 found AS (SELECT * FROM ff WHERE NOT EXISTS (SELECT 1 FROM hu WHERE hu.repo = ff.repo AND hu.path = ff.path AND hu.line = ff.line_start) AND NOT EXISTS (SELECT 1 FROM ig WHERE ig.repo = ff.repo AND ig.path = ff.path)
- UNION ALL SELECT repo, path, 'architecture', 'ARCH00' || k, 'architecture', (50 + k) * CAST(1000000000000 AS BIGINT), severity, CAST(confidence AS DOUBLE), NULL, NULL FROM ar
- UNION ALL {_repo(40, "commit_pattern", "commit_pattern.machine_clean", "commit_pattern", COMMIT_FINDINGS)} UNION ALL {_repo(60, "workflow", "workflow.artifact.bundle", "workflow", WORKFLOW)} UNION ALL {_repo(61, "metadata", "metadata.scaffold.bundle", "metadata", METADATA)}
+ UNION ALL SELECT repo, path, 'architecture', 'ARCH00' || k, 'architecture', (50 + k) * CAST(1000000000000 AS BIGINT), severity, CAST(confidence AS DOUBLE), NULL, NULL, NULL FROM ar
+ UNION ALL {_repo(40, "commit_pattern", "commit_pattern.machine_clean", "commit_pattern", _commit_findings(8))} UNION ALL {_repo(60, "workflow", "workflow.artifact.bundle", "workflow", WORKFLOW)} UNION ALL {_repo(61, "metadata", "metadata.scaffold.bundle", "metadata", METADATA)}
  UNION ALL {_repo(62, "promotion", "promotion.showcase_stack", "promotion", PROMOTION)} UNION ALL {_repo(63, "maintenance", "maintenance.hollow_repo", "maintenance", MAINTENANCE)} UNION ALL {_repo(64, "name_credibility", "name.discovery_pollution", "name_credibility", NAME)})"""
 SCAN = f"{WHOLE} SELECT repo, path, detector, id, category, severity, round(confidence, 4) AS confidence, line_start, line_end FROM found"
+
+
+_W = "CASE severity WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.6 ELSE 0.2 END"
+_TOTALS = f"count(*) AS total, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'high') AS high, round(coalesce(1 / (1 + exp(-8 * (avg({_W} * confidence) - 0.5))), 0), 4) AS ai_probability"
+SUMMARY = f"{WHOLE} SELECT {_TOTALS} FROM found"
+CONTRIBUTIONS = f"{WHOLE} SELECT category, count(*) AS n, round(sum({_W} * confidence), 2) AS contribution FROM found GROUP BY category"
+GRADES = f"""{WHOLE}, nine(grade_category, weight) AS (VALUES {', '.join(f"('{k}', {v})" for k, v in V.GRADE_WEIGHTS.items())}),
+gr AS (SELECT CASE category {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in V.GRADE_OF.items())} END AS grade_category, count(*) AS n, sum(CASE severity WHEN 'high' THEN 3.0 WHEN 'medium' THEN 1.5 ELSE 0.5 END * confidence) AS raw FROM found GROUP BY 1),
+s AS (SELECT grade_category, weight, coalesce(n, 0) AS n, least(100.0, coalesce(raw, 0) * 3.33) AS score FROM nine LEFT JOIN gr USING (grade_category))"""
+_BAND = "CASE " + " ".join(f"WHEN score <= {m} THEN '{n}'" for m, n in V.GRADE_BANDS) + " ELSE 'F' END"
+_OVERALL = "SELECT coalesce(sum(score * weight) FILTER (n > 0) / sum(weight) FILTER (n > 0), 0) AS score, sum(n) AS n FROM s"
+GRADE_CATEGORIES = f"{GRADES} SELECT grade_category, n, round(CAST(score AS DOUBLE), 2) AS score, {_BAND} AS grade FROM s"
+GRADE_OVERALL = f"{GRADES} SELECT round(CAST(score AS DOUBLE), 2) AS score, {_BAND} AS grade FROM ({_OVERALL})"
+EVIDENCE = f"{WHOLE} SELECT repo, path, id, round({_W} * confidence, 3) AS contribution FROM found ORDER BY {_W} * confidence DESC, repo, path, id, ord LIMIT 5"
+MIXED = f"""{WHOLE} SELECT repo, path, category, CAST((line_start - 1) // 80 AS BIGINT) AS segment, max(CASE severity WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END) AS best FROM found WHERE line_start IS NOT NULL GROUP BY ALL
+ UNION ALL SELECT repo, path, category, NULL, CASE severity WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END FROM found WHERE line_start IS NULL"""
+ROLLUP = f"{WHOLE} SELECT repo, category, severity, count(*) AS n FROM found GROUP BY ROLLUP (repo, category, severity)"
+CALIBRATE = f"{WHOLE} SELECT CASE WHEN count(*) FILTER (severity = 'high') = 0 AND count(*) FILTER (severity = 'medium') <= 1 THEN 'high' ELSE 'medium' END AS min_severity, CAST(0.45 AS DOUBLE) AS comment_threshold FROM found"
+FILTERED = f"{WHOLE} SELECT severity, count(*) AS n FROM found WHERE severity IN ('medium', 'high') GROUP BY severity"
+CATEGORIES = f"{WHOLE} SELECT repo, category, count(*) AS n FROM found WHERE category IN ('security', 'comment') AND confidence >= 0.75 GROUP BY ALL"
+_RULE = "'inkstrata/' || category || '/' || id"
+RULES = f"""{WHOLE}, ranked AS (SELECT *, {_RULE} AS rule, row_number() OVER (ORDER BY repo, path, ord, id) - 1 AS place FROM found),
+rules AS (SELECT rule, any_value(category) AS category, count(*) AS n, row_number() OVER (ORDER BY min(place)) - 1 AS rule_index FROM ranked GROUP BY rule)"""
+SARIF = f"{RULES} SELECT rule, CAST(rule_index AS INT) AS rule_index, n FROM rules"
+_LEVEL = "CASE severity WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END"
+_TEXT = "id || ' (' || severity || ')'"
+SARIF_REPORT = f"""{RULES} SELECT 'rule' AS part, CAST(rule_index AS BIGINT) AS place, CAST(json_object('id', rule, 'shortDescription', json_object('text', category || ' detector')) AS VARCHAR) AS value FROM rules
+ UNION ALL SELECT 'result', place, '{{"ruleId":' || to_json(ranked.rule) || ',"ruleIndex":' || rule_index || ',"level":"' || {_LEVEL} || '","message":{{"text":' || to_json({_TEXT}) || '}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":' || to_json(path) || ',"uriBaseId":"%SRCROOT%"}}'
+ || CASE WHEN line_start IS NULL THEN '' ELSE ',"region":{{"startLine":' || line_start || ',"endLine":' || line_end || '}}' END || '}}}}],"properties":{{"confidenceScore":' || CAST(CAST(round(confidence, 4) AS DOUBLE) AS VARCHAR) || ',"autoFixable":' || CASE WHEN suggestion IS NULL THEN 'false' ELSE 'true' END || '}}'
+ || CASE WHEN suggestion IS NULL THEN '' ELSE ',"fixes":[{{"description":{{"text":' || to_json(suggestion) || '}}}}]' END || '}}' FROM ranked JOIN rules ON ranked.rule = rules.rule
+ UNION ALL SELECT 'summary', 0, CAST(json_object('total', total, 'low', low, 'medium', medium, 'high', high, 'ai_probability', ai_probability) AS VARCHAR) FROM (SELECT {_TOTALS} FROM found)"""
+JSON_REPORT = f"""{RULES} SELECT 'summary' AS part, CAST(0 AS BIGINT) AS place, CAST(json_object('total', total, 'low', low, 'medium', medium, 'high', high, 'ai_probability', ai_probability) AS VARCHAR) AS value FROM (SELECT {_TOTALS} FROM found)
+ UNION ALL SELECT 'finding', place, CAST(json_object('repo', repo, 'path', path, 'id', id, 'category', category, 'severity', severity, 'confidence', CAST(round(confidence, 4) AS DOUBLE), 'line_start', line_start, 'line_end', line_end, 'suggestion', suggestion) AS VARCHAR) FROM ranked
+ UNION ALL SELECT 'category', row_number() OVER (ORDER BY category) - 1, CAST(json_object('category', category, 'n', n, 'contribution', c) AS VARCHAR) FROM (SELECT category, count(*) AS n, CAST(round(sum({_W} * confidence), 2) AS DOUBLE) AS c FROM found GROUP BY category)"""
+GRADE_REPORT = f"""{GRADES} SELECT CAST(row_number() OVER (ORDER BY grade_category) AS INT) AS place, rpad(grade_category, 14, ' ') || lpad(printf('%.1f', CAST(score AS DOUBLE)), 8, ' ') || lpad({_BAND}, 6, ' ') AS value FROM s WHERE n > 0
+ UNION ALL SELECT 99, rpad('overall', 14, ' ') || lpad(printf('%.1f', CAST(score AS DOUBLE)), 8, ' ') || lpad({_BAND}, 6, ' ') FROM ({_OVERALL})"""
+_ESCAPED = "replace(replace(replace({}, '%', '%25'), chr(13), '%0D'), chr(10), '%0A')"
+ANNOTATIONS = f"""{WHOLE} SELECT repo, '::error file=' || {_ESCAPED.format('path')} || CASE WHEN line_start IS NULL THEN '' ELSE ',line=' || line_start END || ',title=inkstrata[' || category || ']: ' || id || '::' || {_ESCAPED.format(_TEXT)} AS annotation FROM found
+ UNION ALL SELECT NULL, '::notice title=inkstrata summary::' || total || ' finding(s), AI probability ' || CAST(round(100 * ai_probability) AS INT) || '%' FROM (SELECT {_TOTALS} FROM found)"""
+EVAL = f"""{WHOLE}, hit AS (SELECT DISTINCT TRY_CAST(regexp_extract(path, '(?:/src/f|/d)([0-9]+)', 1) AS BIGINT) AS doc_id FROM found WHERE severity IN ('medium', 'high')),
+lx AS (SELECT quality = 0 AS e, doc_id IN (SELECT doc_id FROM hit WHERE doc_id IS NOT NULL) AS p FROM labels JOIN documents USING (doc_id)),
+m AS (SELECT count(*) FILTER (p AND e) AS tp, count(*) FILTER (NOT p AND NOT e) AS tn, count(*) FILTER (p AND NOT e) AS fp, count(*) FILTER (NOT p AND e) AS fn FROM lx)
+SELECT *, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce((tp + tn) / nullif(tp + tn + fp + fn, 0), 0), 6) AS accuracy FROM m"""
