@@ -132,7 +132,94 @@ def test_quality_learns_and_covers_the_whole_text():
     assert p[:60].min() > p[60:120].max() and 0 <= p[120] <= 1
     text = bytes(range(1, 256)) * 9
     assert b"".join(c.tobytes()[: quality.STEP] for c in quality.chunks(text))[: len(text)] in (text, text[: len(text)])
-    assert np.allclose(quality.predict(net, [text * 400]), quality.predict(net, [text * 400]))
+    spoiled = good[0].encode() * 40 + poor[0].encode() * 40
+    assert quality.predict(net, [spoiled])[0] < quality.predict(net, [good[0].encode() * 80])[0]
+
+
+def plain_score(net, text):
+    """The network chunk by chunk and filter by filter, without batches."""
+    size, step, width = quality.CHUNK, quality.STEP, quality.WIDTH
+    acts, at = [], 0
+    while True:
+        chunk = text[at : at + size].ljust(size, b"\0")
+        best = np.full(quality.FILTERS, -np.inf)
+        for k in range(0, size - width + 1, quality.STRIDE):
+            best = np.maximum(best, np.concatenate([net.embed[c] for c in chunk[k : k + width]]).astype(float) @ net.conv)
+        acts.append(np.maximum(best + net.bias, 0))
+        at += step
+        if at + size - step >= len(text):
+            break
+    feats = np.concatenate([np.max(acts, 0), np.mean(acts, 0), np.min(acts, 0), [np.log1p(len(text))]])
+    hidden = np.maximum((feats - net.shift) / net.scale @ net.dense + net.dense_bias, 0)
+    return 1 / (1 + np.exp(-(hidden @ net.out + net.out_bias[0])))
+
+
+def test_quality_against_a_plain_network(odd):
+    r = random.Random(2)
+    net = quality.fit([(" ".join(r.choice(["the", "of", "river"]) for _ in range(60)), 1) for _ in range(40)] + [("zz## " * r.randrange(20, 60), 0) for _ in range(40)], epochs=2)
+    texts = [b"", b"a", bytes(r.randrange(256) for _ in range(383)), b"x y " * 96, b"x y " * 97, "\u00fc\u6f22 river ".encode() * 200]
+    assert np.allclose(quality.predict(net, texts), [plain_score(net, t) for t in texts], atol=1e-4)
+    got = {r.doc_id: r.score for r in quality.score(odd, net).collect() if r.doc_id in (1, 4, 6)}
+    want = {d: plain_score(net, (t or "").encode()) for d, t, _ in ODD if d in (1, 4, 6)}
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-4 for d in got)
+
+
+def test_training_tables(spark):
+    r = random.Random(5)
+    word = lambda: r.choice("river stone light and of the".split())
+    rows = [(k, " ".join(word() for _ in range(30)) + (" you idiot you idiot" if k % 4 == 0 else "")) for k in range(200)]
+    # Labels without a document or with a text beyond the bound do not use up the sample; null and clashing labels count as told.
+    rows += [(900, "word " * 20_000), (None, "no id"), (901, None), (5, "you idiot again"), (5, "you idiot again")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, y int")
+    labels = [(k, int(k % 4 == 0), int(k % 4 != 0), 9) for k in range(200)] + [(k, 1, 1, 9) for k in range(1000, 9000)] + [(900, 1, 1, 9), (None, 1, 1, 9), (7, None, None, 9), (8, 0, 0, 9)]
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int, quality int, text int")
+    for module in (toxicity, quality):
+        assert module.train(docs, labels.limit(0)) is not None and module.train(docs.limit(0), labels) is not None
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
+    assert all(got[k] == int(k % 4 == 0) for k in range(200) if k != 5)
+    from inkstrata.llm.common import labelled_sample
+    sample = labelled_sample(docs, labels, "toxic", labels.doc_id.isNotNull(), 150, 1 << 16)
+    assert len(sample) == 150 and labelled_sample(docs, labels, "toxic", labels.doc_id.isNotNull(), 10_000, 1 << 16).__len__() == 200
+
+
+def naive_hits(model, text):
+    """Every term and every exception looked for at every place."""
+    inside = set()
+    for phrase in model.exceptions:
+        for k in range(len(text) - len(phrase) + 1):
+            end = k + len(phrase)
+            if text[k:end] == phrase and not (k and text[k - 1].isalpha()) and not (end < len(text) and text[end].isalpha()):
+                inside.update(range(k, end))
+    best = {}
+    for whole, terms in ((True, model.words), (False, model.stems)):
+        for term, weight in terms.items():
+            for k in range(len(text) - len(term) + 1):
+                end = k + len(term)
+                if text[k:end] == term and not (k and text[k - 1].isalpha()) and not (whole and end < len(text) and text[end].isalpha()) and k not in inside:
+                    best[k] = max(weight, best.get(k, weight))
+    return sum(best.values()), len(best)
+
+
+def test_toxicity_against_a_naive_scan():
+    r = random.Random(9)
+    model = toxicity.Model({"idiot": 3.0, "car": 1.0, "clown": 2.0, "id": 0.5}, {"idio": 1.5, "clow": 4.0, "car": 0.25}, ["clown car", "car idiot", "the idiot clown"])
+    for _ in range(400):
+        text = "".join(r.choice(["idiot", "idiotic", "clown", "car", "cars", " ", " ", "-", "the", "id", "x"]) for _ in range(r.randrange(30)))
+        got, want = model.hits(text), naive_hits(model, text)
+        assert got[1] == want[1] and abs(got[0] - want[0]) < 1e-9, text
+
+
+@pytest.mark.parametrize("text", ["you idiot", "1d10t", "!d!ot", "\u00efdiot", "idi\u00f8t", "st\u00fcpid", "\u0456d\u0456\u043et", "\uff29\uff24\uff29\uff2f\uff34", "moron$", "idi\u0301ot", "you (1d!0t!)"])
+def test_toxicity_folding(text):
+    assert toxicity.fit([]).hits(toxicity.fold(text))[1] == 1
+
+
+def test_toxicity_of_many_exceptions_in_linear_time():
+    import time
+
+    model, began = toxicity.fit([]), time.time()
+    assert model.hits(toxicity.fold("clown car idiot " * 40_000))[1] == 40_000 and time.time() - began < 5
 
 
 def test_scorers_on_odd_rows(odd, none):
@@ -276,6 +363,29 @@ def test_sharding(spark, odd, none):
     assert sharding.shard(odd).count() == len(ODD) and sharding.shard(none).count() == 0
 
 
+def test_sharding_of_repeated_rows(spark):
+    # Most rows are equal, without ids: their group is split by row, and all three measures are balanced.
+    rows = [(None, "the same text of a row " * 5)] * 3000 + [(k % 7, "w " * (k % 300 + 1)) for k in range(1000)] + [(1, None), (1, ""), (2, "\u00fc")]
+    got = sharding.shard(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, unit int, shard int"), shards=12).toPandas()
+    assert len(got) == len(rows) and sorted(got["size"]) == sorted(len((t or "").encode()) + 16 for _, t in rows)
+    assert sorted(got.text_crc32) == sorted(zlib.crc32((t or "").encode()) for _, t in rows)
+    by = got.groupby("shard")
+    for measure in (by["size"].sum(), by.size()):
+        assert len(measure) == 12 and measure.max() <= 1.05 * measure.mean() and measure.min() >= 0.95 * measure.mean()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in by)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 1000), st.integers(1, 50), st.integers(1, 9)), min_size=1, max_size=60), st.integers(1, 6))
+def test_placing(items, shards):
+    sizes = np.array(items, float)
+    to = sharding.place(sizes, shards, (1.0, 0.3, 0.3))
+    assert len(to) == len(items) and set(to) <= set(range(shards))
+    load = np.bincount(to, sizes[:, 0], shards)
+    # No move or swap of two items between the extremes that keeps the other measures near would lower their difference further than one item.
+    assert load.max() - load.min() <= max(sizes[:, 0].max(), 0.6 * sizes[:, 0].sum() / shards)
+
+
 def brute_links(v, least=0.93):
     """(links by row, least id by row) of rows (id, vector, label); rows of one id share the component."""
     fine = [k for k, (i, e, y) in enumerate(v) if i is not None and y is not None and e and all(x is not None and np.isfinite(x) for x in e) and any(e)]
