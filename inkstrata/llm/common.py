@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -82,15 +83,25 @@ def holdout(doc_id: str, modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, keep, most: int, most_bytes: int) -> list[tuple[str, int]]:
-    """At most `most` labelled texts of at most `most_bytes` bytes, chosen by a hash of doc_id, for fitting on the driver.
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, keep, most: int, most_bytes: int) -> DataFrame:
+    """(doc_id, text, y) of at most `most` labelled texts of at most `most_bytes` bytes, chosen by a hash of doc_id, for fitting.
 
     Only labels that have such a text count for `most`. A document with several labels counts with the largest; rows
     without id, label or text do not count.
     """
-    ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & keep).groupBy("doc_id").agg(F.max(label).alias("y"))
+    ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & keep).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     short = documents.select("doc_id", "text").where(F.octet_length("text") <= most_bytes)
     # Ids alone are shuffled; what is broadcast has `most` rows.
     chosen = short.select("doc_id").distinct().join(ids, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
-    return [(r.text, int(r.y)) for r in sorted(rows.collect(), key=lambda r: r.doc_id)]
+    return short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+
+
+def fitted(sample: DataFrame, fit: Callable[[list[tuple[str, int]]], object]):
+    """The model that `fit` makes of a bounded sample, in one task, so that the driver gets the model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("text", "y")), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], ["model"])
+
+    row = sample.coalesce(1).sortWithinPartitions("doc_id").mapInArrow(run, "model binary").first()
+    return pickle.loads(row.model) if row else fit([])  # no partition at all

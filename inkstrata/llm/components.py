@@ -22,7 +22,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         both = pairs.union(pairs.select("v", "u"))
         low = cut(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
         # Large star: neighbours that are larger than u hang on the least of its neighbourhood.
-        large = cut(both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: u and its smaller neighbours hang on the least of these.
         down = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down.hint("merge"), "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")

@@ -192,11 +192,11 @@ def _clusters(documents: DataFrame, percent: int, size: int) -> tuple[DataFrame,
     pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     tested = cut(_similarities(pairs.union(same), texts, size))
     links = cut(tested.where(linked).select("a", "b").distinct())
-    found = cut(components(links))
+    found = components(links)
 
     # Hubs whose buckets still hold several components: members outside the hub's component meet all the others.
-    near = cut(tested.groupBy(F.col("a").alias("node"), F.col("b").alias("hub")).agg(F.max(F.col("shared") / F.col("united")).alias("j")))
-    labelled = cut(members.join(near.hint("merge"), ["node", "hub"], "left").join(found.withColumnRenamed("id", "node").hint("merge"), "node", "left"))
+    near = tested.groupBy(F.col("a").alias("node"), F.col("b").alias("hub")).agg(F.max(F.col("shared") / F.col("united")).alias("j"))
+    labelled = members.join(near.hint("merge"), ["node", "hub"], "left").join(found.withColumnRenamed("id", "node").hint("merge"), "node", "left")
     labelled = labelled.join(found.select(F.col("id").alias("hub"), F.col("component").alias("hub_component")).hint("merge"), "hub", "left")
     labelled = cut(labelled.select("hub", "node", F.coalesce("j", F.lit(1.0)).alias("j"), F.coalesce("component", "node").alias("c"), F.coalesce("hub_component", "hub").alias("hc")))
     chunks = cut(labelled.groupBy("hub").agg(F.ceil(F.count_if(F.col("c") != F.col("hc")) / OUTSIDERS).cast("int").alias("chunks")).where("chunks > 0"))
@@ -235,7 +235,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, size: int = 5) -> D
     if not several.isEmpty():
         several = cut(marks.where("n > 0").join(several, "doc_id").select(*TEXT, "a").distinct().join(nodes.select(*TEXT, "node"), TEXT).select("a", F.col("node").alias("b")))
         links = cut(links.union(several).distinct())
-    found = cut(components(links))
+    found = components(links)
     grouped = nodes.join(found.withColumnRenamed("id", "node").hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.sum("rows").alias("all")).where("all > 1")
     # Documents that share their component with no other row are their own.
@@ -265,7 +265,7 @@ def keep_one(documents: DataFrame, percent: int = 80, size: int = 5) -> DataFram
     without words link with nothing and stay.
     """
     _, nodes, links = _clusters(documents.select("doc_id", "text"), percent, size)
-    found = cut(components(links))
+    found = components(links)
     grouped = nodes.join(found.withColumnRenamed("id", "node").hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node"))["node"].alias("best"), F.sum("rows").alias("all")).where("all > 1")
     judged = cut(grouped.join(best.hint("merge"), "component").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("doc_id").alias("_least"), (F.col("node") == F.col("best")).alias("_best"), "rows"))

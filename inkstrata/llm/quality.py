@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import holdout, in_slices, kept_rows, labelled_sample
+from .common import fitted, holdout, in_slices, kept_rows, labelled_sample
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
-#: Bounds of the labelled sample that is fitted on the driver.
+#: Bounds of the labelled sample that is fitted, in one task.
 MOST_DOCUMENTS, MOST_BYTES = 1500, 1 << 13
 
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 6, 6, 2, 32, 16
@@ -171,7 +171,7 @@ def fit(samples: list[tuple[str | None, int]], epochs: int = 4, batch: int = 32,
 
 def train(documents: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0) -> Net:
     """Fits on at most MOST_DOCUMENTS labelled texts outside the held-out fold."""
-    return fit(labelled_sample(documents, labels, "quality", ~holdout("doc_id", modulus, remainder), MOST_DOCUMENTS, MOST_BYTES))
+    return fitted(labelled_sample(documents, labels, "quality", ~holdout("doc_id", modulus, remainder), MOST_DOCUMENTS, MOST_BYTES), fit)
 
 
 def score(documents: DataFrame, net: Net, threshold: float = 0.3, modulus: int = 5, remainder: int = 0) -> DataFrame:

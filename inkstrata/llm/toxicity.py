@@ -22,10 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import holdout, in_slices, kept_rows, labelled_sample
+from .common import fitted, holdout, in_slices, kept_rows, labelled_sample
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
-#: Bounds of the labelled sample that is fitted on the driver.
+#: Bounds of the labelled sample that is fitted, in one task.
 MOST_DOCUMENTS, MOST_BYTES = 6000, 1 << 16
 #: Normalised weight that saturates: a hit of weight 3 in a text of some 200,000 characters.
 ENOUGH = 0.2
@@ -199,7 +199,7 @@ def fit(samples: list[tuple[str | None, int]], least: int = 5, clear: float = 3.
 
 def train(documents: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1) -> Model:
     """Fits on at most MOST_DOCUMENTS labelled texts outside the held-out fold."""
-    return fit(labelled_sample(documents, labels, "toxic", ~holdout("doc_id", modulus, remainder), MOST_DOCUMENTS, MOST_BYTES))
+    return fitted(labelled_sample(documents, labels, "toxic", ~holdout("doc_id", modulus, remainder), MOST_DOCUMENTS, MOST_BYTES), fit)
 
 
 def score(documents: DataFrame, model: Model, threshold: float = 0.7, modulus: int = 3, remainder: int = 1) -> DataFrame:

@@ -180,7 +180,7 @@ def test_training_tables(spark):
     assert all(got[k] == int(k % 4 == 0) for k in range(200) if k != 5)
     from inkstrata.llm.common import labelled_sample
     sample = labelled_sample(docs, labels, "toxic", labels.doc_id.isNotNull(), 150, 1 << 16)
-    assert len(sample) == 150 and labelled_sample(docs, labels, "toxic", labels.doc_id.isNotNull(), 10_000, 1 << 16).__len__() == 200
+    assert sample.count() == 150 and labelled_sample(docs, labels, "toxic", labels.doc_id.isNotNull(), 10_000, 1 << 16).count() == 200
 
 
 def naive_hits(model, text):
