@@ -54,8 +54,10 @@ def trim(x: Column) -> Column:
 
 def lines(content: Column) -> Column:
     r"""Lines at \n or \r\n, without an empty one at the end."""
-    parts = F.split(F.coalesce(content, F.lit("")), "\r?\n")
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    text = F.coalesce(content, F.lit(""))
+    cut = lambda n: F.left(text, F.length(text) - n)
+    whole = F.when(F.endswith(text, F.lit("\r\n")), cut(2)).when(F.endswith(text, F.lit("\n")), cut(1)).otherwise(text)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(whole, "\r?\n"))
 
 
 def hits(x: Column, markers: Iterable[str]) -> Column:

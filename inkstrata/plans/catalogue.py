@@ -243,12 +243,12 @@ def summary(spark, sf_dir, findings=whole):
 
 @query(O.CONTRIBUTIONS)
 def explain_categories(spark, sf_dir, findings=whole):
-    return S.contributions(findings(spark, sf_dir)).select("category", "n", *rounded("contribution", digits=2))
+    return S.contributions(findings(spark, sf_dir)).select("category", "n", *rounded("contribution", digits=4))
 
 
 @query(O.EVIDENCE)
 def explain_top_evidence(spark, sf_dir, findings=whole):
-    return S.evidence(findings(spark, sf_dir)).select("repo", "path", "id", *rounded("contribution", digits=3))
+    return S.evidence(findings(spark, sf_dir)).select("repo", "path", "id", *rounded("contribution", digits=4))
 
 
 @query(O.GRADE_CATEGORIES)

@@ -371,7 +371,7 @@ SCAN = f"{WHOLE} SELECT repo, path, detector, id, category, severity, round(conf
 _W = "CASE severity WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.6 ELSE 0.2 END"
 _TOTALS = f"count(*) AS total, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'high') AS high, round(coalesce(1 / (1 + exp(-8 * (avg({_W} * confidence) - 0.5))), 0), 4) AS ai_probability"
 SUMMARY = f"{WHOLE} SELECT {_TOTALS} FROM found"
-CONTRIBUTIONS = f"{WHOLE} SELECT category, count(*) AS n, round(sum({_W} * confidence), 2) AS contribution FROM found GROUP BY category"
+CONTRIBUTIONS = f"{WHOLE} SELECT category, count(*) AS n, round(sum({_W} * confidence), 4) AS contribution FROM found GROUP BY category"
 GRADES = f"""{WHOLE}, nine(grade_category, weight) AS (VALUES {', '.join(f"('{k}', {v})" for k, v in V.GRADE_WEIGHTS.items())}),
 gr AS (SELECT CASE category {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in V.GRADE_OF.items())} END AS grade_category, count(*) AS n, sum(CASE severity WHEN 'high' THEN 3.0 WHEN 'medium' THEN 1.5 ELSE 0.5 END * confidence) AS raw FROM found GROUP BY 1),
 s AS (SELECT grade_category, weight, coalesce(n, 0) AS n, least(100.0, coalesce(raw, 0) * 3.33) AS score FROM nine LEFT JOIN gr USING (grade_category))"""
@@ -379,7 +379,7 @@ _BAND = "CASE " + " ".join(f"WHEN score <= {m} THEN '{n}'" for m, n in V.GRADE_B
 _OVERALL = "SELECT coalesce(sum(score * weight) FILTER (n > 0) / sum(weight) FILTER (n > 0), 0) AS score, sum(n) AS n FROM s"
 GRADE_CATEGORIES = f"{GRADES} SELECT grade_category, n, round(CAST(score AS DOUBLE), 2) AS score, {_BAND} AS grade FROM s"
 GRADE_OVERALL = f"{GRADES} SELECT round(CAST(score AS DOUBLE), 2) AS score, {_BAND} AS grade FROM ({_OVERALL})"
-EVIDENCE = f"{WHOLE} SELECT repo, path, id, round({_W} * confidence, 3) AS contribution FROM found ORDER BY {_W} * confidence DESC, repo, path, id, ord LIMIT 5"
+EVIDENCE = f"{WHOLE} SELECT repo, path, id, round({_W} * confidence, 4) AS contribution FROM found ORDER BY {_W} * confidence DESC, repo, path, id, ord LIMIT 5"
 MIXED = f"""{WHOLE} SELECT repo, path, category, CAST((line_start - 1) // 80 AS BIGINT) AS segment, max(CASE severity WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END) AS best FROM found WHERE line_start IS NOT NULL GROUP BY ALL
  UNION ALL SELECT repo, path, category, NULL, CASE severity WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END FROM found WHERE line_start IS NULL"""
 ROLLUP = f"{WHOLE} SELECT repo, category, severity, count(*) AS n FROM found GROUP BY ROLLUP (repo, category, severity)"
@@ -399,7 +399,7 @@ SARIF_REPORT = f"""{RULES} SELECT 'rule' AS part, CAST(rule_index AS BIGINT) AS
  UNION ALL SELECT 'summary', 0, CAST(json_object('total', total, 'low', low, 'medium', medium, 'high', high, 'ai_probability', ai_probability) AS VARCHAR) FROM (SELECT {_TOTALS} FROM found)"""
 JSON_REPORT = f"""{RULES} SELECT 'summary' AS part, CAST(0 AS BIGINT) AS place, CAST(json_object('total', total, 'low', low, 'medium', medium, 'high', high, 'ai_probability', ai_probability) AS VARCHAR) AS value FROM (SELECT {_TOTALS} FROM found)
  UNION ALL SELECT 'finding', place, CAST(json_object('repo', repo, 'path', path, 'id', id, 'category', category, 'severity', severity, 'confidence', CAST(round(confidence, 4) AS DOUBLE), 'line_start', line_start, 'line_end', line_end, 'suggestion', suggestion) AS VARCHAR) FROM ranked
- UNION ALL SELECT 'category', row_number() OVER (ORDER BY category) - 1, CAST(json_object('category', category, 'n', n, 'contribution', c) AS VARCHAR) FROM (SELECT category, count(*) AS n, CAST(round(sum({_W} * confidence), 2) AS DOUBLE) AS c FROM found GROUP BY category)"""
+ UNION ALL SELECT 'category', row_number() OVER (ORDER BY category) - 1, CAST(json_object('category', category, 'n', n, 'contribution', c) AS VARCHAR) FROM (SELECT category, count(*) AS n, CAST(round(sum({_W} * confidence), 4) AS DOUBLE) AS c FROM found GROUP BY category)"""
 GRADE_REPORT = f"""{GRADES} SELECT CAST(row_number() OVER (ORDER BY grade_category) AS INT) AS place, rpad(grade_category, 14, ' ') || lpad(printf('%.1f', CAST(score AS DOUBLE)), 8, ' ') || lpad({_BAND}, 6, ' ') AS value FROM s WHERE n > 0
  UNION ALL SELECT 99, rpad('overall', 14, ' ') || lpad(printf('%.1f', CAST(score AS DOUBLE)), 8, ' ') || lpad({_BAND}, 6, ' ') FROM ({_OVERALL})"""
 _ESCAPED = "replace(replace(replace({}, '%', '%25'), chr(13), '%0D'), chr(10), '%0A')"

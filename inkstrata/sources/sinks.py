@@ -85,7 +85,7 @@ def json_report(findings: DataFrame) -> DataFrame:
     fields = F.struct("repo", "path", "id", "category", "severity", F.round("confidence", 4).alias("confidence"), "line_start", "line_end", "suggestion")
     each = numbered(findings, *ORDER).select(F.lit("finding").alias("part"), "place", F.to_json(fields, NULLS).alias("value"))
     # As many rows as there are categories.
-    shares = S.contributions(findings).select("category", "n", F.round("contribution", 2).alias("contribution"))
+    shares = S.contributions(findings).select("category", "n", F.round("contribution", 4).alias("contribution"))
     shares = shares.withColumn("place", (F.row_number().over(W.orderBy("category")) - 1).cast("long"))
     return totals(findings).unionByName(each).unionByName(shares.select(F.lit("category").alias("part"), "place", F.to_json(F.struct("category", "n", "contribution")).alias("value")))
 
