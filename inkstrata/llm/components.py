@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Edges of one task.
+ROWS = 100_000
+
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, component): the smallest id reachable, for every end of an edge (a, b: long).
@@ -17,16 +20,18 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs = cut(pairs.where("u > v"))
-    last = None
+    # As many tasks as the edges need, at ROWS each, however many partitions shuffles have: rounds are many and short.
+    tasks, last = max(8, -(-pairs.count() // ROWS)), None
+    cut_few = lambda df: cut(df.coalesce(tasks))
     for _ in range(rounds):
         both = pairs.union(pairs.select("v", "u"))
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+        low = cut_few(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
         # Large star: neighbours that are larger than u hang on the least of its neighbourhood.
         large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: u and its smaller neighbours hang on the least of these.
-        down = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        down = cut_few(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down.hint("merge"), "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        pairs = cut(small.where("u > v").distinct())
+        pairs = cut_few(small.where("u > v").distinct())
         now = pairs.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if now == last:
             break
