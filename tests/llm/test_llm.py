@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from inkstrata.llm import decontaminate, embedding_dedup, html_extract, license_scan, minhash_dedup, packing, quality, sharding, token_counts, toxicity
+from inkstrata.llm import components, decontaminate, embedding_dedup, html_extract, license_scan, minhash_dedup, packing, quality, sharding, token_counts, toxicity
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = [(1, None, "x"), (2, "", "x"), (3, "  \n ", "x"), (3, "same id", "x"), (4, "a b c d e f", "x"), (5, "a b c d e f", "x"), (None, "no id here", "x"), (6, "ünï Σς 漢字 \x1c x " * 400, "x"), (7, "word " * 30000, "x")]
@@ -117,6 +117,42 @@ def test_minhash(spark, odd, none):
     assert all(x.kept for x in rows if x.doc_id in (1, 2, None)) and minhash_dedup.near_duplicates(none).count() == 0
 
 
+def test_minhash_needs_few_stages(spark):
+    """Each stage costs the driver memory, whatever the data: copies of one text and near copies in several clusters."""
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*words, f"x{k}"]) for k in range(8)] + [" ".join(words)] * 3 + [" ".join(reversed(words)), "  ".join(reversed(words)), "one two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    got = {x.doc_id: x.component_id for x in minhash_dedup.near_duplicates(docs, 85).collect()}
+    assert got == dict.fromkeys(range(11), 0) | {11: 11, 12: 11, 13: 13}
+    assert jobs() - before <= 90
+
+
+def test_bit_set_keeps_what_is_wanted(spark):
+    keys = spark.range(0, 3000, 3).selectExpr("xxhash64(id) as key")
+    rows = spark.range(30_000).selectExpr("id", "xxhash64(id) as key")
+    held, may = minhash_dedup._may_hold(keys)
+    kept = {r.id for r in rows.join(held, may, "left_semi").collect()}
+    assert kept >= set(range(0, 3000, 3)) and len(kept) < 3000
+    assert {r.id for r in rows.join(held, may, "left_anti").collect()} == set(range(30_000)) - kept
+    assert rows.join(*minhash_dedup._may_hold(keys.limit(0)), "left_semi").count() == 0
+
+
+@pytest.mark.parametrize("one_task", [2_000_000, -1])
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
+    r = random.Random(5)
+    edges = [(r.randrange(-60, 60), r.randrange(-60, 60)) for _ in range(50)] + [(k, k + 1) for k in range(100, 160)] + [(7, 7), (100, 160), (1 << 62, 5)]
+    best = {x: x for e in edges for x in e}
+    for _ in edges:
+        for a, b in edges:
+            best[a] = best[b] = min(best[a], best[b])
+    got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len({x.id for x in got}) and {x.id: x.component for x in got} == {k: v for k, v in best.items() if any(k in e and e[0] != e[1] for e in edges)}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_sketch_fills_every_coordinate():
     for n in (1, 2, 5, 70, 3000):
         s = minhash_dedup.sketch(np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64), 174)
