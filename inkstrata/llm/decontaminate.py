@@ -101,7 +101,8 @@ def contaminated(documents: DataFrame, items: DataFrame, size: int = 13, share:
     """
     rows = keyed(documents.select("doc_id", "text"))
     met = hit_documents(rows, items, size)
-    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+    # Separators at either end leave an empty word there; case does not matter.
+    n_words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), SEPARATORS), "")).cast("long")
     out = rows.select("doc_id", *KEY, n_words.alias("n_words")).join(met, KEY, "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     names = F.coalesce("names", F.array().cast("array<string>"))

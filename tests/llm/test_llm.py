@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -153,6 +154,17 @@ def test_components_in_one_task_and_in_rounds(spark, monkeypatch, one_task):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_words_are_counted_by_one_split(spark):
+    """Extracting every word by the pattern took two fifths of the query."""
+    texts = [None, "", " ", ",", "a", ",a", "a,", ",a,", "a b", "..a--B ..", "é,ß漢 x\n\n1", "\x00a\x7fb\x80c", "w " * 3000, "ſK İ"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = decontaminate.contaminated(docs, spark.createDataFrame([(1, "nothing of this")], "item_id long, text string"))
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    want = {k: len(re.findall(pattern, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) for k, t in enumerate(texts)}
+    assert {r.doc_id: r.n_words for r in out.collect()} == want
+
+
 def test_sketch_fills_every_coordinate():
     for n in (1, 2, 5, 70, 3000):
         s = minhash_dedup.sketch(np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64), 174)
