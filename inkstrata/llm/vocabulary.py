@@ -36,8 +36,8 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: One id, little-endian.
-_FOUR = struct.Struct("<I")
+#: So many ids, little-endian.
+_packer = lru_cache(maxsize=64)(lambda n: struct.Struct(f"<{n}I").pack)
 
 
 def _plain(unit: str) -> bool:
@@ -47,7 +47,7 @@ def _plain(unit: str) -> bool:
 class Units:
     """look_up: what units, texts between safe boundaries, encode to."""
 
-    def __init__(self, path: str, units: int = 800_000, pieces: int = 400_000):
+    def __init__(self, path: str, units: int = 500_000, pieces: int = 20_000):
         self.whole, self.model = tokenizer(path), tokenizer(path).model
         self.units, self.pieces = Memo(self._encode, units), Memo(self._piece, pieces)
 
@@ -75,12 +75,18 @@ class Ids(Units):
 
     @staticmethod
     def _of(tokens) -> bytes:
-        return b"".join([_FOUR.pack(t.id) for t in tokens])
+        return _packer(len(tokens))(*[t.id for t in tokens])
 
     def whole_ids(self, text: str) -> bytes:
         return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _encode(self, unit: str) -> bytes:
+        if unit.isascii() and unit.isalpha():
+            return self._of(self.model.tokenize(unit.lower()))
         if not _plain(unit):
             return self.whole_ids(unit)
-        return b"".join(map(self.pieces.__getitem__, WORD_PIECES.findall(unit.lower())))
+        pieces = WORD_PIECES.findall(unit.lower())
+        if len(pieces) == 1:
+            return self._piece(pieces[0])
+        # The pieces of an ASCII unit are units, too, and are held once.
+        return b"".join(map((self.units if unit.isascii() else self.pieces).__getitem__, pieces))

@@ -62,6 +62,16 @@ def test_packing(spark, odd, none):
     assert packing.pack(none, WORD).count() == 0
 
 
+def test_ids_are_held_once():
+    """Workers keep the memos of packing, which add up beside the executor's heap: no word is held as unit and as piece."""
+    r, ids = random.Random(8), packing.Encoder(WORD).ids
+    words = ["".join(r.choices("abcdefgh", k=7)) for _ in range(300)]
+    text = " ".join([*words, *(w + "," for w in words), "(it's)", "3.14", "\x7f", "É,ß", "İx", "<|endoftext|>,", "word" * 30])
+    assert b"".join(ids.look_up(text.split())) == ids.whole_ids(text)
+    assert set(words) <= {*ids.units, *ids.units.old} and not set(words) & {*ids.pieces, *ids.pieces.old}
+    assert 2 * (ids.units.half + ids.pieces.half) <= 600_000
+
+
 def test_license(odd, none, spark):
     docs = spark.createDataFrame([(1, "x\nReleased under the MIT License.\nAll rights reserved. CC-BY"), (2, "mit der zeit"), (3, "the license released under mit")], "doc_id long, text string")
     a, b, c = license_scan.scan(docs).orderBy("doc_id").collect()
