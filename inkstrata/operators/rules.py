@@ -19,7 +19,7 @@ from pyspark.sql.window import Window as W
 from ..functions import recipes as R
 from ..functions import vocabulary as V
 from ..functions.text import any_regex, ascii_lower
-from ..sources.corpus import RECIPE_BYTES, glob_regex
+from ..sources.corpus import glob_regex
 from .files import FINDING, FLAG, emit
 
 C = F.col
@@ -187,8 +187,7 @@ def recipe_flags(recipes: list[Recipe]) -> Column:
             test = (lambda x, regex=regex: F.regexp_like(x, regex)) if regex is not None else (lambda x, pattern=pattern: F.contains(x, F.lit(pattern.pattern)))
             got = _rows(test, lambda line, pattern=pattern, make=make, place=place: make(line, place(line), pattern.kind, F.lit(pattern.name)))
             out.append(F.when(applies(pattern), got).otherwise(no_flags()))
-    small = (C("size") <= RECIPE_BYTES) & C("content").isNotNull()
-    return F.when(small, F.flatten(F.array(*out))).otherwise(no_flags()) if out else no_flags()
+    return F.flatten(F.array(*out)) if out else no_flags()
 
 
 def named(found: DataFrame, recipes: list[Recipe]) -> DataFrame:

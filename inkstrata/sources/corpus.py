@@ -14,8 +14,6 @@ from ..functions import vocabulary as V
 from ..functions.text import lines
 
 FILES = T.StructType([T.StructField(n, T.LongType() if n == "size" else T.StringType()) for n in ("repo", "path", "name", "ext", "size", "content")])
-#: Files beyond this are not scanned with recipes.
-RECIPE_BYTES = 2 * 1024 * 1024
 
 
 def with_names(df: DataFrame) -> DataFrame:

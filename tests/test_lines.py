@@ -27,3 +27,16 @@ def test_lexical_terms_of_many_files(spark):
     rows = [(f"f{i}.rs", "\n" * (i % 7) + ("However, this robust and seamless tool will leverage a realm." if i % 3 == 0 else "x")) for i in range(1500)]
     got = {r.path: (r.line_start, r.line_end) for r in D.lexical_findings(D.prepared(files(spark, *rows).coalesce(1))).collect()}
     assert got == {f"f{i}.rs": (i % 7 + 1, i % 7 + 1) for i in range(0, 1500, 3)}
+
+
+def test_recipes_are_tried_on_files_of_any_size(spark):
+    long = "x" * 99 + "\n"
+    text = long * (3 << 20 >> 6) + "robust\n// Helper function to test\nThis is state-of-the-art"
+    assert len(text) > 2 << 20
+    found = U.recipe_findings(D.prepared(files(spark, ("a.md", text))), U.builtin()).collect()
+    assert sorted(r.id for r in found) == ["comment-patterns:regex:helper-comment", "phrase-patterns:phrase:state-of-the-art", "slop-vocabulary:word:robust"]
+
+
+def test_recipes_of_a_null_text(spark):
+    f = files(spark, ("a.md", "robust")).selectExpr("repo", "path", "name", "ext", "size", "cast(null as string) as content")
+    assert U.recipe_findings(D.prepared(f), U.builtin()).count() == 0
