@@ -27,7 +27,7 @@ def file_findings(files: DataFrame, comment_threshold: float = 0.45, recipes: li
     Also on a stream when recipes is an empty list: a recipe's clusters need all matches of a file.
     """
     recipes = U.builtin() if recipes is None else recipes
-    p = D.add_all(D.prepared(without_ignored(files)))
+    p = D.add_all(U.with_matches(D.prepared(without_ignored(files)), recipes))
     more = [*([U.security_flags()] if security else []), *([U.recipe_flags(recipes)] if recipes else [])]
     p = once(p, found=F.concat(F.filter(F.array(*D.all_flags(comment_threshold)), lambda f: f.isNotNull()), *more), hush=hushed(C("lines")))
     rows = p.select("repo", "path", "hush", F.inline("found"), F.lit(None).cast("string").alias("suggestion"))

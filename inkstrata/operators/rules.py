@@ -1,6 +1,6 @@
 """Per-line rules: security patterns and recipes, with the cluster boost over buckets of lines.
 
-Security rules are tried on all lines at once; recipes on the whole text first, and line by line where that succeeds.
+Security rules, words and phrases are tried on all lines at once, and words and phrases are read where that succeeds.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import recipes as R
 from ..functions import vocabulary as V
+from ..functions.matching import LineTest, matching
 from ..functions.text import any_regex, ascii_lower
 from ..sources.corpus import glob_regex
 from .files import FINDING, FLAG, emit
@@ -166,22 +167,39 @@ def applies(pattern: Pattern) -> Column:
     return wanted & ~match(pattern.excludes)
 
 
+def recipe_tests(recipes: list[Recipe]) -> tuple[LineTest, ...]:
+    """Tests of lines that may hold words or phrases of a recipe; they take some more lines, as where words have no ends."""
+    out = []
+    for order, recipe in enumerate(recipes):
+        # Lower case makes an i and a mark of the dotted capital I.
+        for kind, text, more in (("word", str.lower, "|\u0130"), ("phrase", ascii_text, "")):
+            if patterns := recipe.of(kind):
+                out.append(LineTest(f"{kind}{order}", any_regex(text(p.pattern) for p in patterns) + more, True))
+    return tuple(out)
+
+
+def with_matches(p: DataFrame, recipes: list[Recipe]) -> DataFrame:
+    """Adds the lines that `recipe_flags` needs, in the pass that finds those of other tests."""
+    tests = recipe_tests(recipes)
+    return p.withColumn("recipe_at", matching(tests)) if tests else p
+
+
 def recipe_flags(recipes: list[Recipe]) -> Column:
-    """An array of the matches of all recipes; ids and severities follow by `named`."""
+    """An array of the matches of all recipes; ids and severities follow by `named`. Needs `with_matches`."""
     out = []
 
-    def each(recipe: Recipe, regex: Column, fold, kind: str, make, place) -> Column:
-        def in_line(x: Column, i: Column) -> Column:
-            return F.transform(F.regexp_extract_all(fold(x), regex, F.lit(0)), lambda m, j: make(i + 1, place(i + 1, j), kind, m))
+    def each(at: Column, regex: Column, fold, kind: str, make, place) -> Column:
+        def in_line(i: Column) -> Column:
+            return F.transform(F.regexp_extract_all(fold(F.get("lines", i - 1)), regex, F.lit(0)), lambda m, j: make(i, place(i, j), kind, m))
 
-        return F.when(F.regexp_like(fold(C("content")), regex), F.flatten(F.transform("lines", in_line))).otherwise(no_flags())
+        return F.flatten(F.transform(at, in_line))
 
     for order, recipe in enumerate(recipes):
         place = lambda line, nth=0, order=order: 10**12 * (20 + order) + line.cast("long") * 1000 + nth
         make = lambda line, ord_, kind, key, recipe=recipe: _flag("recipe", None, recipe.category, None, recipe.confidence, line, ord_, recipe.name, kind, key)
         for kind, expression, fold in (("word", word_regex, F.lower), ("phrase", phrase_regex, ascii_lower)):
             if patterns := recipe.of(kind):
-                out.append(each(recipe, F.lit(expression(patterns)), fold, kind, make, place))
+                out.append(each(C("recipe_at")[f"{kind}{order}"], F.lit(expression(patterns)), fold, kind, make, place))
         for pattern in recipe.of("regex") + recipe.of("contextual"):
             regex = F.lit("(?U)" + pattern.pattern) if pattern.is_regex or pattern.kind == "regex" else None
             test = (lambda x, regex=regex: F.regexp_like(x, regex)) if regex is not None else (lambda x, pattern=pattern: F.contains(x, F.lit(pattern.pattern)))
@@ -200,7 +218,7 @@ def named(found: DataFrame, recipes: list[Recipe]) -> DataFrame:
 
 def recipe_findings(p: DataFrame, recipes: list[Recipe]) -> DataFrame:
     """Matches of all recipes: (…FINDING, recipe, kind, matched, replacement); clusters not yet boosted."""
-    return named(emit(p, more=recipe_flags(recipes)), recipes).select(*FINDING, "recipe", "kind", C("key").alias("matched"), "replacement")
+    return named(emit(with_matches(p, recipes), more=recipe_flags(recipes)), recipes).select(*FINDING, "recipe", "kind", C("key").alias("matched"), "replacement")
 
 
 def boosted(found: DataFrame, recipes: list[Recipe]) -> DataFrame:

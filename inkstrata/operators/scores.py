@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
+from ..sources.corpus import cut
 
 C = F.col
 
@@ -66,7 +67,11 @@ def category_grades(spark: SparkSession, findings: DataFrame) -> DataFrame:
 
 
 def overall_grade(spark: SparkSession, findings: DataFrame) -> DataFrame:
-    g = category_grades(spark, findings)
+    return overall(category_grades(spark, findings))
+
+
+def overall(g: DataFrame) -> DataFrame:
+    """The grade of the whole from those of the categories."""
     some = C("n") > 0
     score = F.coalesce(F.sum(F.when(some, C("score") * C("weight"))) / F.sum(F.when(some, C("weight"))), F.lit(0.0))
     return g.agg(score.alias("score"), F.sum("n").alias("n")).withColumn("grade", band(C("score")))
@@ -78,6 +83,7 @@ def meets(grade: DataFrame, least: str) -> DataFrame:
 
 def mixed(findings: DataFrame, lines: int = 80) -> DataFrame:
     """The strongest finding of each category in each segment of a file, the first of equals; those without lines stay."""
+    findings = cut(findings)
     rank = F.when(C("severity") == "high", 2).when(C("severity") == "medium", 1).otherwise(0)
     here = findings.where("line_start is not null")
     best = here.groupBy("repo", "path", F.floor((C("line_start") - 1) / lines).alias("segment"), "category").agg(F.max_by(F.struct(*findings.columns), F.struct(rank, "confidence", -C("ord"), "id")).alias("f"))

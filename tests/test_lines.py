@@ -1,8 +1,11 @@
 """Rules that are tried on all lines at once: the same lines as the SQL's RE2 finds, whatever stands beside a match."""
 
+import pytest
+
 from inkstrata.operators import files as D
 from inkstrata.operators import rules as U
-from inkstrata.sources import corpus
+from inkstrata.operators import scores as S
+from inkstrata.sources import corpus, sinks
 
 
 def files(spark, *rows):
@@ -40,3 +43,28 @@ def test_recipes_are_tried_on_files_of_any_size(spark):
 def test_recipes_of_a_null_text(spark):
     f = files(spark, ("a.md", "robust")).selectExpr("repo", "path", "name", "ext", "size", "cast(null as string) as content")
     assert U.recipe_findings(D.prepared(f), U.builtin()).count() == 0
+
+
+def _reads(spark, report):
+    """How often a report makes the findings."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = [("r", "p", f"i{k}", "lexical", "low", 0.5, k + 1, k + 1, k, None) for k in range(10)]
+    schema = "repo string, path string, id string, category string, severity string, confidence double, line_start int, line_end int, ord long, suggestion string"
+    found = spark.createDataFrame(rows, schema)
+    report(found.mapInArrow(count, found.schema)).collect()
+    return made.value
+
+
+@pytest.mark.parametrize("report", [sinks.json_report, sinks.sarif_report, sinks.annotations, S.mixed])
+def test_reports_make_their_findings_once(spark, report):
+    assert _reads(spark, report) == 10
+
+
+def test_grade_report_makes_its_findings_once(spark):
+    assert _reads(spark, lambda found: sinks.grade_report(spark, found)) == 10
