@@ -26,6 +26,18 @@ class LineTest:
     extensions: tuple[str, ...] = ()
 
 
+def wider(pattern: str) -> str:
+    """A pattern that also matches where letters and spaces beyond ASCII are taken for words' or for spaces'."""
+    out, inside, at = "", False, 0
+    while at < len(pattern):
+        part = pattern[at : at + 2] if pattern[at] == "\\" else pattern[at]
+        more = {r"\s": r"\s\v\x{80}-\x{10ffff}", r"\w": r"\w\x{80}-\x{10ffff}"}.get(part)
+        out += part if more is None else more if inside else f"[{more}]"
+        inside = part == "[" or (inside and part != "]")
+        at += len(part)
+    return out
+
+
 def _numbers(lists: pa.Array, ext: pa.Array, tests: tuple[LineTest, ...]) -> pa.Array:
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     text, row = lists.flatten(), np.repeat(np.arange(len(sizes)), sizes)
@@ -51,3 +63,15 @@ def matching(tests: tuple[LineTest, ...]) -> Column:
         return pa.concat_arrays([_numbers(lists.slice(k, SLICE), ext.slice(k, SLICE), tests) for k in range(0, max(1, len(lists)), SLICE)])
 
     return run("lines", "ext")
+
+
+def flagged(pattern: str, texts: str) -> Column:
+    """For each element of an array column whether the pattern, folded, matches it."""
+
+    @F.arrow_udf(returnType="array<boolean>")
+    def run(lists: pa.Array) -> pa.Array:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        hit = pc.match_substring_regex(lists.flatten(), pattern, ignore_case=True)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), hit)
+
+    return run(texts)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -44,12 +44,18 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ascii_lower(x: Column) -> Column:
     return F.translate(x, UPPER, LOWER)
 
 
 def trim(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    """Without spaces at both ends; a text whose first and last characters are none is taken as it is."""
+    return F.when(F.regexp_like(F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1))), F.lit(r"(?U)\s")), F.regexp_replace(x, r"(?U)^\s+|\s+$", "")).otherwise(x)
 
 
 def lines(content: Column) -> Column:

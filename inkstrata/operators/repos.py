@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import vocabulary as V
-from ..functions.text import ascii_lower, hits, lines
+from ..functions.text import ascii_lower, hits, lines, once
 
 C = F.col
 CONVENTIONAL = r"^(?:" + "|".join(V.CONVENTIONAL_TYPES) + r")(?:\([^)]+\))?!?:\s"
@@ -46,8 +46,8 @@ def architecture_metrics(files: DataFrame) -> DataFrame:
         skipped = skipped | F.contains(slashed, F.lit(f"/{part}/"))
     f = files.where((C("ext") == "rs") & ~skipped & ~F.endswith("path", F.lit("_test.rs"))).withColumn("n", F.size(lines(C("content"))))
     parts = F.split(F.lower("path"), "/")
-    count = lambda pattern: F.regexp_count("content", F.lit(pattern))
-    m = f.select("repo", "path", "n", F.size(parts).alias("depth"), F.array_intersect(parts, F.array(*map(F.lit, V.LAYERS))).alias("layers"), count(r"(?m)^\s*(pub\s+)?trait\s+\w+").alias("t"), count(r"(?m)^\s*(pub\s+)?struct\s+\w+").alias("s"), count(r"(?m)^\s*impl\s+").alias("i"))
+    count = lambda pattern, word: F.when(F.contains("content", F.lit(word)), F.regexp_count("content", F.lit(pattern))).otherwise(0)
+    m = f.select("repo", "path", "n", F.size(parts).alias("depth"), F.array_intersect(parts, F.array(*map(F.lit, V.LAYERS))).alias("layers"), count(r"(?m)^\s*(pub\s+)?trait\s+\w+", "trait").alias("t"), count(r"(?m)^\s*(pub\s+)?struct\s+\w+", "struct").alias("s"), count(r"(?m)^\s*impl\s+", "impl").alias("i"))
     # The layers of a repository are at most as many as there are indicators.
     m = m.groupBy("repo").agg(F.count("*").alias("source_files"), F.max("depth").alias("depth"), F.size(F.array_distinct(F.flatten(F.collect_set("layers")))).alias("layers"), F.sum("t").alias("traits"), F.sum("s").alias("structs"), F.sum("i").alias("impls"), F.max("n").alias("max_lines"), F.sum("n").alias("total_lines"))
     cover = F.when(C("structs") > 0, C("impls") / C("structs")).otherwise(1.0)
@@ -69,7 +69,7 @@ def architecture_findings(files: DataFrame) -> DataFrame:
 
 def bundle(files: DataFrame, names: tuple[str, ...], markers: tuple[str, ...]) -> DataFrame:
     """Which of a fixed list of files a repository has, and the markers in them."""
-    f = files.where(C("path").isin(*names)).withColumn("h", hits(ascii_lower(C("content")), markers))
+    f = once(files.where(C("path").isin(*names)), lc=ascii_lower(C("content"))).withColumn("h", hits(C("lc"), markers))
     return f.groupBy("repo").agg(F.countDistinct("path").alias("n_files"), F.sum("h").alias("hits"))
 
 
@@ -89,10 +89,10 @@ def visible(files: DataFrame) -> DataFrame:
 
 def shape(files: DataFrame) -> DataFrame:
     """Counts of code, documents, images and markers by repository."""
-    f = visible(files)
-    lc = ascii_lower(F.coalesce("content", F.lit("")))
     is_readme = C("path") == "README.md"
     doc = C("ext").isin(*V.DOC_EXTENSIONS)
+    f = once(visible(files), lc=F.when(doc | is_readme, ascii_lower(F.coalesce("content", F.lit("")))))
+    lc = C("lc")
     parts = F.split("path", "/")
     return f.groupBy("repo").agg(
         F.sum(C("ext").isin(*V.CODE_EXTENSIONS).cast("long")).alias("code"), F.sum((doc | C("ext").isin(*V.CONFIG_EXTENSIONS)).cast("long")).alias("non_code"), F.sum(C("ext").isin(*V.IMAGE_EXTENSIONS).cast("long")).alias("images"),

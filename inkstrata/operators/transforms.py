@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.text import any_of, ascii_lower, comment_body, first_words, is_comment, lines, once, starts_with_any, trim
+from ..functions.matching import flagged
+from ..functions.text import any_of, any_regex, ascii_lower, comment_body, first_words, is_comment, let, lines, once, starts_with_any, trim
 from .rules import Recipe, ascii_text, builtin, phrase_regex, word_regex
 
 C = F.col
@@ -29,10 +30,12 @@ def thin_comments(files: DataFrame, column: str = "content") -> DataFrame:
     """
 
     def line(raw: Column) -> Column:
-        t = trim(raw)
-        own, low = is_comment(t), ascii_lower(comment_body(t))
+        return let(trim(raw), lambda t: let(F.when(is_comment(t), comment_body(t)), lambda body: told(raw, body)))
+
+    def told(raw: Column, body: Column) -> Column:
+        own, low = body.isNotNull(), ascii_lower(body)
         safe = any_of(low, V.PRESERVE)
-        prefix = F.when(own, first_words(comment_body(t), 3)).otherwise(F.lit(""))
+        prefix = F.when(own, first_words(body, 3)).otherwise(F.lit(""))
         return F.struct(raw.alias("raw"), prefix.alias("prefix"), (own & ~safe).alias("may"), (own & ~safe & (any_of(low, V.TUTORIAL) | starts_with_any(low, V.TUTORIAL_STARTS))).alias("narrates"))
 
     f = once(files, _all=F.transform(lines(C(column)), line))
@@ -49,16 +52,27 @@ def normalise(text: Column) -> Column:
     return F.array_join(clean, "\n")
 
 
-def swapped(f: DataFrame, column: str, regex: str, table: dict[str, str], fold) -> DataFrame:
-    """Replaces every match of the expression that the table names, and adds the number to `_n`."""
-    there = F.coalesce(F.regexp_like(column, F.lit(regex)), F.lit(False))
-    f = once(f, _matches=F.when(there, F.regexp_extract_all(column, F.lit(regex), F.lit(0))), _between=F.when(there, F.split(column, regex, -1)))
+def swapped(f: DataFrame, column: str, regex: str, may: str, table: dict[str, str], fold) -> DataFrame:
+    """Replaces every match of the expression that the table names, and adds the number to `_n`.
+
+    Only lines that `may`, for RE2, matches are read with the expression, unless something to be replaced holds a line end.
+    """
     names = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    f = once(f, _new=F.transform("_matches", lambda m: F.element_at(names, fold(m))))
-    parts = F.transform("_between", lambda x, i: F.concat(x, F.coalesce(F.get("_new", i), F.get("_matches", i), F.lit(""))))
-    text = F.when(there, F.array_join(parts, "")).otherwise(C(column))
-    n = C("_n") + F.when(there, F.size(F.filter("_new", lambda x: x.isNotNull()))).otherwise(0)
-    return once(f.withColumnRenamed("_n", "_n0").withColumn("_n", C("_n0")), _text=text, _more=n).drop("_matches", "_between", "_new", "_n", "_n0", column).withColumnsRenamed({"_text": column, "_more": "_n"})
+    f = once(f, _rows=F.array(column) if any("\n" in x for x in table) else F.split(column, "\n", -1)).withColumn("_may", flagged(may, "_rows"))
+
+    def joined_again(found: Column) -> Column:
+        def of(new: Column) -> Column:
+            parts = F.transform(found["between"], lambda x, i: F.concat(x, F.coalesce(F.get(new, i), F.get(found["matches"], i), F.lit(""))))
+            return F.struct(F.array_join(parts, "").alias("text"), F.size(F.filter(new, lambda x: x.isNotNull())).alias("n"))
+
+        return let(F.transform(found["matches"], lambda m: F.element_at(names, fold(m))), of)
+
+    row = lambda x: let(F.struct(F.regexp_extract_all(x, F.lit(regex), F.lit(0)).alias("matches"), F.split(x, regex, -1).alias("between")), joined_again)
+    f = once(f, _done=F.when(F.exists("_may", lambda x: x), F.transform("_rows", lambda x, i: F.when(F.get("_may", i), row(x)).otherwise(F.struct(x.alias("text"), F.lit(0).alias("n"))))))
+    there = C("_done").isNotNull()
+    text = F.when(there, F.array_join(F.transform("_done", lambda r: r["text"]), "\n")).otherwise(C(column))
+    n = C("_n") + F.when(there, F.aggregate("_done", F.lit(0), lambda a, r: a + r["n"])).otherwise(0)
+    return once(f, _text=text, _more=n).drop("_rows", "_may", "_done", "_n", column).withColumnsRenamed({"_text": column, "_more": "_n"})
 
 
 def replace_recipes(files: DataFrame, recipes: list[Recipe] | None = None, column: str = "content") -> DataFrame:
@@ -71,9 +85,9 @@ def replace_recipes(files: DataFrame, recipes: list[Recipe] | None = None, colum
     phrases = [p for r in recipes for p in r.of("phrase") if p.replacement is not None]
     f = files.withColumn("_t", C(column)).withColumn("_n", F.lit(0))
     if words:
-        f = swapped(f, "_t", "(?iu)" + word_regex(words), {p.pattern.lower(): p.replacement for p in reversed(words)}, F.lower)
+        f = swapped(f, "_t", "(?iu)" + word_regex(words), any_regex(p.pattern.lower() for p in words) + r"|[\x{130}\x{131}]", {p.pattern.lower(): p.replacement for p in reversed(words)}, F.lower)
     if phrases:
-        f = swapped(f, "_t", "(?i)" + phrase_regex(phrases), {ascii_text(p.pattern): p.replacement for p in reversed(phrases)}, ascii_lower)
+        f = swapped(f, "_t", "(?i)" + phrase_regex(phrases), phrase_regex(phrases), {ascii_text(p.pattern): p.replacement for p in reversed(phrases)}, ascii_lower)
     for p in (p for r in recipes for p in r.of("regex") if p.fix is not None and not p.applies_to and not p.excludes):
         regex = "(?m)(?U)" + p.pattern
         f = once(f, _fixed=F.regexp_replace("_t", regex, p.fix), _more=C("_n") + F.coalesce(F.regexp_count("_t", F.lit(regex)), F.lit(0))).drop("_t", "_n").withColumnsRenamed({"_fixed": "_t", "_more": "_n"})
@@ -111,7 +125,7 @@ def transform(files: DataFrame, recipes: list[Recipe] | None = None, detectors:
         f = replace_recipes(f, recipes, source).withColumn("transformed", C("replaced")).withColumn("n_replaced", C("replacements")).drop("replaced", "replacements")
     if "readme" in wanted:
         md = C("ext") == "md"
-        f = clean_readme(f, source).withColumn("transformed", F.when(md, C("cleaned")).otherwise(C("transformed"))).withColumn("n_removed", C("n_removed") + F.when(md, C("removed_lines")).otherwise(0)).drop("cleaned", "removed_lines")
+        f = clean_readme(f.withColumn("_md", F.when(md, C(source))), "_md").drop("_md").withColumn("transformed", F.when(md, C("cleaned")).otherwise(C("transformed"))).withColumn("n_removed", C("n_removed") + F.when(md, C("removed_lines")).otherwise(0)).drop("cleaned", "removed_lines")
     return f.withColumn("changed", ~C("transformed").eqNullSafe(C("content")))
 
 

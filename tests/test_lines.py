@@ -2,9 +2,11 @@
 
 import pytest
 
+from inkstrata import api
 from inkstrata.operators import files as D
 from inkstrata.operators import rules as U
 from inkstrata.operators import scores as S
+from inkstrata.operators import transforms as X
 from inkstrata.sources import corpus, sinks
 
 
@@ -68,3 +70,23 @@ def test_reports_make_their_findings_once(spark, report):
 
 def test_grade_report_makes_its_findings_once(spark):
     assert _reads(spark, lambda found: sinks.grade_report(spark, found)) == 10
+
+
+def test_replacement_reads_lines_that_may_match(spark):
+    text = "We utilize it\r\nUTİLİZE, utılize\nrobust_x\n\nthus.\nin order to go\n"
+    r = X.replace_recipes(files(spark, ("a.md", text), ("b.md", "x  y \n"))).orderBy("path").collect()
+    # The dotless i is folded by the expression for words, but names nothing in the table.
+    assert r[0].replaced == "We use it\nUTİLİZE, utılize\nrobust_x\n\nso.\nto go" and r[0].replacements == 3
+    assert r[1].replaced == "x  y \n" and r[1].replacements == 0
+
+
+def test_scan_tests_its_lines_in_one_pass(spark):
+    plan = api.file_findings(files(spark, ("a.rs", "x")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_markers_and_shapes_where_lines_may_hold_them(spark):
+    text = " fn été() {\n}\ntry:\nself.x\nclass A\nUser: x\nprompt: y"
+    p = D.add_all(D.prepared(files(spark, ("a.rs", text), ("b.rs", "plain"))))
+    got = [(r.function_count, r.foreign, r.native, r.prompts, r.test_count) for r in p.orderBy("path").collect()]
+    assert got == [(1, 3, 0, 2, 0), (0, 0, 0, 0, 0)]
